@@ -73,3 +73,49 @@ def gt(spark: SparkSession, sf: str) -> DataFrame:
 
 def request_log(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(LOG.replace("FROM events", "FROM {e}"), e=table(spark, sf, "events"))
+
+
+# --- more relations ---------------------------------------------------------
+TWO_BOXES = """
+SELECT det_id, image_id, score, element_type, category_id, x1 AS a_x1, y1 AS a_y1, x2 AS a_x2, y2 AS a_y2,
+  CAST(det_id % 40 AS DOUBLE) AS b_x1, CAST(category_id AS DOUBLE) AS b_y1,
+  CAST(det_id % 40 + image_id % 20 + 1 AS DOUBLE) AS b_x2, CAST(category_id + det_id % 11 + 1 AS DOUBLE) AS b_y2
+FROM det
+"""
+
+PATH_POINTS = (
+    ("det_id % 101", "image_id % 40"),
+    ("x2", "category_id * 6"),
+    ("x2 + det_id % 2", "category_id * 6 + det_id % 3"),
+    ("det_id % 89", "x1"),
+    ("image_id % 97", "y1 * 5"),
+)
+
+SQL["two_boxes"] = TWO_BOXES
+SQL["paths"] = (
+    "SELECT det_id AS path_id, image_id, category_id, ["
+    + ", ".join(f"{{'x': CAST({x} AS DOUBLE), 'y': CAST({y} AS DOUBLE)}}" for x, y in PATH_POINTS)
+    + "] AS pts FROM det"
+)
+QUAD_POINTS = (("x1", "y1"), ("x2", "y1 + category_id - 3"), ("x2", "y2 + category_id - 3"), ("x1", "y2"))
+SQL["quads"] = (
+    "SELECT det_id, image_id, category_id, score, ["
+    + ", ".join(f"{{'x': CAST({x} AS DOUBLE), 'y': CAST({y} AS DOUBLE)}}" for x, y in QUAD_POINTS)
+    + "] AS poly FROM det"
+)
+
+
+def two_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(TWO_BOXES.replace("FROM det", "FROM {d}"), d=det(spark, sf))
+
+
+def _points(points) -> str:
+    return "array(" + ", ".join(f"named_struct('x', CAST({x} AS DOUBLE), 'y', CAST({y} AS DOUBLE))" for x, y in points) + ")"
+
+
+def paths(spark: SparkSession, sf: str) -> DataFrame:
+    return det(spark, sf).selectExpr("det_id AS path_id", "image_id", "category_id", f"{_points(PATH_POINTS)} AS pts")
+
+
+def quads(spark: SparkSession, sf: str) -> DataFrame:
+    return det(spark, sf).selectExpr("det_id", "image_id", "category_id", "score", f"{_points(QUAD_POINTS)} AS poly")
