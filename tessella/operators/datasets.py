@@ -6,8 +6,156 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessella.operators.numbering import ordinal, top_k
+
 
 def merge_categories(rows: DataFrame, categories: DataFrame, col: str) -> DataFrame:
     """Replace merged category ids by the id that absorbed them (``categories``: id, merged array)."""
     lookup = categories.select(F.explode("merged").alias(col), F.col("id").alias("_kept"))
     return rows.join(lookup, col, "left").withColumn(col, F.coalesce("_kept", col)).drop("_kept")
+
+
+# --- F09 query filters ------------------------------------------------------
+def without_text(queries: DataFrame, text: str) -> DataFrame:
+    return queries.where(~F.col("query_text").eqNullSafe(text))
+
+
+def without_zero_area_hits(queries: DataFrame, objects: DataFrame) -> DataFrame:
+    """Drop a query when any of its objects has no width or no height."""
+    flat = objects.where("x2 = x1 OR y2 = y1").select("query_id").distinct()
+    return queries.join(flat, "query_id", "left_anti")
+
+
+def without_many_objects(queries: DataFrame, limit: int) -> DataFrame:
+    return queries.where(F.size("object_ids") <= limit)
+
+
+def exhaustive_only(queries: DataFrame, kind: str) -> DataFrame:
+    """``instance`` wants a true flag; ``pixel`` lets a missing flag pass."""
+    if kind == "instance":
+        return queries.where(F.coalesce("is_exhaustive", F.lit(False)))
+    if kind == "pixel":
+        return queries.where(F.coalesce("is_pixel_exhaustive", F.lit(True)))
+    raise ValueError(f"unknown exhaustivity kind {kind}")
+
+
+def without_empty_geometric(queries: DataFrame) -> DataFrame:
+    return queries.where(~(F.col("has_box") & (F.col("query_text") == "geometric") & (F.size("object_ids") == 0)))
+
+
+def semantic_only(queries: DataFrame) -> DataFrame:
+    return queries.where(~F.col("has_box"))
+
+
+def attach_objects(queries: DataFrame, objects: DataFrame) -> DataFrame:
+    """Add ``object_ids``, the sorted ids of a query's objects (empty when none)."""
+    lists = objects.groupBy("query_id").agg(F.sort_array(F.collect_list("object_id")).alias("object_ids"))
+    return queries.join(lists, "query_id", "left").withColumn("object_ids", F.coalesce("object_ids", F.array().cast("array<bigint>")))
+
+
+# --- F10 object filters with the cascade ------------------------------------
+def cascade(queries: DataFrame, links: DataFrame, drop_objects: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clean a data point after its queries were filtered.
+
+    ``queries`` (datapoint_id, query_id, image_no, stage, ...) are the survivors; ``links`` are
+    (datapoint_id, query_id, object_id, ...) rows. Stages become dense from 0, objects that no
+    query names (or that ``drop_objects`` marks) go, objects are numbered per image and images
+    per data point without holes. Returns (queries, links with ``new_object_id``, failures).
+    """
+    point = ["datapoint_id"]
+    stages = queries.select(*point, "stage").distinct()
+    stages = stages.withColumn("new_stage", F.dense_rank().over(W.partitionBy(*point).orderBy("stage")) - 1)
+    images = queries.select(*point, "image_no").distinct()
+    images = images.withColumn("new_image_no", F.row_number().over(W.partitionBy(*point).orderBy("image_no")) - 1)
+    mapped = queries.join(stages, [*point, "stage"]).join(images, [*point, "image_no"])
+    live = links.where(~drop_objects).join(mapped.select(*point, "query_id", "image_no"), [*point, "query_id"])
+    used = live.select(*point, "image_no", "object_id").distinct()
+    numbered = ordinal(used, [*point, "image_no"], [F.floor(F.col("object_id") / 4096)], [F.col("object_id")], "new_object_id", start=0)
+    final_links = live.join(numbered, [*point, "image_no", "object_id"])
+    failures = (
+        mapped.groupBy(*point).agg(F.min("stage").alias("first_stage")).where("first_stage > 0").select(*point)
+    )
+    return mapped, final_links, failures
+
+
+# --- F12 / F08 / J08 / U03 --------------------------------------------------
+def category_split(categories: DataFrame, known: Sequence[int], distractor: Sequence[int]) -> DataFrame:
+    """Label category ids known / distractor / unknown (the rest)."""
+    return categories.withColumn(
+        "split",
+        F.when(F.col("category_id").isin(list(known)), "known").when(F.col("category_id").isin(list(distractor)), "distractor").otherwise("unknown"),
+    )
+
+
+def keep_split(rows: DataFrame, split: DataFrame, name: str) -> DataFrame:
+    return rows.join(split.where(F.col("split") == name).select("category_id"), "category_id", "left_semi")
+
+
+# --- J14 --------------------------------------------------------------------
+def image_category_queries(images: DataFrame, categories: DataFrame, annotations: DataFrame, negatives: bool) -> DataFrame:
+    """One query per image and category with its annotation ids; empty ones only with ``negatives``.
+
+    Without negatives no image x category grid is built at all. With them every category is
+    attached to every image as an array and exploded, so no join pairs whole tables.
+    """
+    hits = annotations.groupBy("image_id", "category_id").agg(F.sort_array(F.collect_list("ann_id")).alias("ann_ids"))
+    if not negatives:
+        return hits
+    grid = categories.select("category_id").distinct()
+    wide = images.select("image_id").distinct().join(grid)
+    return wide.join(hits, ["image_id", "category_id"], "left").withColumn(
+        "ann_ids", F.coalesce("ann_ids", F.array().cast("array<bigint>"))
+    )
+
+
+# --- draws ------------------------------------------------------------------
+def draw(seed: str, *cols: str) -> Column:
+    """A repeatable random order for rows: hash of a seed and the row's key."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in cols]))
+
+
+def uniform(seed: str, *cols: str) -> Column:
+    return F.conv(F.substring(draw(seed, *cols), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+# --- W11 / W12 --------------------------------------------------------------
+def sample_stages(queries: DataFrame, key: str, stage: str, n: int, stride: int, start: Column, reverse: bool = False) -> DataFrame:
+    """Keep ``n`` stages per item, ``stride`` apart (less when they do not fit), renumbered from 0.
+
+    ``start`` gives a non-negative number whose remainder picks the first stage. Items with
+    fewer than ``n`` stages give no rows.
+    """
+    stages = queries.select(key, stage).distinct()
+    stages = stages.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy(stage)) - 1)
+    totals = stages.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
+    fits = (n - 1) * stride <= F.col("_n") - 1
+    step = F.when(fits, F.lit(stride)).otherwise(F.floor((F.col("_n") - 1) / (n - 1)) if n > 1 else F.lit(1)).cast("int")
+    picked = (
+        stages.join(totals, key)
+        .withColumn("_step", step)
+        .withColumn("_first", F.pmod(start, F.col("_n") - (n - 1) * F.col("_step")))
+        .where((F.col("_i") >= F.col("_first")) & (F.col("_i") <= F.col("_first") + (n - 1) * F.col("_step")))
+        .where((F.col("_i") - F.col("_first")) % F.col("_step") == 0)
+    )
+    pos = ((F.col("_i") - F.col("_first")) / F.col("_step")).cast("int")
+    picked = picked.select(key, stage, (F.lit(n - 1) - pos if reverse else pos).alias("new_stage"))
+    return queries.join(picked, [key, stage])
+
+
+def cap_queries(queries: DataFrame, key: str, limit: int, order: Column, positives_first: bool = True) -> DataFrame:
+    """At most ``limit`` queries per item, those with objects first, the rest in random order."""
+    first = [(F.size("object_ids") == 0).cast("int")] if positives_first else []
+    return top_k(queries, [key], [*first, order, F.col("query_id")], limit)
+
+
+def cap_queries_per_frame(queries: DataFrame, key: str, frame: str, position: str, limit: int, order: Column) -> DataFrame:
+    """Choose positions on frame 0 and keep the same positions on every frame.
+
+    Items whose frames all hold at most ``limit`` queries stay whole.
+    """
+    full = (
+        queries.groupBy(key, frame).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key).distinct()
+    )
+    first = queries.where(F.col(frame) == 0).join(full, key, "left_semi")
+    kept = top_k(first, [key], [(F.size("object_ids") == 0).cast("int"), order, F.col(position)], limit).select(key, position)
+    return queries.join(kept, [key, position], "left_semi").unionByName(queries.join(full, key, "left_anti"))

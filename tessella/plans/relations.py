@@ -6,7 +6,9 @@ query and its oracle start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 
 _TYPES = ("icon", "picture", "rectangle", "arrow", "section_panel", "text", "container")
 
@@ -119,3 +121,57 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
 
 def quads(spark: SparkSession, sf: str) -> DataFrame:
     return det(spark, sf).selectExpr("det_id", "image_id", "category_id", "score", f"{_points(QUAD_POINTS)} AS poly")
+
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
+def run(spark: SparkSession, sf: str, sql: str) -> DataFrame:
+    """Run SQL over the tables and relations it names after FROM and JOIN."""
+    names = set(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_]+)", sql)) & (set(TABLES) | set(SQL))
+    bound = {n: rel(spark, sf, n) for n in names}
+    text = re.sub(r"\b(FROM|JOIN)\s+([a-z_]+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in bound else m[0], sql)
+    return spark.sql(text.replace("//", " div "), **bound)
+
+
+_FRAMES = {"det": det, "gt": gt, "request_log": request_log, "two_boxes": two_boxes, "paths": paths, "quads": quads}
+
+
+def rel(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A supplied table or a derived relation by name."""
+    if name in TABLES:
+        return table(spark, sf, name)
+    if name in _FRAMES:
+        return _FRAMES[name](spark, sf)
+    return run(spark, sf, SQL[name])
+
+
+SQL["find_queries"] = """
+SELECT o_orderkey AS query_id, o_orderkey // 15 AS datapoint_id, o_orderkey % 3 AS image_no, (o_custkey % 4) * 2 AS stage,
+  CASE WHEN o_custkey % 10 = 0 THEN 'geometric' ELSE o_orderpriority END AS query_text, o_custkey % 6 = 0 AS has_box,
+  CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey % 5 <> 0 END AS is_exhaustive,
+  CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE o_custkey % 8 <> 0 END AS is_pixel_exhaustive
+FROM orders
+"""
+SQL["query_objects"] = """
+SELECT det_id // 1000 AS query_id, image_id AS datapoint_id, det_id AS object_id, category_id = 6 AS is_crowd,
+  CASE WHEN category_id = 5 THEN 0e0 ELSE (x2 - x1) * (y2 - y1) END AS area, x1, y1, CASE WHEN category_id = 5 THEN x1 ELSE x2 END AS x2, y2
+FROM det
+"""
+SQL["cells"] = """
+SELECT r_regionkey AS doc, concat('r', r_regionkey) AS id, '1' AS parent, TRUE AS vertex, CAST(NULL AS STRING) AS source, CAST(NULL AS STRING) AS target,
+  'swimlane;html=1' AS style, r_name AS value, CAST(r_regionkey * 100 AS DOUBLE) AS x, 10e0 AS y, 400e0 AS width, 300e0 AS height FROM region
+UNION ALL SELECT n_regionkey, concat('n', n_nationkey), concat('r', n_regionkey), TRUE, NULL, NULL, 'rounded=1;html=1', n_name,
+  CAST(n_nationkey * 7 AS DOUBLE), 20e0, 80e0, 60e0 FROM nation
+UNION ALL SELECT n_regionkey, concat('s', s_suppkey), concat('n', s_nationkey), TRUE, NULL, NULL, 'ellipse;html=1', s_name,
+  CAST(s_suppkey % 50 AS DOUBLE), CAST(s_suppkey % 11 AS DOUBLE), 20e0, 10e0 FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT n_regionkey, concat('c', c_custkey), concat('n', c_nationkey), TRUE, NULL, NULL, 'text;html=1', c_name,
+  CAST(c_custkey % 60 AS DOUBLE), CAST(c_custkey % 13 AS DOUBLE), 16e0, 8e0 FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT n_regionkey, concat('o', o_orderkey), CASE WHEN o_orderkey % 5 = 0 THEN concat('n', c_nationkey) ELSE '1' END, FALSE, concat('c', o_custkey),
+  CASE WHEN o_orderkey % 11 = 0 THEN 's-none' ELSE concat('c', c_custkey) END,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'edgeStyle=orthogonalEdgeStyle;dashed=1' WHEN o_orderkey % 3 = 1 THEN 'curved=1;edgeStyle=curvedEdge;endArrow=open' ELSE 'html=1;dashed=dotted' END,
+  o_orderpriority, CAST(o_orderkey % 90 AS DOUBLE), CAST(o_orderkey % 40 AS DOUBLE), 0e0, 0e0
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+"""
