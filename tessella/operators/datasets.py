@@ -92,17 +92,25 @@ def keep_split(rows: DataFrame, split: DataFrame, name: str) -> DataFrame:
 
 
 # --- J14 --------------------------------------------------------------------
-def image_category_queries(images: DataFrame, categories: DataFrame, annotations: DataFrame, negatives: bool) -> DataFrame:
+def image_category_queries(images: DataFrame, categories: DataFrame, annotations: DataFrame, negatives: bool, chunk: int = 1024) -> DataFrame:
     """One query per image and category with its annotation ids; empty ones only with ``negatives``.
 
-    Without negatives no image x category grid is built at all. With them every category is
-    attached to every image as an array and exploded, so no join pairs whole tables.
+    Without negatives no image x category grid is built. With them the categories travel in
+    chunks: each image names every chunk number and meets the chunk's array by an equi-join,
+    so the grid is never produced by pairing whole tables.
     """
     hits = annotations.groupBy("image_id", "category_id").agg(F.sort_array(F.collect_list("ann_id")).alias("ann_ids"))
     if not negatives:
         return hits
-    grid = categories.select("category_id").distinct()
-    wide = images.select("image_id").distinct().join(grid)
+    chunks = (
+        categories.select("category_id").distinct().withColumn("_chunk", F.floor(F.col("category_id") / chunk))
+        .groupBy("_chunk").agg(F.collect_list("category_id").alias("_cats"))
+    )
+    top, low = chunks.agg(F.max("_chunk"), F.min("_chunk")).first()
+    wide = (
+        images.select("image_id").distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(low), F.lit(top))))
+        .join(chunks, "_chunk").select("image_id", F.explode("_cats").alias("category_id"))
+    )
     return wide.join(hits, ["image_id", "category_id"], "left").withColumn(
         "ann_ids", F.coalesce("ann_ids", F.array().cast("array<bigint>"))
     )
