@@ -22,7 +22,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], id_col:
     """
     keys = list(keys)
     ids = nodes.select(*keys, id_col)
-    e = edges.select(*keys, "a", "b").where(F.col("a") != F.col("b"))
+    e = cut(edges.select(*keys, "a", "b").where(F.col("a") != F.col("b")))
     hot = hot_groups(e, keys, limit)
     if hot.isEmpty():
         labels = _solve_small(e, keys)

@@ -324,6 +324,7 @@ def sequential_removal(events: DataFrame, keys: Sequence[str], at: Sequence[str]
     """
     keys = list(keys)
     ev = events.select(*keys, F.struct(*at).alias("_at"), F.col(winner).alias("_w"), F.col(loser).alias("_l"))
+    ev = cut(ev)  # read twice below, and the pair join behind it is the costly part
     hot = hot_groups(ev, keys, limit)
     if hot.isEmpty():
         return _removal_fold(ev, keys).withColumnRenamed("_l", loser)

@@ -16,10 +16,17 @@ from tessella.operators.spatial import cross_pairs, self_pairs, span_for_ratio
 def overlap_pairs(df: DataFrame, keys: Sequence[str], id_col: str, min_iou: float = 0.1, carry: Sequence[str] = ()) -> DataFrame:
     """Pairs a < b with IoU of at least ``min_iou``, their IoU and relationship label."""
     pairs = self_pairs(
-        df, keys, id_col, lambda a, b: bx.iou(box(a), box(b)) >= min_iou, carry=carry, span=span_for_ratio(min_iou)
+        df, keys, id_col, lambda a, b: bx.iou(box(a), box(b)) >= min_iou, carry=carry, span=span_for_ratio(min_iou),
+        extra={"iou": lambda a, b: bx.iou(box(a), box(b)), "_rel": lambda a, b: bx.relationship(box(a), box(b))},
     )
-    a, b = box("a_"), box("b_")
-    return pairs.withColumn("iou", bx.iou(a, b)).withColumn("relationship", bx.relationship(a, b))
+    same_box = (F.col("a_x1") == F.col("b_x1")) & (F.col("a_y1") == F.col("b_y1")) & (F.col("a_x2") == F.col("b_x2")) & (F.col("a_y2") == F.col("b_y2"))
+    label = (
+        F.when(~F.col("flipped") | same_box, F.col("_rel"))
+        .when(F.col("_rel") == "contains", "contained")
+        .when(F.col("_rel") == "contained", "contains")
+        .otherwise(F.col("_rel"))
+    )
+    return pairs.withColumn("relationship", label).drop("_rel", "flipped")
 
 
 def drop_existing(new: DataFrame, existing: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
@@ -39,21 +46,26 @@ def contained_rows(
     A row stops acting once it is removed; pairs act in the order (lower id, higher id). With
     ``equal_area_counts`` the later of two rows of equal area is the contained one.
     """
-    a, b = box("a_"), box("b_")
+
+    def inside(small, big):
+        """``small`` lies in ``big`` and ``big`` may act on it."""
+        p, q = box(small), box(big)
+        smaller = p.area < q.area
+        if equal_area_counts:
+            smaller = smaller | ((p.area == q.area) & (F.col(f"{small}{id_col}") > F.col(f"{big}{id_col}")))
+        if image_types_only:
+            smaller = smaller & F.lower(f"{big}element_type").isin(IMAGE_TYPES)
+        return smaller
+
     pairs = self_pairs(
-        df, keys, id_col, lambda p, q: bx.over_min(box(p), box(q)) > share, carry=["element_type"] if image_types_only else []
+        df, keys, id_col,
+        lambda p, q: (bx.over_min(box(p), box(q)) > share) & (inside(p, q) | inside(q, p)),
+        carry=["element_type"] if image_types_only else [],
+        extra={"_l": lambda p, q: F.when(inside(p, q), F.col(f"{p}{id_col}")).otherwise(F.col(f"{q}{id_col}"))},
     )
-    a_in_b = (a.area < b.area) & (bx.containment(b, a) > share)
-    b_bigger = (b.area <= a.area) if equal_area_counts else (b.area < a.area)
-    b_in_a = b_bigger & (bx.containment(a, b) > share)
-    if image_types_only:
-        a_in_b = a_in_b & F.lower("b_element_type").isin(IMAGE_TYPES)
-        b_in_a = b_in_a & F.lower("a_element_type").isin(IMAGE_TYPES)
     ida, idb = F.col(f"a_{id_col}"), F.col(f"b_{id_col}")
-    events = (
-        pairs.withColumn("_l", F.when(a_in_b, ida).when(b_in_a, idb))
-        .where(F.col("_l").isNotNull())
-        .select(*keys, ida.alias("_t1"), idb.alias("_t2"), F.when(a_in_b, idb).otherwise(ida).alias("_w"), F.col("_l").alias(id_col))
+    events = pairs.select(
+        *keys, ida.alias("_t1"), idb.alias("_t2"), F.when(F.col("_l") == ida, idb).otherwise(ida).alias("_w"), F.col("_l").alias(id_col)
     )
     return sequential_removal(events, keys, ["_t1", "_t2"], "_w", id_col)
 

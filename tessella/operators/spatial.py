@@ -74,7 +74,7 @@ def _levels(dfs: Sequence[DataFrame], keys: Sequence[str], pad: float) -> DataFr
 def _side(df: DataFrame, keys, bins: str, cols, prefix: str) -> DataFrame:
     out = df.select(
         *keys,
-        F.explode(bins).alias("_bin"),
+        F.explode_outer(bins).alias("_bin"),
         F.col("_lv").alias(f"_{prefix}lv"),
         F.col("_bx1").alias(f"_{prefix}bx"),
         F.col("_by1").alias(f"_{prefix}by"),
@@ -106,10 +106,13 @@ def self_pairs(
     pad: float = 0.0,
     span: int | None = None,
     small: int = SMALL,
+    extra: dict[str, Predicate] | None = None,
 ) -> DataFrame:
     """Every pair a < b (by id) of one group whose boxes, padded by ``pad``, meet and satisfy ``where``.
 
-    Columns: keys, then ``a_*`` and ``b_*`` for id, box and ``carry``.
+    Columns: keys, then ``a_*`` and ``b_*`` for id, box and ``carry``. ``where`` must not care
+    which row is a. ``extra`` columns are computed on the unordered pair; ``flipped`` then tells
+    whether a and b were exchanged afterwards.
     """
     cols = [id_col, *_XY, *carry]
     binned = _with_bins(df.select(*keys, *cols), _levels([df], keys, pad), keys, pad, span, small)
@@ -119,13 +122,18 @@ def self_pairs(
         ((F.col("_a_lv") < F.col("_b_lv")) | ((F.col("_a_lv") == F.col("_b_lv")) & (F.col(f"a_{id_col}") < F.col(f"b_{id_col}"))))
         & _owner_cell()
     )
+    # The predicate and the extras are symmetric: they read the joined columns as they are,
+    # and only surviving pairs are turned round.
+    found = joined.where(where("a_", "b_"))
+    found = found.select("*", *[fn("a_", "b_").alias(n) for n, fn in (extra or {}).items()])
     flip = F.col(f"a_{id_col}") > F.col(f"b_{id_col}")
-    oriented = joined.select(
+    return found.select(
         *keys,
         *[F.when(flip, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in cols],
         *[F.when(flip, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in cols],
+        *(extra or {}),
+        *([flip.alias("flipped")] if extra else []),
     )
-    return oriented.where(where("a_", "b_"))
 
 
 def cross_pairs(
@@ -158,7 +166,7 @@ def cross_pairs(
         )
         out = d.select(
             *keys,
-            F.explode("_bins").alias("_bin"),
+            F.explode_outer("_bins").alias("_bin"),
             F.col("_lv").alias(f"_{prefix}lv"),
             F.col("_bx1").alias(f"_{prefix}bx"),
             F.col("_by1").alias(f"_{prefix}by"),

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.session import tune
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,7 +19,13 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def tuned(spark: SparkSession, sf: str) -> DataFrame:
+            tune(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = tuned
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn

@@ -35,3 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
         named = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the operators count on; values a user has set are left alone.
+
+    The JVM never compiles methods over 8000 bytes of bytecode, and pair predicates fused with
+    their join easily get there. Under this limit Spark splits such a stage into smaller
+    methods instead of fusing it, which makes pair joins several times faster.
+    """
+    wanted = {"spark.sql.codegen.hugeMethodLimit": ("65535", "8000")}
+    for key, (default, value) in wanted.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
