@@ -167,3 +167,125 @@ def cap_queries_per_frame(queries: DataFrame, key: str, frame: str, position: st
     first = queries.where(F.col(frame) == 0).join(full, key, "left_semi")
     kept = top_k(first, [key], [(F.size("object_ids") == 0).cast("int"), order, F.col(position)], limit).select(key, position)
     return queries.join(kept, [key, position], "left_semi").unionByName(queries.join(full, key, "left_anti"))
+
+
+# --- W02 / W03 / W04 --------------------------------------------------------
+def first_shard_rows(rows: DataFrame, keys: Sequence[str], shard: str) -> DataFrame:
+    """All rows of the first shard in which a key appears.
+
+    The winning shard per key is a partial aggregate joined back, so no window sorts the
+    rows of a hot key in one task.
+    """
+    first = rows.groupBy(*keys).agg(F.min(shard).alias("_first"))
+    return rows.join(first, list(keys)).where(F.col(shard) == F.col("_first")).drop("_first")
+
+
+def merge_shards(rows: DataFrame, image: str, category: str, shard: str, score: str, id_col: str, k: int) -> DataFrame:
+    return top_k(first_shard_rows(rows, [image, category], shard), [image], [F.col(score).desc(), F.col(id_col)], k)
+
+
+def first_occurrence(rows: DataFrame, key: str, arrival: str) -> DataFrame:
+    """One row per key: the earliest by ``arrival``."""
+    rest = [c for c in rows.columns if c not in (key, arrival)]
+    first = rows.groupBy(key).agg(F.min(F.struct(arrival, *rest)).alias("_m"))
+    return first.select(key, "_m.*")
+
+
+# --- W05 .. W10 ids ----------------------------------------------------------
+def unique_track_ids(rows: DataFrame, video: str, track: str) -> DataFrame:
+    """Give every (track, video) of a track seen in several videos its own id after the largest id."""
+    pairs = rows.groupBy(track, video).agg(F.count(F.lit(1)).alias("_n"))
+    spread = pairs.groupBy(track).agg(F.count(F.lit(1)).alias("_v"), F.min(video).alias("_first")).where("_v > 1").select(track)
+    top = rows.agg(F.max(track).alias("_top"))
+    fresh = ordinal(
+        pairs.join(spread, track, "left_semi").select(track, video), [], [F.floor(F.col(track) / 256)], [F.col(track), F.col(video)], "_new"
+    )
+    fresh = fresh.withColumn("_top", F.lit(top.first()[0]))
+    return (
+        rows.join(fresh, [track, video], "left")
+        .withColumn(track, F.coalesce(F.col("_new") + F.col("_top"), F.col(track)))
+        .drop("_new", "_top")
+    )
+
+
+def pair_ids(positive: DataFrame, negative: DataFrame | None, video: str, category: str) -> DataFrame:
+    """New contiguous id per (video, category): known pairs in order, then unseen negative pairs."""
+    pos = positive.select(video, category).distinct().withColumn("_neg", F.lit(0))
+    pairs = pos
+    if negative is not None:
+        neg = negative.select(video, category).distinct().join(pos, [video, category], "left_anti").withColumn("_neg", F.lit(1))
+        pairs = pos.unionByName(neg)
+    out = ordinal(pairs, [], [F.col("_neg"), F.floor(F.col(video) / 1024)], [F.col(video), F.col(category)], "new_id")
+    return out.drop("_neg")
+
+
+def class_agnostic_ids(rows: DataFrame, video: str, track: str) -> DataFrame:
+    """Track ids that are unique over all videos (1, 2, ...) and category 1 everywhere."""
+    pairs = rows.select(video, track).distinct()
+    ids = ordinal(pairs, [], [F.floor(F.col(video) / 1024)], [F.col(video), F.col(track)], "new_track")
+    return rows.join(ids, [video, track]).withColumn("category_id", F.lit(1))
+
+
+def one_based(images: DataFrame, categories: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Shift the ids of every table that contains id 0 by one, and all references with them.
+
+    The three flags are one aggregated row each; a reference is shifted with its table.
+    """
+    shift = {n: (1 if d.where("id = 0").limit(1).count() else 0) for n, d in (("i", images), ("c", categories), ("a", annotations))}
+    return (
+        images.withColumn("id", F.col("id") + shift["i"]),
+        categories.withColumn("id", F.col("id") + shift["c"]),
+        annotations.withColumn("id", F.col("id") + shift["a"])
+        .withColumn("image_id", F.col("image_id") + shift["i"])
+        .withColumn("category_id", F.col("category_id") + shift["c"]),
+    )
+
+
+def timesteps(images: DataFrame, video: str, frame: str) -> DataFrame:
+    """Ordinal of each frame in its video, from 0; long videos are numbered in blocks of frames."""
+    return ordinal(images, [video], [F.floor(F.col(frame) / 4096)], [F.col(frame)], "timestep", start=0)
+
+
+def tracks_to_frames(tracks: DataFrame) -> DataFrame:
+    """Per-track box arrays to one row per visible frame (NULL boxes are skipped)."""
+    zipped = F.arrays_zip(F.col("bboxes").alias("bbox"), F.col("areas").alias("area"))
+    return (
+        tracks.select("video_id", F.col("id").alias("track_id"), "category_id", F.posexplode(zipped).alias("frame", "z"))
+        .select("video_id", "track_id", "category_id", "frame", "z.bbox", "z.area")
+        .where("bbox IS NOT NULL")
+    )
+
+
+# --- J09 / J16 ----------------------------------------------------------------
+def fill_video_ids(annotations: DataFrame, images: DataFrame) -> DataFrame:
+    lookup = images.select(F.col("id").alias("image_id"), F.col("video_id").alias("_v"))
+    return annotations.join(lookup, "image_id", "left").withColumn("video_id", F.coalesce("video_id", "_v")).drop("_v")
+
+
+def unresolved(rows: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows whose key is absent from ``lookup``; callers fail when it is not empty."""
+    return rows.join(lookup, list(on), "left_anti")
+
+
+# --- W15 --------------------------------------------------------------------
+def assemble_tracks(frames: DataFrame, keys: Sequence[str], frame: str, n_frames: DataFrame, join_on: Sequence[str]) -> DataFrame:
+    """Per-object dense frame arrays from sparse rows: gaps get score -1e8 and a NULL box.
+
+    Track score is the mean of the seen scores; the label is the most frequent, smallest on ties.
+    """
+    keys = list(keys)
+    votes = frames.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n"))
+    label = votes.groupBy(*keys).agg(F.max_by("label", F.struct("_n", (-F.col("label")).alias("_l"))).alias("label"))
+    seen = frames.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(frame), F.struct("bbox", "score")))).alias("_by_frame"), F.avg("score").alias("score")
+    )
+    at = F.sequence(F.lit(0), F.col("n_frames") - 1)
+    dense = F.transform(at, lambda t: F.try_element_at("_by_frame", t.cast("int")))
+    return (
+        seen.join(label, keys)
+        .join(n_frames, list(join_on))
+        .withColumn("_dense", dense)
+        .withColumn("bboxes", F.transform("_dense", lambda d: d["bbox"]))
+        .withColumn("scores", F.transform("_dense", lambda d: F.coalesce(d["score"], F.lit(-1e8))))
+        .drop("_dense", "_by_frame")
+    )
