@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tessella.functions.paths import let
+
 # Font style bits.
 BOLD, ITALIC, UNDERLINE = 1, 2, 4
 
@@ -71,15 +73,23 @@ def plain_rgb(hex_color: Column) -> Column:
 
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two hex colours; 0 when either cannot be read."""
-    p, q = plain_rgb(a), plain_rgb(b)
-    d = sum(((p[n] - q[n]) * (p[n] - q[n]) for n in "gb"), (p["r"] - q["r"]) * (p["r"] - q["r"]))
-    return F.when(p.isNull() | q.isNull(), 0.0).otherwise(F.sqrt(d.cast("double")))
+
+    def measured(pair):
+        p, q = pair["p"], pair["q"]
+        d = (p["r"] - q["r"]) * (p["r"] - q["r"]) + (p["g"] - q["g"]) * (p["g"] - q["g"]) + (p["b"] - q["b"]) * (p["b"] - q["b"])
+        return F.when(p.isNull() | q.isNull(), 0.0).otherwise(F.sqrt(d.cast("double")))
+
+    return let(F.struct(plain_rgb(a).alias("p"), plain_rgb(b).alias("q")), measured)
 
 
 def dark_to_black(color: Column) -> Column:
     """Dark greys become #000000; everything else keeps its digits."""
-    h = F.regexp_replace(color, "^#+", "")
-    c = F.when(F.length(h) == 6, _channels(h))
-    spread = F.greatest(F.abs(c["r"] - c["g"]), F.abs(c["g"] - c["b"]), F.abs(c["r"] - c["b"]))
-    dark = ((c["r"] + c["g"] + c["b"]) / 3 < 80) & (spread < 40)
-    return F.when(F.coalesce(color, F.lit("")) == "", "#000000").when(dark, "#000000").otherwise(F.concat(F.lit("#"), h))
+
+    def judged(h):
+        def dark(c):
+            spread = F.greatest(F.abs(c["r"] - c["g"]), F.abs(c["g"] - c["b"]), F.abs(c["r"] - c["b"]))
+            return F.coalesce(((c["r"] + c["g"] + c["b"]) / 3 < 80) & (spread < 40), F.lit(False))
+
+        return F.when(let(F.when(F.length(h) == 6, _channels(h)), dark), "#000000").otherwise(F.concat(F.lit("#"), h))
+
+    return F.when(F.coalesce(color, F.lit("")) == "", "#000000").otherwise(let(F.regexp_replace(color, "^#+", ""), judged))
