@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from tessella.functions import boxes as bx
+from tessella.functions.boxes import box
+from tessella.operators.assign import assign
+from tessella.operators.numbering import running_sum, top_k
+from tessella.operators.spatial import cross_pairs
+from tessella.session import cut
 
 
 def per_image_counts(images: DataFrame, gt: DataFrame, dt: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -12,3 +20,337 @@ def per_image_counts(images: DataFrame, gt: DataFrame, dt: DataFrame, keys: Sequ
     keys = list(keys)
     n = lambda d, name: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     return images.join(n(gt, "n_gt"), keys, "left").join(n(dt, "n_dt"), keys, "left").fillna(0, ["n_gt", "n_dt"])
+
+
+# IoU thresholds 0.50, 0.55 .. 0.95 and 0.05, 0.10 .. 0.95, as hundredths.
+MATCH_STEPS = list(range(50, 100, 5))
+ALPHA_STEPS = list(range(5, 100, 5))
+EPS, EPS_IMAGE = 1e-4, 1e-6
+
+
+def thresholds(steps: list[int]) -> Column:
+    return F.array(*[F.lit(s) for s in steps])
+
+
+def iou_pairs(gt: DataFrame, dt: DataFrame, keys: Sequence[str], gt_id: str = "gt_id", dt_id: str = "det_id") -> DataFrame:
+    """Ground-truth x prediction pairs that overlap, with their IoU."""
+    pairs = cross_pairs(
+        gt, dt, list(keys), lambda a, b: bx.intersection(box(a), box(b)) > 0, left_cols=[gt_id], right_cols=[dt_id]
+    )
+    return pairs.select(*keys, F.col(f"a_{gt_id}").alias(gt_id), F.col(f"b_{dt_id}").alias(dt_id), bx.iou(box("a_"), box("b_")).alias("iou"))
+
+
+def image_scores(images: DataFrame, gt: DataFrame, dt: DataFrame, matches: DataFrame, keys: Sequence[str], steps=MATCH_STEPS) -> DataFrame:
+    """Per image and threshold: TP, FP, FN, F1 and the image-level outcome.
+
+    ``matches`` holds the assigned pairs with ``iou``. Images without any row are true negatives.
+    """
+    keys = list(keys)
+    counts = per_image_counts(images, gt, dt, keys).withColumn("threshold", F.explode(thresholds(steps)))
+    hits = (
+        matches.withColumn("threshold", F.explode(F.filter(thresholds(steps), lambda t: F.col("iou") >= t / 100.0)))
+        .groupBy(*keys, "threshold").agg(F.count(F.lit(1)).alias("tp"))
+    )
+    rows = counts.join(hits, [*keys, "threshold"], "left").fillna(0, ["tp"])
+    return with_outcome(rows.withColumn("fp", F.col("n_dt") - F.col("tp")).withColumn("fn", F.col("n_gt") - F.col("tp")))
+
+
+def with_outcome(rows: DataFrame) -> DataFrame:
+    """Add F1 and image-level flags to rows with n_gt, n_dt, tp, fp, fn."""
+    p, r = F.col("tp") / (F.col("tp") + F.col("fp") + EPS), F.col("tp") / (F.col("tp") + F.col("fn") + EPS)
+    g, d = F.col("n_gt") > 0, F.col("n_dt") > 0
+    flag = lambda c, n: c.cast("int").alias(n)
+    return rows.select(
+        "*", F.when(g | d, 2 * p * r / (p + r + EPS)).alias("f1"), flag(g & d, "il_tp"), flag(~g & d, "il_fp"), flag(~g & ~d, "il_tn"), flag(g & ~d, "il_fn"),
+        flag((g | d) & (F.col("fp") == 0) & (F.col("fn") == 0), "perfect"),
+    )
+
+
+def _prf(tp, fp, fn, eps=EPS):
+    p, r = tp / (tp + fp + eps), tp / (tp + fn + eps)
+    return p, r, 2 * p * r / (p + r + eps)
+
+
+def dataset_scores(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """cgF1 and its parts per threshold, from per-image rows.
+
+    Positive sums only take images with ground truth. An image whose objects were all missed adds
+    0 to the macro sum but not to its denominator.
+    """
+    pos = F.col("n_gt") > 0
+    s = lambda c: F.sum(c)
+    agg = rows.groupBy(*keys, "threshold").agg(
+        s("tp").alias("tp"), s("fp").alias("fp"), s("fn").alias("fn"), s(F.when(pos, F.col("fp")).otherwise(0)).alias("pos_fp"),
+        s(F.when(pos & (F.col("n_dt") > 0), F.col("f1")).otherwise(0.0)).alias("_macro"), s((pos & (F.col("n_dt") > 0)).cast("int")).alias("_n"),
+        *[s(c).alias(c) for c in ("il_tp", "il_fp", "il_tn", "il_fn")],
+        s((F.col("perfect") * pos.cast("int"))).alias("perfect_pos"), F.count(F.lit(1)).alias("images"),
+    )
+    tp, fp, fn, pfp = (F.col(c) for c in ("tp", "fp", "fn", "pos_fp"))
+    itp, ifp, itn, ifn = (F.col(c).cast("double") for c in ("il_tp", "il_fp", "il_tn", "il_fn"))
+    p, r, f1 = _prf(tp, fp, fn)
+    pp, _, pf1 = _prf(tp, pfp, fn)
+    ip, ir, if1 = _prf(itp, ifp, ifn, EPS_IMAGE)
+    mcc = (itp * itn - ifp * ifn) / (F.sqrt((itp + ifp) * (itp + ifn) * (itn + ifp) * (itn + ifn)) + EPS_IMAGE)
+    out = agg.select(
+        *keys, "threshold", "tp", "fp", "fn", "pos_fp", p.alias("precision"), r.alias("recall"), f1.alias("f1"), pp.alias("positive_micro_precision"),
+        pf1.alias("positive_micro_f1"), F.try_divide("_macro", "_n").alias("positive_macro_f1"), ip.alias("il_precision"), ir.alias("il_recall"), if1.alias("il_f1"),
+        (ifp / (ifp + itn + EPS_IMAGE)).alias("il_fpr"), mcc.alias("il_mcc"), F.try_divide("perfect_pos", F.col("il_tp") + F.col("il_fn")).alias("il_perfect_pos"),
+        F.try_divide(F.col("il_tn"), F.col("il_tn") + F.col("il_fp")).alias("il_perfect_neg"),
+    )
+    return out.withColumn("cgf1_micro", F.col("positive_micro_f1") * F.col("il_mcc")).withColumn("cgf1_macro", F.col("positive_macro_f1") * F.col("il_mcc"))
+
+
+def with_jf(scores: DataFrame, region: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean region similarity J, contour F and J&F of matched masks joined to the scores.
+
+    ``region`` holds per-match ``j`` and ``f`` with the keys of ``scores``.
+    """
+    m = region.groupBy(*keys).agg(F.avg("j").alias("j"), F.avg("f").alias("f_contour"))
+    return scores.join(m, list(keys), "left").withColumn("j_and_f", (F.col("j") + F.col("f_contour")) / 2)
+
+
+def best_ground_truth(rows: DataFrame, keys: Sequence[str], gt_set: str) -> DataFrame:
+    """Oracle scoring: per image the ground-truth set with the best mean F1; a true negative wins.
+
+    Among several true negatives the last set counts, among equal scores the first.
+    """
+    per_set = rows.groupBy(*keys, gt_set).agg(F.avg("f1").alias("_mean"))
+    tn = F.col("_mean").isNull()
+    rank = F.struct(tn.cast("int"), F.coalesce("_mean", F.lit(0.0)), F.when(tn, F.col(gt_set)).otherwise(-F.col(gt_set)))
+    chosen = per_set.groupBy(*keys).agg(F.max_by(gt_set, rank).alias(gt_set))
+    return rows.join(chosen, [*keys, gt_set], "left_semi")
+
+
+def per_pair_scores(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """TP, FP, FN and F1 per (video, phrase), averaged over thresholds; F1 is 1 when nothing is there."""
+    t = rows.groupBy(*keys, "threshold").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    f1 = F.when(den > 0, 2 * F.col("tp") / den).otherwise(1.0)
+    return t.withColumn("_f", f1).groupBy(*keys).agg(
+        F.avg("tp").alias("tp"), F.avg("fp").alias("fp"), F.avg("fn").alias("fn"), F.avg("_f").alias("f1"),
+        F.max(F.when(F.col("threshold") == 50, F.col("_f"))).alias("f1_50"),
+    )
+
+
+# --- A11 average precision ---------------------------------------------------------
+def greedy_matches(pairs: DataFrame, dt: DataFrame, keys: Sequence[str], steps=MATCH_STEPS, max_dets: int = 100) -> DataFrame:
+    """Per detection and threshold whether it takes a ground truth: best score first, best IoU free.
+
+    ``pairs`` needs gt_id, det_id, iou and is_crowd; ``dt`` needs det_id and score. The ``max_dets``
+    best detections per image take part. A detection on a crowd only is ignored, not wrong.
+    Rows: keys, det_id, score, threshold, hit (1, 0, or NULL when ignored).
+    """
+    keys = list(keys)
+    top = top_k(dt.select(*keys, "det_id", "score"), keys, [F.col("score").desc(), F.col("det_id")], max_dets)
+    cand = pairs.join(top, [*keys, "det_id"])
+    lists = cand.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "det_id", F.col("is_crowd").cast("int").alias("c"), (-F.col("iou")).alias("n"), "gt_id"))).alias("_c")
+    )
+    nkeys = len(keys)
+
+    def match(batches):
+        for rb in batches:
+            col = rb.column(nkeys)
+            off = col.offsets.to_pylist()
+            v = col.values
+            det, crowd, iou, gid = v.field("det_id").to_pylist(), v.field("c").to_pylist(), v.field("n").to_pylist(), v.field("gt_id").to_pylist()
+            at, ids, thr, hit = [], [], [], []
+            for g, (lo, hi) in enumerate(zip(off[:-1], off[1:])):
+                for s in steps:
+                    taken, done, ignored = set(), set(), set()
+                    for e in range(lo, hi):
+                        # Rows come per detection: real objects by falling IoU, then crowds.
+                        if -iou[e] < min(s / 100.0, 1 - 1e-10) or det[e] in done:
+                            continue
+                        if crowd[e]:
+                            ignored.add(det[e])
+                        elif gid[e] not in taken:
+                            taken.add(gid[e])
+                            done.add(det[e])
+                    for d in done | ignored:
+                        at.append(g)
+                        ids.append(d)
+                        thr.append(s)
+                        hit.append(1 if d in done else None)
+            idx = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[rb.column(k).take(idx) for k in range(nkeys)], pa.array(ids, v.field("det_id").type), pa.array(thr, pa.int32()), pa.array(hit, pa.int32())],
+                [*keys, "det_id", "threshold", "hit"],
+            )
+
+    types = {f.name: f.dataType for f in cand.schema.fields}
+    schema = T.StructType(
+        [T.StructField(k, types[k]) for k in keys]
+        + [T.StructField("det_id", types["det_id"]), T.StructField("threshold", T.IntegerType()), T.StructField("hit", T.IntegerType())]
+    )
+    found = lists.mapInArrow(match, schema).withColumn("_seen", F.lit(True))
+    every = top.withColumn("threshold", F.explode(thresholds(steps)))
+    return every.join(found, [*keys, "det_id", "threshold"], "left").withColumn("hit", F.when(F.col("_seen"), F.col("hit")).otherwise(0)).drop("_seen")
+
+
+def average_precision(hits: DataFrame, positives: int | Column, keys: Sequence[str] = (), score_buckets: float = 1000.0) -> DataFrame:
+    """AP (101 recall points) and AR per threshold from ``hit``/``score`` rows.
+
+    Cumulative counts are taken in two levels over score buckets, so no task sorts all
+    detections. The interpolated precision at a recall point is the best precision at that
+    recall or beyond, hence one maximum per recall level and a suffix maximum over 101 rows.
+    """
+    keys = [*keys, "threshold"]
+    live = hits.where("hit IS NOT NULL")
+    cum = running_sum(
+        live, keys, [-F.floor(F.col("score") / score_buckets)], [F.col("score").desc(), F.col("det_id")], {"tp": F.col("hit"), "seen": F.lit(1)}
+    )
+    npos = positives if isinstance(positives, Column) else F.lit(positives)
+    level = F.floor(F.col("tp") * 100 / npos).cast("int")
+    best = cum.select(*keys, level.alias("level"), (F.col("tp") / F.col("seen")).alias("precision"), "tp").groupBy(*keys, "level").agg(
+        F.max("precision").alias("precision"), F.max("tp").alias("tp")
+    )
+    # Each level row serves the recall points above the level before it.
+    order = W.partitionBy(*keys).orderBy(F.col("level").desc())
+    env = best.withColumn("_env", F.max("precision").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn(
+        "_points", F.col("level") - F.coalesce(F.lead("level").over(order), F.lit(-1))
+    )
+    return env.groupBy(*keys).agg((F.sum(F.col("_env") * F.col("_points")) / 101).alias("ap"), (F.max("tp") / npos).alias("ar"))
+
+
+# --- A13 / A21 tracks -----------------------------------------------------------------
+def tracklet_iou(frames: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """IoU of track pairs summed over frames; a frame where only one is visible adds to the union.
+
+    ``frames``: keys, track_id, frame, box. ``pairs``: keys, a_id, b_id. The union of a pair is the
+    sum of both total areas less the shared part, so only co-visible frames are joined.
+    """
+    keys = list(keys)
+    totals = frames.groupBy(*keys, "track_id").agg(F.sum(box().area).alias("_total"))
+    side = lambda p: frames.select(*keys, F.col("track_id").alias(f"{p}_id"), "frame", *[F.col(c).alias(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")])
+    shared = (
+        pairs.join(side("a"), [*keys, "a_id"]).join(side("b"), [*keys, "b_id", "frame"])
+        .groupBy(*keys, "a_id", "b_id").agg(F.sum(bx.intersection(box("a_"), box("b_"))).alias("inter"))
+    )
+    t = lambda p: totals.select(*keys, F.col("track_id").alias(f"{p}_id"), F.col("_total").alias(f"_{p}t"))
+    out = pairs.join(t("a"), [*keys, "a_id"]).join(t("b"), [*keys, "b_id"]).join(shared, [*keys, "a_id", "b_id"], "left").fillna(0.0, ["inter"])
+    union = F.col("_at") + F.col("_bt") - F.col("inter")
+    return out.select(*keys, "a_id", "b_id", F.when(union > 0, F.col("inter") / union).otherwise(0.0).alias("iou"))
+
+
+def visible_mean_area(tracks: DataFrame) -> Column:
+    """Mean of the areas above 0 (width x height where the area is missing), 0 without any."""
+    whole = F.zip_with("areas", "bboxes", lambda a, b: F.coalesce(a, F.get(b, F.lit(2)) * F.get(b, F.lit(3))))
+    seen = F.filter(whole, lambda a: a > 0)
+    return F.coalesce(F.try_divide(F.aggregate(seen, F.lit(0.0), lambda s, a: s + a), F.size(seen)), F.lit(0.0))
+
+
+# --- A15 HOTA ---------------------------------------------------------------------------
+def hota(gt: DataFrame, trk: DataFrame, pairs: DataFrame, seq: str, steps=ALPHA_STEPS) -> DataFrame:
+    """HOTA and its parts per sequence and alpha (in hundredths).
+
+    ``gt``: seq, t, gt_id; ``trk``: seq, t, trk_id; ``pairs``: seq, t, gt_id, trk_id, sim.
+    """
+    frame = [seq, "t"]
+    pairs = cut(pairs)
+    gsum = pairs.groupBy(*frame, "gt_id").agg(F.sum("sim").alias("_gs"))
+    tsum = pairs.groupBy(*frame, "trk_id").agg(F.sum("sim").alias("_ts"))
+    den = F.col("_gs") + F.col("_ts") - F.col("sim")
+    mass = pairs.join(gsum, [*frame, "gt_id"]).join(tsum, [*frame, "trk_id"]).groupBy(seq, "gt_id", "trk_id").agg(
+        F.sum(F.when(den > 0, F.col("sim") / den).otherwise(0.0)).alias("_mass")
+    )
+    gcount = gt.groupBy(seq, "gt_id").agg(F.count(F.lit(1)).alias("_gc"))
+    tcount = trk.groupBy(seq, "trk_id").agg(F.count(F.lit(1)).alias("_tc"))
+    align = mass.join(gcount, [seq, "gt_id"]).join(tcount, [seq, "trk_id"]).withColumn(
+        "_align", F.col("_mass") / (F.col("_gc") + F.col("_tc") - F.col("_mass"))
+    )
+    scored = pairs.join(align, [seq, "gt_id", "trk_id"]).withColumn("_score", F.col("_align") * F.col("sim"))
+    matched = assign(scored, frame, "gt_id", "trk_id", "_score").join(pairs, [*frame, "gt_id", "trk_id"])
+    eps = 2.220446049250313e-16
+    at = matched.withColumn("alpha", F.explode(F.filter(thresholds(steps), lambda s: F.col("sim") >= s / 100.0 - eps)))
+    per_pair = at.groupBy(seq, "alpha", "gt_id", "trk_id").agg(F.count(F.lit(1)).alias("m"), F.sum("sim").alias("loc"))
+    per_pair = per_pair.join(gcount, [seq, "gt_id"]).join(tcount, [seq, "trk_id"])
+    one = F.lit(1.0)
+    m, gc, tc = F.col("m"), F.col("_gc"), F.col("_tc")
+    sums = per_pair.groupBy(seq, "alpha").agg(
+        F.sum("m").alias("tp"), F.sum("loc").alias("loc"), F.sum(m * m / F.greatest(one, gc + tc - m)).alias("_a"),
+        F.sum(m * m / F.greatest(one, gc)).alias("_re"), F.sum(m * m / F.greatest(one, tc)).alias("_pr"),
+    )
+    n = lambda d, name: d.groupBy(seq).agg(F.count(F.lit(1)).alias(name))
+    grid = (
+        gt.select(seq).union(trk.select(seq)).distinct().join(n(gt, "n_gt"), seq, "left").join(n(trk, "n_trk"), seq, "left").fillna(0, ["n_gt", "n_trk"])
+        .withColumn("alpha", F.explode(thresholds(steps)))
+    )
+    rows = grid.join(sums, [seq, "alpha"], "left").fillna(0, ["tp"]).fillna(0.0, ["loc", "_a", "_re", "_pr"])
+    return hota_fields(
+        rows.withColumn("fn", F.col("n_gt") - F.col("tp")).withColumn("fp", F.col("n_trk") - F.col("tp"))
+        .withColumn("ass_a", F.col("_a") / F.greatest(one, F.col("tp"))).withColumn("ass_re", F.col("_re") / F.greatest(one, F.col("tp")))
+        .withColumn("ass_pr", F.col("_pr") / F.greatest(one, F.col("tp")))
+        .withColumn("loc_a", F.when((F.col("n_gt") == 0) | (F.col("n_trk") == 0), 1.0).otherwise(F.greatest(F.lit(1e-10), F.col("loc")) / F.greatest(F.lit(1e-10), F.col("tp"))))
+        .drop("loc", "_a", "_re", "_pr", "n_gt", "n_trk")
+    )
+
+
+def hota_fields(rows: DataFrame) -> DataFrame:
+    one = F.lit(1.0)
+    tp, fn, fp = F.col("tp"), F.col("fn"), F.col("fp")
+    return (
+        rows.withColumn("det_re", tp / F.greatest(one, tp + fn)).withColumn("det_pr", tp / F.greatest(one, tp + fp)).withColumn("det_a", tp / F.greatest(one, tp + fn + fp))
+        .withColumn("hota", F.sqrt(F.col("det_a") * F.col("ass_a"))).withColumn("owta", F.sqrt(F.col("det_re") * F.col("ass_a")))
+    )
+
+
+ASSOCIATION = ("ass_a", "ass_re", "ass_pr")
+
+
+def combine_sequences(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sum counts, weight association and localisation by TP, and derive the ratios again."""
+    weight = lambda c: (F.sum(F.col(c) * F.col("tp")) / F.greatest(F.lit(1.0), F.sum("tp"))).alias(c)
+    loc = (F.greatest(F.lit(1e-10), F.sum(F.col("loc_a") * F.col("tp"))) / F.greatest(F.lit(1e-10), F.sum("tp"))).alias("loc_a")
+    agg = rows.groupBy(*keys).agg(F.sum("tp").alias("tp"), F.sum("fn").alias("fn"), F.sum("fp").alias("fp"), *[weight(c) for c in ASSOCIATION], loc)
+    return hota_fields(agg)
+
+
+def combine_classes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Plain mean over classes of every ratio; counts are summed."""
+    ratios = [*ASSOCIATION, "loc_a", "det_re", "det_pr", "det_a", "hota", "owta"]
+    return rows.groupBy(*keys).agg(F.sum("tp").alias("tp"), F.sum("fn").alias("fn"), F.sum("fp").alias("fp"), *[F.avg(c).alias(c) for c in ratios])
+
+
+def roll_up(rows: DataFrame, cls: str, group: str) -> DataFrame:
+    """Detection-weighted scores per class, per super-category and over all, in one pass."""
+    weight = lambda c: (F.sum(F.col(c) * F.col("tp")) / F.greatest(F.lit(1.0), F.sum("tp"))).alias(c)
+    levels = rows.groupingSets([["alpha", group, cls], ["alpha", group], ["alpha"]], "alpha", group, cls)
+    return levels.agg(F.sum("tp").alias("tp"), F.sum("fn").alias("fn"), F.sum("fp").alias("fp"), *[weight(c) for c in ASSOCIATION], weight("loc_a"), F.grouping_id().alias("level"))
+
+
+# --- A17 / A20 --------------------------------------------------------------------------
+def sequence_counts(rows: DataFrame, seq: str) -> DataFrame:
+    return rows.groupBy(seq).agg(F.count(F.lit(1)).alias("dets"), F.countDistinct("track_id").alias("ids"), F.countDistinct("frame").alias("frames"))
+
+
+def duplicate_ids(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ids that occur more than once in a frame; evaluation must stop when there are any."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def uneven_stages(queries: DataFrame, item: str, stage: str) -> DataFrame:
+    """Stages whose query count differs from their item's most frequent count (smallest on ties)."""
+    n = queries.groupBy(item, stage).agg(F.count(F.lit(1)).alias("n"))
+    votes = n.groupBy(item, "n").agg(F.count(F.lit(1)).alias("_v"))
+    mode = votes.groupBy(item).agg(F.max_by("n", F.struct("_v", -F.col("n"))).alias("expected"))
+    return n.join(mode, item).where("n <> expected")
+
+
+# --- F11 -----------------------------------------------------------------------------------
+def drop_unmatched(trk: DataFrame, gt: DataFrame, pairs: DataFrame, flags: DataFrame, keys: Sequence[str], min_sim: float = 0.5) -> DataFrame:
+    """Remove unmatched tracker rows where the class is not fully labelled, or where the frame has
+    no ground truth of it and it is not a known negative.
+
+    ``flags``: one row per key prefix with is_negative and not_exhaustive.
+    """
+    keys = list(keys)
+    eps = 2.220446049250313e-16
+    matched = assign(pairs.where(F.col("sim") >= min_sim - eps), keys, "gt_id", "trk_id", "sim").select(*keys, "trk_id").distinct()
+    has_gt = gt.select(*keys).distinct().withColumn("_gt", F.lit(True))
+    on = [c for c in flags.columns if c in keys]
+    bad = trk.join(has_gt, keys, "left").join(flags, on, "left").where(
+        (F.col("_gt").isNull() & ~F.coalesce("is_negative", F.lit(False))) | F.coalesce("not_exhaustive", F.lit(False))
+    )
+    gone = bad.join(matched, [*keys, "trk_id"], "left_anti").select(*keys, "trk_id")
+    return trk.join(gone, [*keys, "trk_id"], "left_anti")
