@@ -35,7 +35,7 @@ def parent_offsets(cells: DataFrame) -> DataFrame:
     nodes = cells.select("doc", "id", F.when(F.col("parent").isin("0", "1"), None).otherwise(F.col("parent")).alias("ptr"), "x", "y")
     known = nodes.select("doc", F.col("id").alias("ptr"))
     live = nodes.join(known.withColumn("_ok", F.lit(True)), ["doc", "ptr"], "left")
-    step = live.select("doc", "id", F.when("_ok", F.col("ptr")).alias("ptr"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    step = live.select("doc", "id", F.when(F.col("_ok"), F.col("ptr")).alias("ptr"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     # sx, sy of a node: its own position plus that of the ancestors skipped so far.
     for _ in range(64):
         step = cut(step)

@@ -48,13 +48,28 @@ def running_sum(
     df: DataFrame, keys: Sequence[str], coarse: Sequence[Column], order: Sequence[Column], sums: dict[str, Column]
 ) -> DataFrame:
     """Cumulative sums in two levels: per coarse bucket, then inside it (see ``ordinal``)."""
+    return _running(df, keys, coarse, order, sums, F.sum, lambda a, b: a + b, F.lit(0))
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], coarse: Sequence[Column], order: Sequence[Column], values: dict[str, Column]
+) -> DataFrame:
+    """Largest value so far, in the same two levels."""
+    return _running(df, keys, coarse, order, values, F.max, F.greatest, None)
+
+
+def _running(df, keys, coarse, order, sums, agg, join, empty):
     keys = list(keys)
     cs = [f"_c{i}" for i in range(len(coarse))]
     tagged = df.select("*", *[c.alias(n) for c, n in zip(coarse, cs)], *[c.alias(f"_v_{n}") for n, c in sums.items()])
-    totals = tagged.groupBy(*keys, *cs).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    totals = tagged.groupBy(*keys, *cs).agg(*[agg(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = W.partitionBy(*keys).orderBy(*cs).rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *cs, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums])
+    offsets = totals.select(*keys, *cs, *[_else(agg(f"_t_{n}").over(before), empty).alias(f"_off_{n}") for n in sums])
     inside = W.partitionBy(*keys, *cs).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = tagged.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_in_{n}") for n in sums])
+    local = tagged.select("*", *[agg(f"_v_{n}").over(inside).alias(f"_in_{n}") for n in sums])
     joined = local.join(offsets, [*keys, *cs])
-    return joined.select(*df.columns, *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums])
+    return joined.select(*df.columns, *[join(F.col(f"_in_{n}"), F.col(f"_off_{n}")).alias(n) for n in sums])
+
+
+def _else(c: Column, empty: Column | None) -> Column:
+    return c if empty is None else F.coalesce(c, empty)

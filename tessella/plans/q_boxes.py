@@ -9,7 +9,7 @@ from tessella.functions.boxes import Box, box
 from tessella.plans.registry import query
 from tessella.plans.relations import det, paths, quads, two_boxes, with_views
 
-W, H = F.lit(100.0), F.lit(20.0)
+W, H = 100.0, 20.0
 
 
 @query(
@@ -326,7 +326,7 @@ def p18(spark, sf):
 SELECT det_id, x1 / 100 AS nx1, y2 / 20 AS ny2, least(greatest(x2 / 80 * 60, 0), 60) AS dx2, least(greatest(y2 / 80 * 60, 0), 12) AS dy2 FROM det""",
 )
 def p19(spark, sf):
-    n = bx.normalize(box(), W, H)
+    n = bx.normalize(box(), F.lit(W), F.lit(H))
     d = bx.denormalize_clamped(bx.scale(box(), F.lit(1 / 80), F.lit(1 / 80)), F.lit(60.0), F.lit(60.0))
     return det(spark, sf).select(
         "det_id", n.x1.alias("nx1"), n.y2.alias("ny2"), F.least(F.greatest(F.col("x2") / 80 * 60, F.lit(0.0)), F.lit(60.0)).alias("dx2"),
@@ -345,7 +345,7 @@ SELECT det_id, cx1, cy1, cx2, cy2, (cx2 - cx1) * (cy2 - cy1) AS crop_area, 100 -
 def p20(spark, sf):
     b = box()
     c = bx.crop(b, F.lit(10.0), F.lit(3.0), F.lit(40.0), F.lit(10.0))
-    f, r, p = bx.hflip(b, W), bx.scale(b, F.lit(2.0), F.lit(0.5)), bx.pad(b, F.lit(4.0), F.lit(6.0))
+    f, r, p = bx.hflip(b, F.lit(W)), bx.scale(b, F.lit(2.0), F.lit(0.5)), bx.pad(b, F.lit(4.0), F.lit(6.0))
     return det(spark, sf).select(
         "det_id", c.x1.alias("cx1"), c.y1.alias("cy1"), c.x2.alias("cx2"), c.y2.alias("cy2"), c.area.alias("crop_area"), f.x1.alias("fx1"),
         f.x2.alias("fx2"), r.x1.alias("rx1"), r.y2.alias("ry2"), (b.area * (2.0 * 0.5)).alias("resized_area"), p.x1.alias("px1"), p.y1.alias("py1"),
@@ -356,9 +356,9 @@ def p20(spark, sf):
 def p21(spark, sf):
     """Rescaled boxes, noisy boxes and one uniform point per box; draws are hashes of the row id."""
     b, key = box(), F.col("det_id")
-    r = bx.rescale_about_center(b, F.lit(1.2), W, H)
+    r = bx.rescale_about_center(b, F.lit(1.2), F.lit(W), F.lit(H))
     noise = tuple(bx.hash_normal(s, key) * F.lit(0.1) * side for s, side in ((11, b.width), (21, b.height), (31, b.width), (41, b.height)))
-    j = bx.jitter(b, noise, W, H)
+    j = bx.jitter(b, noise, F.lit(W), F.lit(H))
     return det(spark, sf).select(
         "det_id", *[c.alias(f"r_{n}") for c, n in zip(r, ("x1", "y1", "x2", "y2"))], *[c.alias(f"j_{n}") for c, n in zip(j, ("x1", "y1", "x2", "y2"))],
         (b.x1 + bx.hash_uniform(51, key) * b.width).alias("px"), (b.y1 + bx.hash_uniform(61, key) * b.height).alias("py"),

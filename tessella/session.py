@@ -48,3 +48,14 @@ def tune(spark: SparkSession) -> None:
     for key, (default, value) in wanted.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, value)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder next to the checkpoints, which every executor can reach."""
+    import uuid
+
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return f"{sc.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
