@@ -142,7 +142,10 @@ def greedy_matches(pairs: DataFrame, dt: DataFrame, keys: Sequence[str], steps=M
     """
     keys = list(keys)
     top = top_k(dt.select(*keys, "det_id", "score"), keys, [F.col("score").desc(), F.col("det_id")], max_dets)
-    cand = pairs.join(top, [*keys, "det_id"])
+    # At most max_dets detections compete, so a detection can never need more than its max_dets
+    # best ground truths (or its best crowd): this bounds an image's list without losing a match.
+    live = pairs.where(F.col("iou") >= min(steps) / 100.0 - 1e-10).join(top, [*keys, "det_id"])
+    cand = top_k(live, [*keys, "det_id", "is_crowd"], [F.col("iou").desc(), F.col("gt_id")], max_dets)
     lists = cand.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "det_id", F.col("is_crowd").cast("int").alias("c"), (-F.col("iou")).alias("n"), "gt_id"))).alias("_c")
     )

@@ -219,3 +219,34 @@ def covered_share(candidates: DataFrame, cover: DataFrame, keys: Sequence[str],
     areas = union_area(clipped, [*keys, id_col], cell)
     share = F.when(box().area > 0, F.coalesce(F.col("covered"), F.lit(0.0)) / box().area).otherwise(0.0)
     return candidates.join(areas, [*keys, id_col], "left").withColumn("covered_share", share).drop("covered")
+
+
+def content_coverage(content: DataFrame, elements: DataFrame, keys: Sequence[str], cell: float | None = None) -> DataFrame:
+    """Content area, the part covered by elements, coverage and missing rate per group.
+
+    The shared part follows from three unions: |A and B| = |A| + |B| - |A or B|.
+    """
+    keys = list(keys)
+    xy = ("x1", "y1", "x2", "y2")
+    a, b = content.select(*keys, *xy), elements.select(*keys, *xy)
+    area = lambda d, n: union_area(d, keys, cell).withColumnRenamed("covered", n)
+    out = area(a, "content_area").join(area(b, "_b"), keys, "left").join(area(a.unionByName(b), "_u"), keys, "left").fillna(0.0, ["_b", "_u"])
+    out = out.withColumn("covered_area", F.col("content_area") + F.col("_b") - F.col("_u")).drop("_b", "_u")
+    share = F.when(F.col("content_area") > 0, F.col("covered_area") / F.col("content_area") * 100).otherwise(100.0)
+    return out.withColumn("pixel_coverage", share).withColumn("missing_rate", F.lit(100.0) - share)
+
+
+def keep_candidates(
+    candidates: DataFrame, existing: DataFrame, cover: DataFrame, content: DataFrame, keys: Sequence[str], id_col: str, max_iou: float = 0.5,
+    max_covered: float = 0.7, min_missing: float = 0.05, cell: float | None = None,
+) -> DataFrame:
+    """Candidate regions that are new, mostly uncovered, and still hold missing content.
+
+    Rows of channel 'complex' only face the IoU rule, at 0.8. ``content`` are boxes of uncovered content.
+    """
+    keys = list(keys)
+    plain, special = candidates.where("channel <> 'complex'"), candidates.where("channel = 'complex'")
+    kept = drop_existing(plain, existing, keys, max_iou)
+    kept = covered_share(kept, cover, keys, id_col, cell).where(F.col("covered_share") <= max_covered).drop("covered_share")
+    kept = covered_share(kept, content, keys, id_col, cell).where(F.col("covered_share") >= min_missing).drop("covered_share")
+    return kept.unionByName(drop_existing(special, existing, keys, 0.8))

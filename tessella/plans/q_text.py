@@ -445,3 +445,33 @@ def a02(spark, sf):
     d = det(spark, sf)
     n = lambda x, name: x.groupBy("grp").agg(F.count(F.lit(1)).alias(name))
     return n(d, "before").join(n(d.where("score > 50000"), "after"), "grp", "left").fillna(0, ["after"])
+
+
+@query("X07_refine_groups")
+def x07_refine(spark, sf):
+    """Neighbouring lines to refine together; the gate's look-behind puts this beyond the oracle."""
+    from tessella.operators.textclusters import refine_groups
+
+    t = F.col("text")
+    b = text_blocks(spark, sf).select(
+        "doc_id", "ord", "text", F.lit(0.0).alias("x1"), (F.col("ord") * 12.0).alias("y1"), (F.length("text") * 6.0 + 1).alias("x2"), (F.col("ord") * 12.0 + 11).alias("y2")
+    )
+    return refine_groups(b, "doc_id", "ord", texts.should_refine(t, F.lit(False), texts.subscript_hint(t)))
+
+
+@query(
+    "A14_element_coverage",
+    with_views("det")
+    + """, px AS (SELECT image_id, unnest(range(CAST(x1 AS INT), CAST(x2 AS INT))) AS u, y1, y2, side FROM det),
+p AS (SELECT DISTINCT image_id, u, unnest(range(CAST(y1 AS INT), CAST(y2 AS INT))) AS v, side FROM px),
+c AS (SELECT image_id, u, v, bool_or(side = 'O') AS content, bool_or(side = 'F') AS cover FROM p GROUP BY ALL)
+SELECT image_id, CAST(sum(CAST(content AS INT)) AS DOUBLE) AS content_area, CAST(sum(CAST(content AND cover AS INT)) AS DOUBLE) AS covered_area,
+  round(100e0 * sum(CAST(content AND cover AS INT)) / sum(CAST(content AS INT)), 2) AS pixel_coverage FROM c WHERE content GROUP BY image_id""",
+)
+def a14_elements(spark, sf):
+    """Share of the content boxes' area (side O) that the element boxes (side F) cover."""
+    from tessella.operators.overlaps import content_coverage
+
+    d = det(spark, sf)
+    c = content_coverage(d.where("side = 'O'"), d.where("side = 'F'"), ["image_id"], cell=16.0)
+    return c.select("image_id", "content_area", "covered_area", F.round("pixel_coverage", 2).alias("pixel_coverage"))

@@ -65,14 +65,14 @@ def w04(spark, sf):
 @query(
     "W05_unique_track_ids",
     with_views("det")
-    + """, r AS (SELECT det_id, image_id // 10 AS video_id, CAST(category_id * 10 + image_id % 3 AS BIGINT) AS track_id FROM det WHERE category_id <> 7 OR image_id < 10),
+    + """, r AS (SELECT det_id, image_id // 10 AS video_id, CASE WHEN category_id = 7 THEN 1000 + image_id ELSE category_id * 10 + image_id % 3 END AS track_id FROM det),
 s AS (SELECT track_id FROM r GROUP BY track_id HAVING count(DISTINCT video_id) > 1),
 n AS (SELECT track_id, video_id, dense_rank() OVER (ORDER BY track_id, video_id) + (SELECT max(track_id) FROM r) AS new_id FROM (SELECT DISTINCT track_id, video_id FROM r WHERE track_id IN (SELECT track_id FROM s)))
 SELECT r.det_id, coalesce(n.new_id, r.track_id) AS track_id FROM r LEFT JOIN n ON n.track_id = r.track_id AND n.video_id = r.video_id""",
 )
 def w05(spark, sf):
-    r = det(spark, sf).where("category_id <> 7 OR image_id < 10").selectExpr(
-        "det_id", "image_id div 10 AS video_id", "CAST(category_id * 10 + image_id % 3 AS BIGINT) AS track_id"
+    r = det(spark, sf).selectExpr(
+        "det_id", "image_id div 10 AS video_id", "CASE WHEN category_id = 7 THEN 1000 + image_id ELSE category_id * 10 + image_id % 3 END AS track_id"
     )
     return ds.unique_track_ids(r, "video_id", "track_id").select("det_id", "track_id")
 
