@@ -11,6 +11,7 @@ from tessella.functions.boxes import box
 from tessella.functions.rules import IMAGE_TYPES
 from tessella.operators.greedy import sequential_removal
 from tessella.operators.spatial import cross_pairs, self_pairs, span_for_ratio
+from tessella.session import cut
 
 
 def overlap_pairs(df: DataFrame, keys: Sequence[str], id_col: str, min_iou: float = 0.1, carry: Sequence[str] = ()) -> DataFrame:
@@ -246,7 +247,8 @@ def keep_candidates(
     """
     keys = list(keys)
     plain, special = candidates.where("channel <> 'complex'"), candidates.where("channel = 'complex'")
-    kept = drop_existing(plain, existing, keys, max_iou)
-    kept = covered_share(kept, cover, keys, id_col, cell).where(F.col("covered_share") <= max_covered).drop("covered_share")
+    # Every step reads its input several times, so each result is written before the next step.
+    kept = cut(drop_existing(cut(plain), existing, keys, max_iou))
+    kept = cut(covered_share(kept, cover, keys, id_col, cell).where(F.col("covered_share") <= max_covered).drop("covered_share"))
     kept = covered_share(kept, content, keys, id_col, cell).where(F.col("covered_share") >= min_missing).drop("covered_share")
     return kept.unionByName(drop_existing(special, existing, keys, 0.8))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessella.functions import boxes as bx, styles, texts
 from tessella.functions.boxes import box
 from tessella.operators.spatial import cross_pairs
+from tessella.session import cut
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, width: int = 256) -> DataFrame:
@@ -129,12 +130,13 @@ def fuse_sources(blocks: DataFrame, formulas: DataFrame, key: str, overlap: floa
     A block goes when a formula covers more than ``overlap`` of it or its text is more than
     ``similarity`` alike. Which formula claims it does not matter, so this is two anti-joins.
     """
-    good = formulas.where(texts.is_valid_formula(F.col("text")))
+    # Both sides are read by two pair searches each; they are written once.
+    good = cut(formulas.where(texts.is_valid_formula(F.col("text"))))
     covered = cross_pairs(
         blocks.select(key, "x1", "y1", "x2", "y2").distinct(), good.select(key, "x1", "y1", "x2", "y2").distinct(), [key],
         lambda a, b: bx.containment(box(b), box(a)) > overlap,
     ).select(key, *[F.col(f"a_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]).distinct()
-    rest = blocks.join(covered, [key, "x1", "y1", "x2", "y2"], "left_anti")
+    rest = cut(blocks.join(covered, [key, "x1", "y1", "x2", "y2"], "left_anti"))
     alike = similar_texts(rest, good, key, similarity)
     rest = rest.join(alike, [key, "text"], "left_anti")
     cleaned = good.withColumn("text", texts.clean_latex(F.col("text"))).withColumn("font_size", (F.col("y2") - F.col("y1")) * 0.35).withColumn("is_latex", F.lit(True))
