@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessella.functions import boxes as bx
 from tessella.functions.boxes import box
 from tessella.session import cut
-from tessella.operators.greedy import Conflict, _np_area, _np_inter, _np_ratio, greedy_cover
+from tessella.operators.greedy import Conflict, np_area, np_inter, np_ratio, greedy_cover
 
 # Codes carried through the fold.
 GROUPS = {"arrow": 1, "shape": 2, "image": 3}
@@ -31,8 +31,8 @@ def cross_group_conflict(general: float = 0.7, arrow: float = 0.85, mixed: float
     """
 
     def rows(c, i, s):
-        inter = _np_inter(c, i, s)
-        v = _np_ratio(inter, _np_area(c, i) + _np_area(c, s) - inter)
+        inter = np_inter(c, i, s)
+        v = np_ratio(inter, np_area(c, i) + np_area(c, s) - inter)
         g, h = c["_g"][i], c["_g"][s]
         limit = np.where((g == 1) | (h == 1), arrow, general)
         special = (v > mixed) & (((g == 2) & (h == 3)) | ((g == 3) & (h == 2)))

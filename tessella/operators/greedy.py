@@ -40,17 +40,17 @@ class Conflict:
     copies_conflict: bool = True
 
 
-def _np_inter(c, i, s):
+def np_inter(c, i, s):
     w = np.minimum(c["x2"][i], c["x2"][s]) - np.maximum(c["x1"][i], c["x1"][s])
     h = np.minimum(c["y2"][i], c["y2"][s]) - np.maximum(c["y1"][i], c["y1"][s])
     return np.maximum(w, 0.0) * np.maximum(h, 0.0)
 
 
-def _np_area(c, i):
+def np_area(c, i):
     return (c["x2"][i] - c["x1"][i]) * (c["y2"][i] - c["y1"][i])
 
 
-def _np_ratio(num, den):
+def np_ratio(num, den):
     return np.divide(num, den, out=np.zeros_like(num), where=den > 0)
 
 
@@ -58,8 +58,8 @@ def iou_above(threshold: float, inclusive: bool = False) -> Conflict:
     """IoU over (or, when ``inclusive``, at least) a positive threshold."""
 
     def rows(c, i, s):
-        inter = _np_inter(c, i, s)
-        v = _np_ratio(inter, _np_area(c, i) + _np_area(c, s) - inter)
+        inter = np_inter(c, i, s)
+        v = np_ratio(inter, np_area(c, i) + np_area(c, s) - inter)
         return v >= threshold if inclusive else v > threshold
 
     def columns(a, b):
@@ -71,7 +71,7 @@ def iou_above(threshold: float, inclusive: bool = False) -> Conflict:
 
 def over_min_above(threshold: float) -> Conflict:
     def rows(c, i, s):
-        return _np_ratio(_np_inter(c, i, s), np.minimum(_np_area(c, i), _np_area(c, s))) > threshold
+        return np_ratio(np_inter(c, i, s), np.minimum(np_area(c, i), np_area(c, s))) > threshold
 
     return Conflict(rows, lambda a, b: bx.over_min(bx.box(a), bx.box(b)) > threshold)
 

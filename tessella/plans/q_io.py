@@ -8,9 +8,9 @@ from tessella.functions import rules
 from tessella.functions.boxes import box
 from tessella.operators import cells as ce, evalmetrics as ev
 from tessella.plans.registry import query
-from tessella.plans.relations import SQL, det, rel, run, with_recursive, with_views
+from tessella.plans.relations import SQL, det, rel, with_views
 from tessella.sources import annotations as an, diagrams as dg, payloads as pl, sinks
-from tessella.session import cut, scratch
+from tessella.session import scratch
 
 
 def _orders_json(spark, sf, body):
@@ -298,12 +298,8 @@ def k06(spark, sf):
 
 
 # --- cells --------------------------------------------------------------------------------
-_CELLS = SQL["cells"].replace("STRING", "VARCHAR").replace("AS 'c'", "AS c")
-SQL["cells_duck"] = _CELLS
-
-
 def _cells_views(recursive=False):
-    return ("WITH RECURSIVE " if recursive else "WITH ") + f"cells AS ({_CELLS})"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + f"cells AS ({SQL['cells']})"
 
 
 @query(

@@ -36,7 +36,6 @@ def j01(spark, sf):
     return _pairs(spark, sf).select("image_id", "a_det_id", "b_det_id", "iou", "relationship")
 
 
-_NEW = "SELECT image_id, gt_id, x1, y1, x2, y2 FROM gt"
 
 
 @query(
@@ -64,7 +63,6 @@ gone AS (SELECT image_id, unnest(dead) AS id FROM (SELECT image_id, arg_max(dead
 _CONT = f"""SELECT image_id, a_det_id AS t1, b_det_id AS t2, CASE WHEN {{ab}} THEN b_det_id ELSE a_det_id END AS w, CASE WHEN {{ab}} THEN a_det_id ELSE b_det_id END AS l
   FROM (SELECT a.image_id, a.* EXCLUDE (image_id), b.* EXCLUDE (image_id) FROM {_SIDE.format(p='a')} a JOIN {_SIDE.format(p='b')} b ON a.image_id = b.image_id AND a_det_id < b_det_id) p
   WHERE ({{ab}}) OR ({{ba}})"""
-_A_IN_B, _B_IN_A = f"{_AA} < {_AB} AND {_I} / {_AA} > {{t}}", f"{_AB} {{op}} {_AA} AND {_I} / {_AB} > {{t}}"
 
 
 @query(

@@ -15,11 +15,15 @@ SELECT doc_id, ord, text, off - length(text) - 1 AS l_start, off - 1 AS l_stop F
   SELECT doc_id, ord, text, CAST(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS off FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS ord FROM documents) AS s1) AS s2
 """
-_STYLE_COLS = """CASE WHEN k % 5 = 0 THEN 'italic' END AS font_style, CASE WHEN k % 3 = 0 THEN 'bold' WHEN k % 3 = 1 THEN 'normal' END AS font_weight,
-  CASE k % 4 WHEN 0 THEN 'Arial' WHEN 2 THEN 'SimSun' END AS font_name,
-  CASE k % 4 WHEN 0 THEN '#1d1d1d' WHEN 1 THEN '#ff0000' WHEN 2 THEN '#2a2a30' END AS color, CASE WHEN k % 7 = 0 THEN '#ffffff' END AS background"""
+_STYLE_COLS = [
+    "CASE WHEN k % 5 = 0 THEN 'italic' END AS font_style",
+    "CASE WHEN k % 3 = 0 THEN 'bold' WHEN k % 3 = 1 THEN 'normal' END AS font_weight",
+    "CASE k % 4 WHEN 0 THEN 'Arial' WHEN 2 THEN 'SimSun' END AS font_name",
+    "CASE k % 4 WHEN 0 THEN '#1d1d1d' WHEN 1 THEN '#ff0000' WHEN 2 THEN '#2a2a30' END AS color",
+    "CASE WHEN k % 7 = 0 THEN '#ffffff' END AS background",
+]
 SQL["style_spans"] = f"""
-SELECT doc_id, k AS style_ord, k * 37 AS r_start, k * 37 + 20 + k % 11 AS r_stop, {_STYLE_COLS}
+SELECT doc_id, k AS style_ord, k * 37 AS r_start, k * 37 + 20 + k % 11 AS r_stop, {", ".join(_STYLE_COLS)}
 FROM (SELECT doc_id, unnest(range(0, length(text) // 37 + 1)) AS k FROM documents) AS s
 """
 
@@ -35,13 +39,7 @@ def text_blocks(spark, sf):
 
 def style_spans(spark, sf):
     d = rel(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("length(text) div 37"))).alias("k"))
-    return d.selectExpr("doc_id", "k AS style_ord", "k * 37 AS r_start", "k * 37 + 20 + k % 11 AS r_stop", *_split_cols())
-
-
-def _split_cols():
-    return [c.strip() for c in _STYLE_COLS.replace("\n", " ").split(" AS background")[0].replace(" AS font_style,", " AS font_style|").replace(" AS font_weight,", " AS font_weight|").replace(" AS font_name,", " AS font_name|").replace(" AS color,", " AS color|").split("|")[:-1]] + [
-        "CASE WHEN k % 7 = 0 THEN '#ffffff' END AS background"
-    ]
+    return d.selectExpr("doc_id", "k AS style_ord", "k * 37 AS r_start", "k * 37 + 20 + k % 11 AS r_stop", *_STYLE_COLS)
 
 
 _TS = with_views("text_blocks", "style_spans")
