@@ -19,6 +19,11 @@ def score_rows(df: DataFrame, load: Callable[[], Callable], schema: str) -> Data
     return df.mapInPandas(run, schema)
 
 
+def linear_model() -> Callable:
+    """The smallest possible model, as an example of a loader."""
+    return lambda pdf: pdf.assign(model_score=pdf.x1 * 0.5 + pdf.x2)
+
+
 @dataclass(frozen=True)
 class Metric:
     """Per-sequence rows and how they combine; both are plain DataFrame functions."""

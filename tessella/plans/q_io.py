@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import rules
 from tessella.functions.boxes import box
 from tessella.operators import cells as ce, evalmetrics as ev
+from tessella.plans import q_eval  # noqa: F401  (brings the video_frames relation)
 from tessella.plans.registry import query
 from tessella.plans.relations import SQL, det, rel, with_views
 from tessella.sources import annotations as an, diagrams as dg, payloads as pl, sinks
@@ -340,19 +341,20 @@ def e03(spark, sf):
     return sweep(images, [0, 3], [1, 2], done, "image_id")
 
 
-@query("E01_score_rows")
+@query("E01_score_rows", with_views("det") + "SELECT det_id, x1, x2, x1 * 0.5e0 + x2 AS model_score FROM det")
 def e01(spark, sf):
     """A user model (here a linear score) applied batch by batch."""
-    from tessella.operators.extension import score_rows
+    from tessella.operators.extension import linear_model, score_rows
 
-    return score_rows(det(spark, sf).select("det_id", "x1", "x2"), _load_linear, "det_id bigint, x1 double, x2 double, model_score double")
+    return score_rows(det(spark, sf).select("det_id", "x1", "x2"), linear_model, "det_id bigint, x1 double, x2 double, model_score double")
 
 
-def _load_linear():
-    return lambda pdf: pdf.assign(model_score=pdf.x1 * 0.5 + pdf.x2)
-
-
-@query("E02_metric_registry")
+@query(
+    "E02_metric_registry",
+    with_views("det", "video_frames")
+    + """, p AS (SELECT video_id, count(*) AS dets, count(DISTINCT track_id) AS ids, count(DISTINCT frame) AS frames FROM video_frames GROUP BY video_id)
+SELECT * FROM p UNION ALL SELECT NULL, CAST(sum(dets) AS BIGINT), CAST(sum(ids) AS BIGINT), CAST(sum(frames) AS BIGINT) FROM p""",
+)
 def e02(spark, sf):
     from tessella.operators.extension import METRICS, evaluate
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators.runs import merge_runs
+from tessella.plans import q_eval  # noqa: F401  (brings the video_frames relation)
 from tessella.plans.registry import query
 from tessella.plans.relations import det, rel, with_recursive, with_views
 from tessella.session import scratch
