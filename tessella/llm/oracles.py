@@ -33,3 +33,12 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN g USING (doc_id)
 """
+
+ORACLES["op8_kd_tree_top_k"] = """
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vec FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
+      FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import byte_bpe, packing, secret_scan, token_counts
+from tessella.llm import ann, byte_bpe, packing, quality, secret_scan, token_counts, topk, toxicity, vectors
 from tessella.llm.oracles import ORACLES  # noqa: F401
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,20 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@_query
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held = _table(spark, sf, "documents"), toxicity.held_out("doc_id", 3, 1)
+    model = toxicity.train(docs, _table(spark, sf, "labels").where(~held))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"))
+
+
+@_query
+def op3_adaptive_ann(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vectors.usable(_table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return ann.search(rows, rows.where("id % 20 = 0"), 20)
+
+
 @_query
 def op4_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     """Base findings of every document over a ledger of its own; the ledger changes which blobs are scanned, not what is found."""
@@ -41,6 +55,20 @@ def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), WORDS, capacity=4096, end_id=1)
 
 
+@_query
+def op8_kd_tree_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    rows = topk.quantised(_table(spark, sf, "embeddings"))
+    return topk.top_k(rows, rows.where("id % 20 = 0"), 20)
+
+
+@_query
+def op9_quality_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held = _table(spark, sf, "documents"), toxicity.held_out("doc_id", 5, 0)
+    model = quality.train(docs, _table(spark, sf, "labels").where(~held))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @_query
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf, "documents"), BYTES, public_tokenizers.PATTERN)

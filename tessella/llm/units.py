@@ -75,6 +75,14 @@ def distinct(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, pa.Array]
     return coded.indices.to_numpy(), coded.dictionary
 
 
+def distinct_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """As ``distinct``, for ranges that need not touch."""
+    if len(starts) and np.array_equal(starts[1:], ends[:-1]):
+        return distinct(buf[starts[0] : ends[-1]], np.append(starts, ends[-1:]) - starts[0])
+    lengths = ends - starts
+    return distinct(buf[spread(starts, lengths)], np.append(0, np.cumsum(lengths)))
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions of all ranges (start, length), one after the other."""
     total = int(lengths.sum())
