@@ -101,16 +101,38 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         """Extend the piece; the prefixes so far stay as they are."""
         self.piece += more
-        for end in range(len(self.last) + 1, len(self.piece) + 1):
-            self.last.append(self._last(end))
+        self._fill(len(self.piece))
 
-    def _last(self, end: int) -> int:
-        usable, last, apart, piece = self.bpe.usable, self.last, self.bpe.stay_apart, self.piece
-        for start in range(max(0, end - self.bpe.longest), end):
-            token = usable.get(bytes(piece[start:end]))
-            if token is not None and (start == 0 or apart(last[start - 1], token)):
-                return token
-        raise ValueError(f"no token ends at byte {end}")
+    def turn(self, piece: bytes) -> None:
+        """Go on to another piece; the prefixes that both share stay as they are."""
+        old, n = self.piece, 0
+        for n, (a, b) in enumerate(zip(old, piece)):  # noqa: B007
+            if a != b:
+                break
+        else:
+            n = min(len(old), len(piece))
+        self.piece = bytearray(piece)
+        del self.last[n:]
+        self._fill(len(piece))
+
+    def _fill(self, upto: int) -> None:
+        """Last tokens of the prefixes from the first that has none."""
+        last, longest = self.last, self.bpe.longest
+        find, known, apart = self.bpe.usable.get, self.bpe.apart.get, self.bpe.stay_apart
+        piece = bytes(self.piece[:upto])
+        for end in range(len(last) + 1, upto + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = find(piece[start:end])
+                if token is not None:
+                    if not start:
+                        break
+                    before = last[start - 1]
+                    verdict = known((before, token))
+                    if verdict or verdict is None and apart(before, token):
+                        break
+            else:
+                raise ValueError(f"no token ends at byte {end}")
+            last.append(token)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in the place of bytes start to stop; gives how many prefixes were computed anew.
@@ -121,8 +143,8 @@ class PrefixTable:
         self.piece[start:stop] = new
         self.last, done, same = self.last[:start], 0, 0
         for end in range(start + 1, len(self.piece) + 1):
-            token = self._last(end)
-            self.last.append(token)
+            self._fill(end)
+            token = self.last[-1]
             done += 1
             behind = end - shift - stop - 1
             same = same + 1 if end > start + len(new) and token == old[behind] else 0
@@ -146,23 +168,25 @@ def opened(path: str) -> ByteBpe:
 
 
 def encoder(path: str, pattern: str):
-    """Encodes units, each match of ``pattern`` separately; equal matches of a call are encoded once."""
+    """Encodes units, each match of ``pattern`` separately; equal matches of a call are encoded once.
+
+    The matches are taken in byte order, so that each goes on from the prefixes it shares with the one before.
+    """
     import regex
 
     bpe, match = opened(path), regex.compile(pattern)
 
     def encode(words: list[bytes]) -> list[list[int]]:
+        parts = [match.findall(w.decode("utf-8", "replace")) for w in words]
         known: dict[str, list[int]] = {}
-        out = []
-        for w in words:
-            ids: list[int] = []
-            for m in match.findall(w.decode("utf-8", "replace")):
-                got = known.get(m)
-                if got is None:
-                    got = known[m] = bpe.encode(m.encode())
-                ids += got
-            out.append(ids)
-        return out
+        table = bpe.table()
+        for piece in sorted({m for p in parts for m in p}):
+            raw = piece.encode()
+            whole = bpe.usable.get(raw)
+            if whole is None:
+                table.turn(raw)
+            known[piece] = table.ids() if whole is None else [whole]
+        return [known[p[0]] if len(p) == 1 else [i for m in p for i in known[m]] for p in parts]
 
     return encode
 
@@ -176,7 +200,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, id_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        known = units.Encoded(encoder(tokenizer, pattern))
+        known = units.Encoded(encoder(tokenizer, pattern), 1_000_000)
         for rb, buf, offs in units.chunks(batches, "text"):
             ids, ends = known.texts(buf, offs, units.SPACE, units.MAY_BE_WHITE)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
@@ -221,10 +245,10 @@ def digests(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id
     kind = rows.schema["id"].dataType
 
     def run(batches):
-        known = units.Encoded(encoder(tokenizer, pattern))
+        known = units.Encoded(encoder(tokenizer, pattern), 1_000_000)
         tokens = opened(tokenizer).bytes
         decoded, decimals = Pieces(tokens), Pieces({i: b"%d," % i for i in tokens})
-        for rb, buf, offs in units.chunks(batches, "text", units.CHUNK // 2):
+        for rb, buf, offs in units.chunks(batches, "text", 2 * units.CHUNK):
             ids, ends = known.texts(buf, offs, units.SPACE, units.MAY_BE_WHITE)
             names, texts = [], []
             for a, b in zip(ends[:-1], ends[1:], strict=True):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import ann, byte_bpe, packing, quality, secret_scan, token_counts, topk, toxicity, vectors
+from tessella.llm import ann, byte_bpe, near_dup, packing, quality, secret_scan, token_counts, topk, toxicity, vectors
 from tessella.llm.oracles import ORACLES  # noqa: F401
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,11 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf, "documents"), WORDS, limit=2048)
 
 
+@_query
+def op6_minhash_bottom_k(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf, "documents"), shingle=3, percent=85)
+
+
 @_query
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), WORDS, capacity=4096, end_id=1)
