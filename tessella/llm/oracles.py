@@ -54,3 +54,19 @@ l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p
 r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a)
 SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
 """
+
+# Bytes as hexadecimal text: two characters each.
+ORACLES["op1_suffix_array_dedup"] = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT r, unnest(range(0, len(x) // 2 - 199)) AS p, x FROM t WHERE len(x) >= 400),
+h AS (SELECT r, p, md5(x[2 * p + 1:2 * p + 400]) AS h FROM s),
+d AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+c AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM h SEMI JOIN d USING (h)),
+g AS (SELECT r, p, sum((q IS NULL OR p > q + 200)::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM c),
+u AS (SELECT r, k, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY r, k),
+v AS (SELECT r, k, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY k) AS z FROM u),
+w AS (SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last, string_agg(x[2 * z + 1:2 * a], '' ORDER BY k) AS y FROM v JOIN t USING (r) GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN w.r IS NULL THEN x ELSE y || x[2 * last + 1:] END)) AS kept_sha256
+FROM t LEFT JOIN w USING (r)
+"""

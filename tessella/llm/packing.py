@@ -50,10 +50,10 @@ def _pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        known = units.Encoded(lambda words: encode_words(tokenizer, words))
+        known = units.Encoded(lambda words: encode_words(tokenizer, words), 1_000_000)
         key = TaskContext.get().partitionId() << 36
-        for rb, buf, offs in units.chunks(batches, "text"):
-            ids, ends = known.texts(buf, offs, units.WHITE, units.NONE)
+        for rb, buf, offs in units.chunks(batches, "text", 4 * units.CHUNK):
+            ids, ends = known.texts(buf, offs, units.WHITE, units.NONE, units.marks(buf))
             ids = np.insert(ids, ends[1:], end_id).astype("<u4")
             ends = ends + np.arange(len(ends))
             n = -(-np.diff(ends) // capacity)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import ann, byte_bpe, near_dup, packing, quality, secret_scan, token_counts, topk, toxicity, vectors
+from tessella.llm import ann, byte_bpe, near_dup, packing, quality, secret_scan, suffix_dedup, token_counts, topk, toxicity, vectors
 from tessella.llm.oracles import ORACLES  # noqa: F401
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@_query
+def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf, "documents"), 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @_query
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, held = _table(spark, sf, "documents"), toxicity.held_out("doc_id", 3, 1)

@@ -46,13 +46,20 @@ SPACE = table(b" ")
 #: White space, and first bytes of code points that can be white space.
 MAY_BE_WHITE = table(b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3")
 NONE = table(b"")
+_MARK = table(b".,!?;:")
+_LETTER = table(bytes([*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]))
 
 
-def cut(buf: np.ndarray, offs: np.ndarray, starters: np.ndarray, glue: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marks(buf: np.ndarray) -> np.ndarray:
+    """Where a punctuation mark follows an ASCII letter: word tokenizers that part the two can be cut there."""
+    return np.flatnonzero(_MARK[buf[1:]] & _LETTER[buf[:-1]]) + 1
+
+
+def cut(buf: np.ndarray, offs: np.ndarray, starters: np.ndarray, glue: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Unit offsets, and the n + 1 unit numbers at which the texts begin and end.
 
     A unit begins with each text and at each ``starters`` byte, unless the next byte is one of
-    ``glue`` or the text ends there.
+    ``glue`` or the text ends there, and at the places ``more``.
     """
     n = len(buf)
     mark = np.zeros(n + 1, bool)
@@ -61,6 +68,8 @@ def cut(buf: np.ndarray, offs: np.ndarray, starters: np.ndarray, glue: np.ndarra
     at = at[~mark[at + 1]]
     at = at[~glue[buf[at + 1]]]
     mark[at] = True
+    if more is not None:
+        mark[more] = True
     mark[n] = False
     starts = np.flatnonzero(mark)
     return np.append(starts, n), np.searchsorted(starts, offs)
@@ -125,9 +134,9 @@ class Encoded:
             self.known.update(zip(new, range(base, base + len(new)), strict=True))
         return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
-    def texts(self, buf: np.ndarray, offs: np.ndarray, starters: np.ndarray, glue: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, buf: np.ndarray, offs: np.ndarray, starters: np.ndarray, glue: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and their n + 1 offsets."""
-        bounds, firsts = cut(buf, offs, starters, glue)
+        bounds, firsts = cut(buf, offs, starters, glue, more)
         code, words = distinct(buf, bounds)
         unit = self._numbers(words.to_pylist())[code] if len(code) else np.zeros(0, np.int64)
         lengths = self.lengths[unit]
