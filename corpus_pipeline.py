@@ -1,31 +1,45 @@
-"""A corpus pipeline: each stage works on what the one before it kept."""
+"""A corpus pipeline: each stage works on the whole of what the one before it kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import packing, secret_scan
+from tessella.llm import near_dup, packing, secret_scan, suffix_dedup, toxicity
 from tessella.llm.queries import WORDS
 from tessella.session import scratch
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of score 0.7 or more go; the model learns from the labels of two thirds of the ids, as in the query."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out("doc_id", 3, 1))
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels), 0.7)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (shingles of five words, similarity 0.8) the smallest id stays; rows without an id stay."""
+    gone = near_dup.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that stand more than once are cut out of the texts; no document is dropped."""
+    return _counted(suffix_dedup.without_repeats(docs, 200))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document is dropped."""
-    clean = secret_scan.redact(docs, secret_scan.scan(docs))
-    return clean.withColumn("n_chars", _length(clean))
+    return _counted(secret_scan.redact(docs, secret_scan.scan(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, WORDS, capacity=4096, end_id=1)
 
 
-def _length(docs: DataFrame):
-    from pyspark.sql import functions as F
-
-    return F.length("text").cast(docs.schema["n_chars"].dataType)
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-STAGES = [("secret scans", secrets), ("best-fit packing", pack)]
+STAGES = [("toxicity", toxic), ("MinHash near-dedup", near_copies), ("suffix-array dedup", repeats), ("secret scans", secrets), ("best-fit packing", pack)]
 #: Learned scores and packings have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 

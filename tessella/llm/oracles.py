@@ -55,11 +55,12 @@ r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l
 SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
 """
 
-# Bytes as hexadecimal text: two characters each.
+# Bytes as hexadecimal text, two characters each, in blocks: taking a part of a long text costs its length.
 ORACLES["op1_suffix_array_dedup"] = """
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-s AS (SELECT r, unnest(range(0, len(x) // 2 - 199)) AS p, x FROM t WHERE len(x) >= 400),
-h AS (SELECT r, p, md5(x[2 * p + 1:2 * p + 400]) AS h FROM s),
+b AS (SELECT r, k, x[2000 * k + 1:2000 * k + 2398] AS y, len(x) // 2 AS n FROM (SELECT r, x, unnest(range(0, len(x) // 2000 + 1)) AS k FROM t WHERE len(x) >= 400)),
+s AS (SELECT r, y, unnest(range(1000 * k, least(1000 * k + 1000, n - 199))) AS p FROM b),
+h AS (SELECT r, p, md5(y[2 * (p % 1000) + 1:2 * (p % 1000) + 400]) AS h FROM s),
 d AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
 c AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM h SEMI JOIN d USING (h)),
 g AS (SELECT r, p, sum((q IS NULL OR p > q + 200)::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM c),

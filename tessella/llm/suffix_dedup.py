@@ -44,10 +44,27 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     characters that were cut. A null text is empty; rows that repeat are each other's repeats; null ids
     stay; other columns are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    key = _key(text_col)
+    done = _by_text(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("key")), length, with_text)
+    out = docs.select(F.col(id_col), key.alias("key")).join(done, "key").drop("key")
+    return out if with_text else out.drop("kept")
+
+
+def without_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
+    """``docs`` with the rest of each text in its place; columns and rows as before, a null text stays null."""
+    key = _key(text_col)
+    done = _by_text(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("key")), length, True).select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
+    rest = docs.withColumn("_key", key).withColumn("_null", F.col(text_col).isNull()).drop(text_col).join(done, "_key")
+    return rest.withColumn(text_col, F.when(~F.col("_null"), F.col("_kept"))).select(*docs.columns)
+
 
+def _key(text_col: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def _by_text(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) for each distinct text of (key, text)."""
+    spark = rows.sparkSession
     anchors = _written(rows.select("key", "text").mapInArrow(lambda b: _anchors(b, length), "anchor long, ctx long, key binary, lo int, size int"))
     common = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     shared = _written(anchors.join(common, "anchor"))
@@ -67,9 +84,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     places = shared.select("anchor", "ctx", "key", "lo").distinct().join(known, ["anchor", "ctx"])
     per_text = places.groupBy("key").agg(F.collect_list(F.struct("lo", "ranges")).alias("r"))
     fields = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string"
-    done = _texts(rows).join(per_text, "key", "left").select("key", "text", "r").mapInArrow(lambda b: _apply(b, with_text), fields)
-    out = rows.select("id", "key").join(done, "key").select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
-    return out if with_text else out.drop("kept")
+    return _texts(rows).join(per_text, "key", "left").select("key", "text", "r").mapInArrow(lambda b: _apply(b, with_text), fields)
 
 
 def _texts(rows: DataFrame) -> DataFrame:

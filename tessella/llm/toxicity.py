@@ -179,6 +179,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("score", T.DoubleType()), T.StructField("sentences", spans)]))
 
 
+def keep_clean(docs: DataFrame, model: Model, reject: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``reject``, with all their columns; a null text is clean."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for rb, buf, offs in units.chunks(batches, text_col):
+            feature, bounds, firsts, _ = sentences(buf, offs)
+            p = -np.expm1(-_noisy_or(_sentence_scores(held.value, feature, bounds), firsts))
+            yield rb.filter(pa.array(p < reject))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col, folds: int, fold: int):
     """Rows that no label is learned from; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
