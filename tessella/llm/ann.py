@@ -3,7 +3,7 @@
 The largest inner product is the smallest distance once every vector has one more component that brings all
 to the same length. A k-means of a bounded sample gives the lists' centres, and all vectors are
 assigned to them. A query probes every list whose centre is at most ``slack`` times as far as its nearest
-centre. In a list, vectors are rotated at random and stored in blocks of columns. After each
+centre, and in any case the ``LEAST`` nearest ones and so many that they hold a few times k vectors. In a list, vectors are rotated at random and stored in blocks of columns. After each
 block the distance so far estimates the whole one; a candidate is abandoned once the hypothesis that it is
 within the kth distance is rejected: d_part > d_kth * sqrt(part / whole) * (1 + e / sqrt(part)). What is left
 is scored exactly on the original vectors. A first pass over the nearest list sets the kth distance
@@ -26,6 +26,7 @@ SAMPLE = 65_536  # vectors that the centres are made from, at most
 ROWS = 4096  # of a block of a list
 QUERIES = 2048  # of a block of queries
 SLACK = 1.22
+LEAST = 8
 ERROR = 2.5  # standard errors of the test
 COLUMNS = 16
 
@@ -56,11 +57,15 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, slack: float = SLAC
     kept = vectors.few_copies(rows, k + 1)
     assigned = kept.mapInArrow(lambda b: _assign(b, held), "id long, vec array<double>, list int")
     assigned = cut(assigned)
-    parts = assigned.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("parts"))
+    counts = assigned.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.select("list", F.ceil(F.col("n") / ROWS).alias("parts"))
+    sizes = np.zeros(len(centres), np.int64)
+    for r in counts.collect():  # a row for each list, of which there are LISTS at most
+        sizes[r["list"]] = r["n"]
     lists = vectors.blocks(assigned.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id", F.lit(4)), "parts")), ["list", "part"], "rows", "id", "vec")
     lists = cut(lists)
     groups = max(1, -(-ask.count() // QUERIES))
-    probes = cut(ask.mapInArrow(lambda b: _probe(b, held, slack), "id long, vec array<double>, lists array<int>"))
+    probes = cut(ask.mapInArrow(lambda b: _probe(b, held, slack, sizes, 4 * (k + 1)), "id long, vec array<double>, lists array<int>"))
     probes = probes.withColumn("qblock", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(groups)))
 
     first = probes.select("id", "vec", "qblock", F.col("lists")[0].alias("list"), F.lit(float("-inf")).alias("least"))
@@ -111,7 +116,7 @@ def _assign(batches, held):
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(own, pa.int32())], ["id", "vec", "list"])
 
 
-def _probe(batches, held, slack: float):
+def _probe(batches, held, slack: float, sizes: np.ndarray, enough: int):
     """Lists to probe, nearest first; a query has no extra component."""
     centres, _, top = held.value
     for rb in batches:
@@ -125,6 +130,8 @@ def _probe(batches, held, slack: float):
             d = np.sqrt(np.maximum(top + _nearest(np.pad(x[a : a + 1024], ((0, 0), (0, 1))), centres), 0))
             order = np.argsort(d, 1, kind="stable")
             n = (d <= slack * d.min(1, keepdims=True) + 1e-9).sum(1)
+            n = np.maximum(n, (np.cumsum(sizes[order], 1) < enough).sum(1) + 1)
+            n = np.minimum(np.maximum(n, LEAST), len(centres))
             lists += [o[:c].tolist() for o, c in zip(order, n, strict=True)]
         yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "vec", "lists"])
 

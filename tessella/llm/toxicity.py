@@ -22,10 +22,12 @@ from tessella.llm import hashing, units
 BITS = 18
 #: Bytes of the stems; a shorter word is its own stem.
 STEMS = (4, 6)
-SHRINK = 0.02
+SHRINK = 0.03
 #: Documents of the sample that must hold a feature.
-COMMON = 8
+COMMON = 6
 SAMPLE = 12_000
+STEPS = 600
+BATCH = 256
 
 _WORD = units.table(bytes([*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), ord("'"), *range(128, 256)]))
 _STOP = units.table(b".!?\n")
@@ -74,7 +76,7 @@ def _sentence_scores(model: Model, feature: np.ndarray, bounds: np.ndarray) -> n
     return np.bincount(key >> BITS, model.weights[key & ((1 << BITS) - 1)], len(bounds) - 1) + model.bias
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, epochs: int = 12) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, steps: int = STEPS) -> Model:
     """Fit on at most ``sample`` labelled documents; without labels the model scores everything near 0.
 
     A null label or id is not used; of several labels of one id the highest counts.
@@ -86,9 +88,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "_y")
 
+    def held(batches):
+        for _, buf, offs in units.chunks(batches, "text"):
+            feature, bounds, firsts, _ = sentences(buf, offs)
+            text = np.repeat(np.arange(len(offs) - 1), np.diff(bounds[firsts]))
+            pairs = np.unique((text << BITS) | feature)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs & ((1 << BITS) - 1))], ["feature"])
+
+    # A feature of very few documents tells little about others, and is not sent to the driver.
+    often = rows.mapInArrow(held, "feature long").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toPandas()
+    common = np.zeros(1 << BITS, bool)
+    common[often.feature.to_numpy(np.int64)] = True
+
     def bags(batches):
         for rb, buf, offs in units.chunks(batches, "text"):
             feature, bounds, firsts, _ = sentences(buf, offs)
+            keep = common[feature]
+            feature, bounds = feature[keep], np.append(0, np.cumsum(keep))[bounds]
             out = []
             for a, b in zip(firsts[:-1], firsts[1:], strict=True):
                 # A word counts once in a sentence, a sentence once in a bag.
@@ -100,10 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in out])), pa.int32()), words), rb.column(1)], ["bag", "y"])
 
     got = rows.mapInArrow(bags, "bag array<array<int>>, y int").toArrow().combine_chunks()
-    return _fit(got, epochs)
+    return _fit(got, steps)
 
 
-def _fit(got: pa.Table, epochs: int) -> Model:
+def _fit(got: pa.Table, steps: int) -> Model:
     """Adam over mini-batches of documents, with shrinkage, from weights of zero and a rare-sentence bias."""
     w, bias = np.zeros(1 << BITS), -6.0
     if not got.num_rows:
@@ -113,19 +129,15 @@ def _fit(got: pa.Table, epochs: int) -> Model:
     sent = bags.flatten()
     firsts = np.append(0, np.cumsum(bags.value_lengths().to_numpy()))
     bounds = np.append(0, np.cumsum(sent.value_lengths().to_numpy()))
-    feature = sent.flatten().to_numpy().astype(np.int64)
-    # A feature of very few documents tells little about others.
-    text_of = np.repeat(np.arange(len(y)), np.diff(bounds[firsts]))
-    pairs = np.unique((text_of << BITS) | feature)
-    common = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= COMMON
+    feature = sent.flatten().to_numpy()
     m, v, step = np.zeros(1 << BITS), np.zeros(1 << BITS), 0
     mb = vb = 0.0
     rng = np.random.default_rng(1)
-    for epoch in range(epochs):
-        rate = 0.2 if epoch < epochs // 2 else 0.05
+    while step < steps:
         order = rng.permutation(len(y))
-        for a in range(0, len(order), 256):
-            docs = order[a : a + 256]
+        for a in range(0, len(order), BATCH):
+            rate = 0.2 if step < steps // 2 else 0.05
+            docs = order[a : a + BATCH]
             n_s = firsts[docs + 1] - firsts[docs]
             s = units.spread(firsts[docs], n_s)
             n_w = bounds[s + 1] - bounds[s]
@@ -137,7 +149,6 @@ def _fit(got: pa.Table, epochs: int) -> Model:
             pull = np.where(y[docs] > 0, -np.exp(-none) / np.maximum(-np.expm1(-none), 1e-9), 1.0)
             g = np.repeat(pull, n_s) / (1 + np.exp(-z)) / len(docs)
             grad = np.bincount(f, np.repeat(g, n_w), minlength=1 << BITS)
-            grad *= common
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-3)
@@ -194,4 +205,4 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = 0.7, text_col: str
 
 def held_out(id_col, folds: int, fold: int):
     """Rows that no label is learned from; a null id is not held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
+    return F.coalesce(F.crc32((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
