@@ -191,29 +191,34 @@ def greedy_matches(pairs: DataFrame, dt: DataFrame, keys: Sequence[str], steps=M
     return every.join(found, [*keys, "det_id", "threshold"], "left").withColumn("hit", F.when(F.col("_seen"), F.col("hit")).otherwise(0)).drop("_seen")
 
 
-def average_precision(hits: DataFrame, positives: int | Column, keys: Sequence[str] = (), score_buckets: float = 1000.0) -> DataFrame:
-    """AP (101 recall points) and AR per threshold from ``hit``/``score`` rows.
+def average_precision(hits: DataFrame, truth: DataFrame, keys: Sequence[str] = (), buckets: int = 1000) -> DataFrame:
+    """AP (101 recall points) and AR per threshold from ``hit``/``score`` rows and the ground truth they were matched to.
 
-    Cumulative counts are taken in two levels over score buckets, so no task sorts all
+    ``truth`` has a row for each object that counts. More hits than objects are an error. Score buckets
+    divide the range of the scores at hand, whatever their scale. Cumulative counts are taken in two levels over score buckets, so no task sorts all
     detections. The interpolated precision at a recall point is the best precision at that
     recall or beyond, hence one maximum per recall level and a suffix maximum over 101 rows.
     """
     keys = [*keys, "threshold"]
     live = hits.where("hit IS NOT NULL")
-    cum = running_sum(
-        live, keys, [-F.floor(F.col("score") / score_buckets)], [F.col("score").desc(), F.col("det_id")], {"tp": F.col("hit"), "seen": F.lit(1)}
-    )
-    npos = positives if isinstance(positives, Column) else F.lit(positives)
-    level = F.floor(F.col("tp") * 100 / npos).cast("int")
-    best = cum.select(*keys, level.alias("level"), (F.col("tp") / F.col("seen")).alias("precision"), "tp").groupBy(*keys, "level").agg(
-        F.max("precision").alias("precision"), F.max("tp").alias("tp")
+    own = keys[:-1]
+    objects = truth.groupBy(*own, F.lit(1).alias("_one")).agg(F.count(F.lit(1)).alias("_npos"))
+    span = live.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    low, high = span["lo"] or 0, span["hi"] or 0
+    width = (high - low) / buckets or 1.0
+    cum = running_sum(live, keys, [-F.floor((F.col("score") - low) / width)], [F.col("score").desc(), F.col("det_id")], {"tp": F.col("hit"), "seen": F.lit(1)})
+    cum = cum.withColumn("_one", F.lit(1)).join(objects, [*own, "_one"])
+    npos = F.col("_npos")
+    level = F.when(F.col("tp") <= npos, F.floor(F.col("tp") * 100 / npos)).otherwise(F.raise_error(F.lit("more hits than objects"))).cast("int")
+    best = cum.select(*keys, level.alias("level"), (F.col("tp") / F.col("seen")).alias("precision"), "tp", "_npos").groupBy(*keys, "level").agg(
+        F.max("precision").alias("precision"), F.max("tp").alias("tp"), F.max("_npos").alias("_npos")
     )
     # Each level row serves the recall points above the level before it.
     order = W.partitionBy(*keys).orderBy(F.col("level").desc())
     env = best.withColumn("_env", F.max("precision").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn(
         "_points", F.col("level") - F.coalesce(F.lead("level").over(order), F.lit(-1))
     )
-    return env.groupBy(*keys).agg((F.sum(F.col("_env") * F.col("_points")) / 101).alias("ap"), (F.max("tp") / npos).alias("ar"))
+    return env.groupBy(*keys).agg((F.sum(F.col("_env") * F.col("_points")) / 101).alias("ap"), (F.max("tp") / F.max("_npos")).alias("ar"))
 
 
 # --- A13 / A21 tracks -----------------------------------------------------------------

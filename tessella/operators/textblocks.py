@@ -109,11 +109,12 @@ def unify_minimum(rows: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     return rows.join(low, list(keys), "left").withColumn(col, F.when(F.col("_m").isNull(), F.col(col)).otherwise(F.bround("_m", 1))).drop("_m")
 
 
-def unify_median(rows: DataFrame, shape: str, value: str) -> DataFrame:
-    """Line width of shapes alike in type and size: the whole part of the median, for groups of two or more."""
+def unify_median(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Line width of shapes alike in ``keys`` (image and type) and size: the whole part of the median, for groups of two or more."""
+    keys = list(keys)
     keyed = rows.withColumn("size_key", F.bround(F.sqrt(box().width * box().width + box().height * box().height) / 20).cast("int"))
-    mid = keyed.groupBy(shape, "size_key").agg(F.expr(f"percentile({value}, 0.5)").cast("int").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    return keyed.join(mid.where("_n >= 2").drop("_n"), [shape, "size_key"], "left").withColumn(value, F.coalesce(F.col("_m").cast("double"), F.col(value))).drop("_m")
+    mid = keyed.groupBy(*keys, "size_key").agg(F.expr(f"percentile({value}, 0.5)").cast("int").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    return keyed.join(mid.where("_n >= 2").drop("_n"), [*keys, "size_key"], "left").withColumn(value, F.coalesce(F.col("_m").cast("double"), F.col(value))).drop("_m")
 
 
 def main_font(blocks: DataFrame, key: str, default: str = texts.DEFAULT_FONT) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions import styles, texts
 from tessella.functions.boxes import Box
@@ -94,67 +92,58 @@ def cluster_colors(blocks: DataFrame, key: str, id_col: str, row_gap: float = 0.
 
 
 # --- groups of neighbouring blocks to refine together ------------------------------
-_MIXED = re.compile(r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,})\s+(.*?)$")
-_TAIL = [re.compile(p) for p in texts.FORMULA_TAIL]
+# A line that begins with capitalised words, and the shares that make blocks neighbours.
+CAPITALISED = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,})\s+(.*?)$"
+ROW_SLACK, ROW_GAP, ROW_ALIKE = 0.2, 1.2, 0.6
+STACK_SHARE, STACK_GAP = 0.2, 0.2
 
 
-def _is_mixed(text: str) -> bool:
-    m = _MIXED.match(text)
-    return bool(m) and any(p.search(m[2]) for p in _TAIL)
+def _mixed(text: Column) -> Column:
+    """Capitalised words followed by what looks like a formula."""
+    return texts.any_pattern(F.regexp_extract(text, CAPITALISED, 2), texts.FORMULA_TAIL)
 
 
-def _close(p, q) -> bool:
-    """Side by side at similar height, or stacked with a thin gap."""
-    hp, hq = p[3] - p[1], q[3] - q[1]
-    tall = max(hp, hq)
-    if min(p[3], q[3]) - max(p[1], q[1]) > -0.2 * tall:
-        gap = max(0, q[0] - p[2]) if p[0] < q[0] else max(0, p[0] - q[2])
-        if gap < tall * 1.2 and tall > 0 and min(hp, hq) / tall > 0.6:
-            return True
-    if min(p[2], q[2]) - max(p[0], q[0]) > 0.2 * min(p[2] - p[0], q[2] - q[0]):
-        gap = max(0, q[1] - p[3]) if p[1] < q[1] else max(0, p[1] - q[3])
-        return gap < tall * 0.2
-    return False
+def _shared(a: Column, b: Column, low: str, high: str) -> Column:
+    """Length that two spans have in common; below 0 it is the distance between them."""
+    return F.least(a[high], b[high]) - F.greatest(a[low], b[low])
+
+
+def neighbours(a: Column, b: Column) -> Column:
+    """Boxes of one row (level, near, of like height) or stacked with hardly a gap."""
+    across, down = _shared(a, b, "x1", "x2"), _shared(a, b, "y1", "y2")
+    heights, widths = [p["y2"] - p["y1"] for p in (a, b)], [p["x2"] - p["x1"] for p in (a, b)]
+    tall, flat = F.greatest(*heights), F.least(*heights)
+    row = (down > -ROW_SLACK * tall) & (-across < ROW_GAP * tall) & (tall > 0) & (flat > ROW_ALIKE * tall)
+    stack = (across > STACK_SHARE * F.least(*widths)) & (F.greatest(-down, F.lit(0.0)) < STACK_GAP * tall)
+    return row | stack
 
 
 def refine_groups(blocks: DataFrame, key: str, order: str, gate: Column) -> DataFrame:
     """Runs of gated neighbouring blocks: (key, order, grp) with grp the order of the run's first block.
 
     A block that fails the gate ends every run, so stretches of gated blocks are independent and
-    are folded one by one; inside one the run's hull decides whether the next block joins, and two
+    are folded one by one, each in the order of its blocks: the run's hull decides whether the next block joins, and two
     mixed text-and-formula lines are never joined.
     """
-    gated = blocks.where(gate).select(key, order, "text", *_XY)
+    gated = blocks.where(gate).select(key, order, "text", *[F.col(c).cast("double").alias(c) for c in _XY])
     numbered = ordinal(gated, [key], [F.floor(F.col(order) / 1024)], [F.col(order)], "_n", start=0)
-    lists = numbered.withColumn("_isle", F.col(order) - F.col("_n")).groupBy(key, "_isle").agg(
+    stretch = numbered.withColumn("_isle", F.col(order) - F.col("_n")).groupBy(key, "_isle").agg(
         F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "text", *_XY))).alias("_b")
     )
 
-    def fold(batches):
-        for rb in batches:
-            col = rb.column(2)
-            off = col.offsets.to_pylist()
-            v = col.values
-            o, t = v.field("o").to_pylist(), v.field("text").to_pylist()
-            xs = [v.field(c).to_pylist() for c in _XY]
-            at, out = [], []
-            for g, (lo, hi) in enumerate(zip(off[:-1], off[1:])):
-                head, hull, words = None, None, None
-                for i in range(lo, hi):
-                    b = [x[i] for x in xs]
-                    if head is not None and _close(hull, b) and not (_is_mixed(words) and _is_mixed(t[i])):
-                        hull = [min(hull[0], b[0]), min(hull[1], b[1]), max(hull[2], b[2]), max(hull[3], b[3])]
-                        words += " " + t[i]
-                    else:
-                        head, hull, words = o[i], b, t[i]
-                    out.append(head)
-                at.extend([g] * (hi - lo))
-            idx = pa.array(at, pa.int64())
-            first = off[0]
-            yield pa.RecordBatch.from_arrays(
-                [rb.column(0).take(idx), v.field("o").slice(first, off[-1] - first), pa.array(out, v.field("o").type)], [key, order, "grp"]
-            )
-
-    types = {f.name: f.dataType for f in gated.schema.fields}
-    schema = T.StructType([T.StructField(key, types[key]), T.StructField(order, types[order]), T.StructField("grp", types[order])])
-    return lists.select(key, "_isle", "_b").mapInArrow(fold, schema)
+    def step(run, block):
+        joins = neighbours(run["hull"], block) & ~(_mixed(run["words"]) & _mixed(block["text"]))
+        hull = F.struct(*[(F.least if c in ("x1", "y1") else F.greatest)(run["hull"][c], block[c]).alias(c) for c in _XY])
+        own = F.struct(*[block[c].alias(c) for c in _XY])
+        head = F.when(joins, run["head"]).otherwise(block["o"])
+        return F.struct(
+            head.alias("head"), F.when(joins, hull).otherwise(own).alias("hull"),
+            F.when(joins, F.concat_ws(" ", run["words"], block["text"])).otherwise(block["text"]).alias("words"),
+            F.concat(run["heads"], F.array(head)).alias("heads"),
+        )
+
+    first = F.col("_b")[0]
+    start = F.struct(first["o"].alias("head"), F.struct(*[first[c].alias(c) for c in _XY]).alias("hull"), first["text"].alias("words"), F.array(first["o"]).alias("heads"))
+    heads = F.aggregate(F.slice("_b", 2, F.greatest(F.size("_b") - 1, F.lit(0))), start, step, lambda run: run["heads"])
+    pairs = F.arrays_zip(F.transform("_b", lambda x: x["o"]).alias("o"), heads.alias("grp"))
+    return stretch.select(key, F.explode(pairs).alias("p")).select(key, F.col("p")["o"].alias(order), F.col("p")["grp"].alias("grp"))

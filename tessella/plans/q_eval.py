@@ -17,12 +17,6 @@ def _sets(spark, sf):
     return d.select("image_id").distinct(), gt(spark, sf), d.where("score >= 50000")
 
 
-def _image_scores(spark, sf):
-    images, g, d = _sets(spark, sf)
-    matches = asg.assign(ev.iou_pairs(g, d, ["image_id"]), ["image_id"], "gt_id", "det_id", "iou")
-    return ev.image_scores(images, g, d, matches, ["image_id"])
-
-
 @query("X08_assignment")
 def x08(spark, sf):
     """One-to-one pairs of ground truth and predictions with the largest total IoU per image."""
@@ -30,29 +24,37 @@ def x08(spark, sf):
     return asg.assign(ev.iou_pairs(g, d, ["image_id"]), ["image_id"], "gt_id", "det_id", "iou")
 
 
-@query("A07_image_scores")
-def a07(spark, sf):
-    return _image_scores(spark, sf).select("image_id", "threshold", "tp", "fp", "fn", "f1", "il_tp", "il_fp", "il_tn", "il_fn")
+def _rows_sql(truth: str) -> str:
+    """Per image and threshold: counts, hits, F1 and flags against one set of ground truth, as CTEs."""
+    return f"""o_{truth} AS (SELECT a.image_id, a.det_id, (least(a.x2, g.x2) - greatest(a.x1, g.x1)) * (a.y2 - a.y1) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) AS s FROM apart a JOIN {truth} g ON g.gt_id = a.det_id WHERE score >= 50000),
+h_{truth} AS (SELECT image_id, threshold, count(*) AS tp FROM (SELECT image_id, i / (2 * s - i) AS iou, unnest(range(50, 100, 5)) AS threshold FROM o_{truth} WHERE i > 0) WHERE iou >= threshold / 100 GROUP BY ALL),
+c_{truth} AS (SELECT i.image_id, coalesce(g.n, 0) AS n_gt, coalesce(d.n, 0) AS n_dt, unnest(range(50, 100, 5)) AS threshold FROM (SELECT DISTINCT image_id FROM apart) i
+  LEFT JOIN (SELECT image_id, count(*) AS n FROM {truth} GROUP BY image_id) g ON g.image_id = i.image_id
+  LEFT JOIN (SELECT image_id, count(*) AS n FROM apart WHERE score >= 50000 GROUP BY image_id) d ON d.image_id = i.image_id),
+u_{truth} AS (SELECT c.*, coalesce(tp, 0) AS tp, n_dt - coalesce(tp, 0) AS fp, n_gt - coalesce(tp, 0) AS fn FROM c_{truth} c LEFT JOIN h_{truth} h ON h.image_id = c.image_id AND h.threshold = c.threshold),
+p_{truth} AS (SELECT *, tp / (tp + fp + 1e-4) AS p, tp / (tp + fn + 1e-4) AS rc FROM u_{truth}),
+rows_{truth} AS (SELECT *, CASE WHEN n_gt > 0 OR n_dt > 0 THEN 2 * p * rc / (p + rc + 1e-4) END AS f1 FROM p_{truth})"""
 
 
-_ROWS = with_views("det", "gt") + """, c AS (SELECT i.image_id, coalesce(g.n, 0) AS n_gt, coalesce(d.n, 0) AS n_dt FROM (SELECT DISTINCT image_id FROM det) i
-  LEFT JOIN (SELECT image_id, count(*) AS n FROM gt WHERE category_id = 1 GROUP BY image_id) g ON g.image_id = i.image_id
-  LEFT JOIN (SELECT image_id, count(*) AS n FROM det WHERE score > 88000 GROUP BY image_id) d ON d.image_id = i.image_id),
-t AS (SELECT *, unnest([50, 75, 95]) AS threshold FROM c),
-r AS (SELECT *, greatest(0, least(n_gt, n_dt) - CASE threshold WHEN 50 THEN 0 WHEN 75 THEN 1 ELSE 2 END) AS tp FROM t),
-s AS (SELECT *, n_dt - tp AS fp, n_gt - tp AS fn FROM r),
-u AS (SELECT *, tp / (tp + fp + 1e-4) AS p, tp / (tp + fn + 1e-4) AS rc FROM s),
-rows_ AS (SELECT *, CASE WHEN n_gt > 0 OR n_dt > 0 THEN 2 * p * rc / (p + rc + 1e-4) END AS f1 FROM u)
-"""
+_ROWS = with_views("det", "apart", "gt_apart", "gt_other") + ", " + _rows_sql("gt_apart") + ", rows_ AS (SELECT image_id, CAST(threshold AS INT) AS threshold, n_gt, n_dt, tp, fp, fn, f1 FROM rows_gt_apart)\n"
 
 
-def _rows(spark, sf):
-    d = det(spark, sf)
-    c = ev.per_image_counts(d.select("image_id").distinct(), gt(spark, sf).where("category_id = 1"), d.where("score > 88000"), ["image_id"])
-    t = c.withColumn("threshold", F.explode(F.array(F.lit(50), F.lit(75), F.lit(95))))
-    off = F.when(F.col("threshold") == 50, 0).when(F.col("threshold") == 75, 1).otherwise(2)
-    t = t.withColumn("tp", F.greatest(F.lit(0), F.least("n_gt", "n_dt") - off))
-    return ev.with_outcome(t.withColumn("fp", F.col("n_dt") - F.col("tp")).withColumn("fn", F.col("n_gt") - F.col("tp")))
+def _rows(spark, sf, truth: str = "gt_apart"):
+    """Scores of the assigned pairs, over all images, ground truth and predictions of half the top score."""
+    every, g = rel(spark, sf, "apart"), rel(spark, sf, truth)
+    d = every.where("score >= 50000")
+    matches = asg.assign(ev.iou_pairs(g, d, ["image_id"]), ["image_id"], "gt_id", "det_id", "iou")
+    return ev.image_scores(every.select("image_id").distinct(), g, d, matches, ["image_id"])
+
+
+@query(
+    "A07_image_scores",
+    _ROWS
+    + """SELECT image_id, threshold, tp, fp, fn, round(f1, 9) AS f1, CAST(n_gt > 0 AND n_dt > 0 AS INT) AS il_tp, CAST(n_gt = 0 AND n_dt > 0 AS INT) AS il_fp,
+  CAST(n_gt = 0 AND n_dt = 0 AS INT) AS il_tn, CAST(n_gt > 0 AND n_dt = 0 AS INT) AS il_fn FROM rows_""",
+)
+def a07(spark, sf):
+    return _rows(spark, sf).select("image_id", "threshold", "tp", "fp", "fn", F.round("f1", 9).alias("f1"), "il_tp", "il_fp", "il_tn", "il_fn")
 
 
 _DATASET = _ROWS + """, a AS (SELECT threshold, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(CASE WHEN n_gt > 0 THEN fp ELSE 0 END) AS pfp,
@@ -79,7 +81,7 @@ def a08(spark, sf):
 @query(
     "A09_demo_scores",
     _DATASET
-    + """SELECT threshold, round(macro / nm * mcc, 9) AS cgf1_macro, round(perf / (itp + ifn), 9) AS il_perfect_pos, round(itn / (itn + ifp), 9) AS il_perfect_neg, round((0.5e0 + threshold / 100 * 0.25e0) / 2, 9) AS j_and_f FROM b""",
+    + """SELECT threshold, round(macro / nm * mcc, 9) AS cgf1_macro, round(perf / nullif(itp + ifn, 0), 9) AS il_perfect_pos, round(itn / nullif(itn + ifp, 0), 9) AS il_perfect_neg, round((0.5e0 + threshold / 100 * 0.25e0) / 2, 9) AS j_and_f FROM b""",
 )
 def a09(spark, sf):
     rows = _rows(spark, sf)
@@ -91,44 +93,51 @@ def a09(spark, sf):
 @query(
     "A10_best_ground_truth",
     _ROWS
-    + """, two AS (SELECT image_id, threshold, 0 AS gt_set, tp, f1 FROM rows_ UNION ALL
-  SELECT image_id, threshold, 1, tp, CASE WHEN image_id % 13 = 0 THEN NULL ELSE f1 * (0.9e0 + (image_id % 5) * 0.05e0) END FROM rows_),
+    + ", "
+    + _rows_sql("gt_other")
+    + """, two AS (SELECT image_id, threshold, 0 AS gt_set, f1 FROM rows_ UNION ALL SELECT image_id, CAST(threshold AS INT), 1, f1 FROM rows_gt_other),
 m AS (SELECT image_id, gt_set, avg(f1) AS mean FROM two GROUP BY ALL),
 p AS (SELECT a.image_id, CASE WHEN b.mean IS NULL THEN 1 WHEN a.mean IS NULL THEN 0 WHEN b.mean > a.mean THEN 1 ELSE 0 END AS gt_set FROM m a JOIN m b ON a.image_id = b.image_id AND a.gt_set = 0 AND b.gt_set = 1)
 SELECT two.image_id, two.threshold, two.gt_set FROM two JOIN p ON p.image_id = two.image_id AND p.gt_set = two.gt_set""",
 )
 def a10(spark, sf):
-    r = _rows(spark, sf)
-    other = r.withColumn("f1", F.when(F.col("image_id") % 13 != 0, F.col("f1") * (F.lit(0.9) + (F.col("image_id") % 5) * 0.05)))
-    two = r.withColumn("gt_set", F.lit(0)).unionByName(other.withColumn("gt_set", F.lit(1)))
+    two = _rows(spark, sf).withColumn("gt_set", F.lit(0)).unionByName(_rows(spark, sf, "gt_other").withColumn("gt_set", F.lit(1)))
     return ev.best_ground_truth(two, ["image_id"], "gt_set").select("image_id", "threshold", "gt_set")
 
 
-@query("A11_greedy_matches")
+_HITS = with_views("det", "apart", "gt_apart") + """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS rn FROM apart) WHERE rn <= 100),
+o AS (SELECT a.image_id, a.det_id, a.score, CAST(unnest(range(50, 100, 5)) AS INT) AS threshold, coalesce(is_crowd, false) AS is_crowd,
+  CASE WHEN g.gt_id IS NULL THEN 0 ELSE greatest(least(a.x2, g.x2) - greatest(a.x1, g.x1), 0) * (a.y2 - a.y1) / (2 * (a.x2 - a.x1) * (a.y2 - a.y1) - greatest(least(a.x2, g.x2) - greatest(a.x1, g.x1), 0) * (a.y2 - a.y1)) END AS iou
+  FROM top a LEFT JOIN gt_apart g ON g.gt_id = a.det_id),
+h AS (SELECT image_id, det_id, score, threshold, CASE WHEN iou < threshold / 100 THEN 0 WHEN NOT is_crowd THEN 1 END AS hit FROM o)
+"""
+
+
+def _hits(spark, sf):
+    every, g = rel(spark, sf, "apart"), rel(spark, sf, "gt_apart")
+    pairs = ev.iou_pairs(g, every, ["image_id"]).join(g.select("gt_id", "is_crowd"), "gt_id")
+    return ev.greedy_matches(pairs, every, ["image_id"], max_dets=100), g
+
+
+@query("A11_greedy_matches", _HITS + "SELECT image_id, det_id, score, threshold, hit FROM h")
 def a11_match(spark, sf):
     """Which detections take a ground truth at each threshold (score order, best IoU first, crowds ignored)."""
-    _, g, d = _sets(spark, sf)
-    pairs = ev.iou_pairs(g, d, ["image_id"]).withColumn("is_crowd", F.col("gt_id") % 17 == 0)
-    return ev.greedy_matches(pairs, d, ["image_id"])
+    return _hits(spark, sf)[0].select("image_id", "det_id", "score", "threshold", "hit")
 
 
 @query(
     "A11_average_precision",
-    with_views("det")
-    + """, h AS (SELECT det_id, score, unnest([50, 75]) AS threshold, category_id FROM det),
-i AS (SELECT *, CASE WHEN det_id % 7 < CASE threshold WHEN 50 THEN 3 ELSE 2 END THEN 1 ELSE 0 END AS hit FROM h WHERE det_id % 11 <> 0 /* the others are ignored */),
-c AS (SELECT threshold, score, sum(hit) OVER w AS tp, count(*) OVER w AS seen FROM i WINDOW w AS (PARTITION BY threshold ORDER BY score DESC, det_id ROWS UNBOUNDED PRECEDING)),
-n AS (SELECT threshold, max(tp) AS npos0 FROM c GROUP BY threshold),
-lv AS (SELECT c.threshold, tp, seen, CAST(tp AS DOUBLE) / seen AS prec FROM c),
+    _HITS
+    + """, npos AS (SELECT count(*) AS n FROM gt_apart WHERE NOT is_crowd),
+c AS (SELECT threshold, score, sum(hit) OVER w AS tp, count(*) OVER w AS seen FROM h WHERE hit IS NOT NULL WINDOW w AS (PARTITION BY threshold ORDER BY score DESC, det_id ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT threshold, CAST(tp * 100 // n AS INT) AS level, max(tp / seen) AS prec, max(tp) AS tp FROM c, npos GROUP BY ALL),
 pts AS (SELECT unnest(range(0, 101)) AS k),
-best AS (SELECT threshold, k, coalesce(max(prec) FILTER (WHERE tp * 100 >= k * 30000), 0) AS p FROM lv, pts GROUP BY ALL)
-SELECT threshold, round(sum(p) / 101, 9) AS ap, round((SELECT npos0 FROM n WHERE n.threshold = best.threshold) / 30000, 9) AS ar FROM best GROUP BY threshold""",
+best AS (SELECT threshold, k, coalesce(max(prec) FILTER (WHERE level >= k), 0) AS p FROM e, pts GROUP BY ALL)
+SELECT threshold, round(sum(p) / 101, 9) AS ap, round((SELECT max(tp) FROM e WHERE e.threshold = best.threshold) / (SELECT n FROM npos), 9) AS ar FROM best GROUP BY threshold""",
 )
 def a11(spark, sf):
-    h = det(spark, sf).select("det_id", "score", F.explode(F.array(F.lit(50), F.lit(75))).alias("threshold"))
-    h = h.withColumn("hit", (F.col("det_id") % 7 < F.when(F.col("threshold") == 50, 3).otherwise(2)).cast("int"))
-    h = h.withColumn("hit", F.when(F.col("det_id") % 11 != 0, F.col("hit")))
-    a = ev.average_precision(h, 30000)
+    h, g = _hits(spark, sf)
+    a = ev.average_precision(h, g.where("NOT is_crowd"))
     return a.select("threshold", F.round("ap", 9).alias("ap"), F.round("ar", 9).alias("ar"))
 
 

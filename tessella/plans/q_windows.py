@@ -357,14 +357,14 @@ def u03(spark, sf):
     "J07_per_image_fill",
     with_views("det", "gt")
     + """, im AS (SELECT DISTINCT image_id FROM det) SELECT im.image_id, coalesce(g.n, 0) AS n_gt, coalesce(d.n, 0) AS n_dt FROM im
-LEFT JOIN (SELECT image_id, count(*) AS n FROM gt WHERE category_id = 1 GROUP BY image_id) g ON g.image_id = im.image_id
-LEFT JOIN (SELECT image_id, count(*) AS n FROM det WHERE score > 85000 GROUP BY image_id) d ON d.image_id = im.image_id""",
+LEFT JOIN (SELECT image_id, count(*) AS n FROM gt GROUP BY image_id) g ON g.image_id = im.image_id
+LEFT JOIN (SELECT image_id, count(*) AS n FROM det WHERE score > 50000 GROUP BY image_id) d ON d.image_id = im.image_id""",
 )
 def j07(spark, sf):
     from tessella.operators.evalmetrics import per_image_counts
 
     d = det(spark, sf)
-    return per_image_counts(d.select("image_id").distinct(), gt(spark, sf).where("category_id = 1"), d.where("score > 85000"), ["image_id"])
+    return per_image_counts(d.select("image_id").distinct(), gt(spark, sf), d.where("score > 50000"), ["image_id"])
 
 
 @query(

@@ -22,19 +22,31 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    shared_folder(spark)
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``.
+
+    One machine may go without: a folder in its temporary directory is taken. A cluster may not, as its
+    executors would each write to a disk of their own.
+    """
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/tessella-checkpoints")
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of
-    our own is only made where none is set (tests on one machine).
+    The folder is that of ``shared_folder``.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -55,8 +67,4 @@ def scratch(spark: SparkSession) -> str:
     """A fresh folder next to the checkpoints, which every executor can reach."""
     import uuid
 
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"

@@ -44,14 +44,14 @@ def test_perfect_detection(frames):
     s = ev.dataset_scores(ev.image_scores(d.select("image_id").distinct(), g, d, matches, ["image_id"]))
     assert s.where("fp <> 0 OR fn <> 0 OR f1 < 0.999").isEmpty() and s.count() == 10
     hits = ev.greedy_matches(pairs.withColumn("is_crowd", F.lit(False)), d, ["image_id"])
-    ap = ev.average_precision(hits, g.count())
+    ap = ev.average_precision(hits, g)
     assert ap.where("abs(ap - 1) > 1e-9 OR abs(ar - 1) > 1e-9").isEmpty() and ap.count() == 10
 
 
 def test_average_precision_by_hand(spark):
     rows = spark.createDataFrame([(1, 0.9, 50, 1), (2, 0.8, 50, 0), (3, 0.7, 50, 1), (4, 0.6, 50, None)], "det_id long, score double, threshold int, hit int")
     # Recall 0.5 at precision 1, recall 1 at precision 2/3: 51 points at 1, 50 at 2/3.
-    r = ev.average_precision(rows, 2, score_buckets=0.25).first()
+    r = ev.average_precision(rows, spark.range(2), buckets=4).first()
     assert r.ap == pytest.approx((51 + 50 * 2 / 3) / 101) and r.ar == 1.0
 
 
