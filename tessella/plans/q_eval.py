@@ -156,7 +156,7 @@ SQL["video_frames"] = """
 SELECT image_id // 20 AS video_id, CAST(category_id * 3 + det_id % 3 AS BIGINT) AS track_id, image_id % 20 AS frame, min(x1) AS x1, min(y1) AS y1, min(x1) + 20 AS x2, min(y1) + 10 AS y2, max(score) AS score
 FROM det GROUP BY image_id // 20, CAST(category_id * 3 + det_id % 3 AS BIGINT), image_id % 20
 """
-_PAIRS = "SELECT a.video_id, a.track_id AS a_id, b.track_id AS b_id FROM (SELECT DISTINCT video_id, track_id FROM video_frames) a JOIN (SELECT DISTINCT video_id, track_id FROM video_frames) b ON a.video_id = b.video_id AND b.track_id = a.track_id + 1"
+_PAIRS = "SELECT a.video_id, a.track_id AS a_id, b.track_id AS b_id FROM (SELECT DISTINCT video_id, track_id FROM video_frames) a JOIN (SELECT DISTINCT video_id, track_id FROM video_frames) b ON a.video_id = b.video_id AND b.track_id > a.track_id"
 _TIOU = f""", pr AS ({_PAIRS}), tot AS (SELECT video_id, track_id, sum((x2 - x1) * (y2 - y1)) AS a FROM video_frames GROUP BY ALL),
 sh AS (SELECT pr.video_id, a_id, b_id, sum(greatest(least(p.x2, q.x2) - greatest(p.x1, q.x1), 0) * greatest(least(p.y2, q.y2) - greatest(p.y1, q.y1), 0)) AS i FROM pr
   JOIN video_frames p ON p.video_id = pr.video_id AND p.track_id = a_id JOIN video_frames q ON q.video_id = pr.video_id AND q.track_id = b_id AND q.frame = p.frame GROUP BY ALL)
@@ -168,9 +168,7 @@ JOIN tot tb ON tb.video_id = pr.video_id AND tb.track_id = pr.b_id LEFT JOIN sh
 def a13(spark, sf):
     f = rel(spark, sf, "video_frames")
     t = f.select("video_id", "track_id").distinct()
-    pairs = t.select("video_id", F.col("track_id").alias("a_id"), (F.col("track_id") + 1).alias("b_id")).join(
-        t.withColumnRenamed("track_id", "b_id"), ["video_id", "b_id"], "left_semi"
-    )
+    pairs = t.withColumnRenamed("track_id", "a_id").join(t.withColumnRenamed("track_id", "b_id"), "video_id").where("a_id < b_id")
     return ev.tracklet_iou(f, pairs, ["video_id"])
 
 

@@ -171,24 +171,15 @@ _POS = ", pq AS (SELECT *, row_number() OVER (PARTITION BY datapoint_id, image_n
     "W12_cap_queries_per_frame",
     _FQ
     + _POS
-    + """, full_points AS (SELECT DISTINCT datapoint_id FROM (SELECT datapoint_id, image_no FROM pq WHERE datapoint_id % 3 <> 0 OR pos < 3 GROUP BY datapoint_id, image_no HAVING count(*) > 3)),
-pp AS (SELECT * FROM pq WHERE datapoint_id % 3 <> 0 OR pos < 3),
+    + """, full_points AS (SELECT DISTINCT datapoint_id FROM (SELECT datapoint_id, image_no FROM pq GROUP BY datapoint_id, image_no HAVING count(*) > 3)),
+pp AS (SELECT * FROM pq),
 kept AS (SELECT datapoint_id, pos FROM (SELECT datapoint_id, pos, row_number() OVER (PARTITION BY datapoint_id ORDER BY CAST(len(object_ids) = 0 AS INT), md5(concat('s2:', query_id)), pos) AS rn
   FROM pp WHERE image_no = 0 AND datapoint_id IN (SELECT datapoint_id FROM full_points)) WHERE rn <= 3)
 SELECT query_id FROM pp WHERE datapoint_id NOT IN (SELECT datapoint_id FROM full_points) OR EXISTS (SELECT 1 FROM kept WHERE kept.datapoint_id = pp.datapoint_id AND kept.pos = pp.pos)""",
 )
 def w12_frames(spark, sf):
     q = ordinal(find_queries(spark, sf), ["datapoint_id", "image_no"], [F.floor(F.col("query_id") / 4096)], [F.col("query_id")], "pos", start=0)
-    q = q.where("datapoint_id % 3 <> 0 OR pos < 3")
-    return _capped(q).select("query_id")
-
-
-def _capped(q):
-    full = q.groupBy("datapoint_id", "image_no").count().where("count > 3").select("datapoint_id").distinct()
-    first = q.where("image_no = 0").join(full, "datapoint_id", "left_semi")
-    order = [(F.size("object_ids") == 0).cast("int"), ds.draw("s2", "query_id"), F.col("pos")]
-    kept = top_k(first, ["datapoint_id"], order, 3).select("datapoint_id", "pos")
-    return q.join(kept, ["datapoint_id", "pos"], "left_semi").unionByName(q.join(full, "datapoint_id", "left_anti"))
+    return ds.cap_queries_per_frame(q, "datapoint_id", "image_no", "pos", 3, ds.draw("s2", "query_id")).select("query_id")
 
 
 @query(
@@ -310,10 +301,10 @@ def o01(spark, sf):
 @query(
     "O02_cap_new_objects",
     with_views("det")
-    + "SELECT image_id, det_id FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS rn FROM det WHERE category_id = 1) WHERE rn <= 3",
+    + "SELECT image_id, det_id FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, det_id) AS rn FROM det) WHERE rn <= 3",
 )
 def o02(spark, sf):
-    return top_k(det(spark, sf).where("category_id = 1"), ["image_id"], [F.col("score").desc(), F.col("det_id")], 3).select("image_id", "det_id")
+    return top_k(det(spark, sf), ["image_id", "category_id"], [F.col("score").desc(), F.col("det_id")], 3).select("image_id", "det_id")
 
 
 @query("O03_regions_by_area", with_views("det") + "SELECT det_id, (x2 - x1) * (y2 - y1) AS area FROM det ORDER BY area DESC, det_id")
@@ -326,7 +317,7 @@ def o03(spark, sf):
     with_views("det")
     + """, a AS (SELECT CAST(det_id AS VARCHAR) AS element_id, 'direct' AS source FROM det WHERE category_id <= 3),
 b AS (SELECT CAST(det_id AS VARCHAR) AS element_id, 'element' AS source FROM det WHERE category_id BETWEEN 2 AND 5),
-c AS (SELECT concat('text_', det_id) AS element_id, 'text' AS source FROM det WHERE category_id = 6)
+c AS (SELECT concat('text_', det_id) AS element_id, 'text' AS source FROM det WHERE category_id >= 6)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE element_id NOT IN (SELECT element_id FROM a) UNION ALL SELECT * FROM c""",
 )
 def u01(spark, sf):
@@ -334,20 +325,20 @@ def u01(spark, sf):
 
     d = det(spark, sf)
     frag = lambda w, s, i=F.col("det_id").cast("string"): d.where(w).select(i.alias("element_id"), F.lit(s).alias("source"))
-    text = frag("category_id = 6", "text", F.concat(F.lit("text_"), F.col("det_id").cast("string")))
+    text = frag("category_id >= 6", "text", F.concat(F.lit("text_"), F.col("det_id").cast("string")))
     return collect_fragments(frag("category_id <= 3", "direct"), frag("category_id BETWEEN 2 AND 5", "element"), text)
 
 
 @query(
     "U03_set_operations",
-    with_views("det", "gt")
-    + """, im AS (SELECT DISTINCT image_id FROM det), g AS (SELECT DISTINCT image_id FROM gt WHERE category_id = 1)
+    with_views("det", "apart", "gt_apart")
+    + """, im AS (SELECT DISTINCT image_id FROM det), g AS (SELECT DISTINCT image_id FROM gt_apart)
 SELECT image_id, 'missing' AS kind FROM im WHERE image_id NOT IN (SELECT image_id FROM g)
 UNION ALL SELECT image_id, 'excluded' FROM (SELECT image_id FROM g UNION SELECT image_id FROM det WHERE category_id = 7)""",
 )
 def u03(spark, sf):
     images = det(spark, sf).select("image_id").distinct()
-    g = gt(spark, sf).where("category_id = 1").select("image_id").distinct()
+    g = rel(spark, sf, "gt_apart").select("image_id").distinct()
     seven = det(spark, sf).where("category_id = 7").select("image_id")
     return images.subtract(g).withColumn("kind", F.lit("missing")).unionByName(g.union(seven).distinct().withColumn("kind", F.lit("excluded")))
 
