@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import masks, styles, texts
-from tessella.operators import logs, textblocks as tb
+from tessella.operators import greedy, logs, textblocks as tb
+from tessella.plans.q_core import _iou_over, _kept_sql
 from tessella.plans.registry import query
 from tessella.plans.relations import SQL, det, rel, with_views
 
@@ -437,12 +438,17 @@ def a01(spark, sf):
 
 @query(
     "A02_counts_per_group",
-    with_views("det") + "SELECT grp, count(*) AS before, CAST(sum(CAST(score > 50000 AS INT)) AS BIGINT) AS after FROM det GROUP BY grp",
+    _kept_sql("SELECT * FROM det", "score DESC, det_id", _iou_over("0.5")).replace("SELECT image_id, u.id AS det_id FROM (", "SELECT grp, count(*) AS before, count(k.id) AS after FROM det LEFT JOIN (SELECT u.id AS id FROM (").replace(
+        "FROM done)", "FROM done)) k ON k.id = det.det_id GROUP BY grp"
+    ),
 )
 def a02(spark, sf):
+    """Elements of each group before and after the score-first suppression of their image."""
     d = det(spark, sf)
     n = lambda x, name: x.groupBy("grp").agg(F.count(F.lit(1)).alias(name))
-    return n(d, "before").join(n(d.where("score > 50000"), "after"), "grp", "left").fillna(0, ["after"])
+    kept = greedy.greedy_keep(d, ["image_id"], "det_id", [-F.col("score")], greedy.iou_above(0.5))
+    kept = d.join(kept.select("image_id", "det_id"), ["image_id", "det_id"], "left_semi")
+    return n(d, "before").join(n(kept, "after"), "grp", "left").fillna(0, ["after"])
 
 
 @query("X07_refine_groups")

@@ -6,20 +6,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CELL = (
     "_id string, _parent string, _style string, _value string, _vertex string, _edge string, _source string, _target string, _connectable string, "
-    "mxGeometry struct<_x: double, _y: double, _width: double, _height: double>"
+    "mxGeometry struct<_x: double, _y: double, _width: double, _height: double, mxPoint: array<struct<_as: string, _x: double, _y: double>>, "
+    "Array: struct<_as: string, mxPoint: array<struct<_x: double, _y: double>>>>"
 )
 PAGE_SMALL, PAGE_WIDE = (800.0, 600.0), (1920.0, 1080.0)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of many diagram files as one table; the root cells 0 and 1 are dropped."""
+    """Cells of many diagram files as one table; the root cells 0 and 1 are dropped.
+
+    Edges carry their free ends (``source_point``, ``target_point``) and waypoints (``points``). Unset flags are false.
+    """
     raw = spark.read.format("xml").option("rowTag", "mxCell").schema(CELL).load(path)
     zero = F.lit(0.0)
+    flag = lambda c: F.coalesce(F.col(c) == "1", F.lit(False))
+    point = lambda p: F.struct(F.coalesce(p["_x"], zero).alias("x"), F.coalesce(p["_y"], zero).alias("y"))
+    end = lambda name: F.get(F.transform(F.filter("mxGeometry.mxPoint", lambda p: p["_as"] == name), point), 0)
+    waypoints = F.when(F.col("mxGeometry.Array._as") == "points", F.transform("mxGeometry.Array.mxPoint", point))
     return raw.select(
         F.col("_metadata.file_name").alias("doc"), F.col("_id").alias("id"), F.col("_parent").alias("parent"), F.col("_style").alias("style"), F.col("_value").alias("value"),
-        (F.col("_vertex") == "1").alias("vertex"), (F.col("_edge") == "1").alias("edge"), F.col("_source").alias("source"), F.col("_target").alias("target"),
+        flag("_vertex").alias("vertex"), flag("_edge").alias("edge"), F.col("_connectable").alias("connectable"), F.col("_source").alias("source"), F.col("_target").alias("target"),
         F.coalesce("mxGeometry._x", zero).alias("x"), F.coalesce("mxGeometry._y", zero).alias("y"), F.coalesce("mxGeometry._width", zero).alias("width"),
-        F.coalesce("mxGeometry._height", zero).alias("height"),
+        F.coalesce("mxGeometry._height", zero).alias("height"), end("sourcePoint").alias("source_point"), end("targetPoint").alias("target_point"),
+        F.coalesce(waypoints, F.array().cast("array<struct<x:double,y:double>>")).alias("points"),
     ).where("id NOT IN ('0', '1')")
 
 

@@ -198,3 +198,39 @@ def test_layer_of_container_type(spark):
 
     r = one(spark, rules.layer_level(rules.prompt_to_type(F.lit("Container box"))).alias("c"), rules.layer_level(F.lit("Text")).alias("t"))
     assert r["c"] == 5 and r["t"] == 4
+
+
+def test_edges_from_markup(spark, tmp_path):
+    from tessella.operators import cells
+    from tessella.sources.diagrams import read_cells
+
+    body = (
+        '<mxCell id="0"/><mxCell id="1" parent="0"/>'
+        '<mxCell id="a" parent="1" vertex="1"><mxGeometry x="10" y="20" width="30" height="40" as="geometry"/></mxCell>'
+        '<mxCell id="b" parent="1" vertex="1"><mxGeometry x="100" y="20" width="30" height="40" as="geometry"/></mxCell>'
+        '<mxCell id="tied" parent="1" edge="1" source="a" target="b"><mxGeometry as="geometry"><Array as="points"><mxPoint x="5" y="6"/><mxPoint x="7"/></Array></mxGeometry></mxCell>'
+        '<mxCell id="free" parent="1" edge="1"><mxGeometry as="geometry"><mxPoint x="1" y="2" as="sourcePoint"/><mxPoint x="3" y="4" as="targetPoint"/></mxGeometry></mxCell>'
+        '<mxCell id="dangling" parent="1" edge="1" source="a" target="gone"><mxGeometry as="geometry"/></mxCell>'
+        '<mxCell id="l" parent="tied" vertex="1" connectable="0"><mxGeometry as="geometry"/></mxCell>'
+    )
+    (tmp_path / "d.xml").write_text(f"<mxGraphModel><root>{body}</root></mxGraphModel>")
+    table = read_cells(spark, f"file://{tmp_path}/d.xml")
+    edges = {r.id: r for r in cells.resolve_edges(table).collect()}
+    assert set(edges) == {"tied", "free"}
+    assert (edges["tied"].s_x, edges["tied"].t_x) == (10.0, 100.0) and [tuple(p) for p in edges["tied"].points] == [(5.0, 6.0), (7.0, 0.0)]
+    assert (edges["free"].s_x, edges["free"].s_y, edges["free"].t_x, edges["free"].t_width) == (1.0, 2.0, 3.0, 0.0)
+    assert [r.id for r in cells.edge_labels(table).collect()] == ["l"]
+
+
+def test_mask_operations_on_runs(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [[[int(rng.random() < 0.4) for _ in range(24)] for _ in range(2)] for _ in range(60)] + [[[0] * 24, [1] * 24], [[1] * 24, [1] * 24], [[0] * 24, [0] * 24]]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a array<int>, b array<int>").select("i", masks.encode(F.col("a")).alias("a"), masks.encode(F.col("b")).alias("b"))
+    both = df.select("i", masks.combine(F.col("a"), F.col("b"), "intersection").alias("n"), masks.combine(F.col("a"), F.col("b"), "union").alias("u"), masks.bounds(F.col("a"), 4, 6).alias("r"))
+    for r in both.select("i", masks.decode(F.col("n")).alias("n"), masks.decode(F.col("u")).alias("u"), "r").collect():
+        a, b = rows[r.i]
+        assert r.n == [x & y for x, y in zip(a, b)] and r.u == [x | y for x, y in zip(a, b)]
+        on = [i for i, v in enumerate(a) if v]
+        assert tuple(r.r) == ((min(i // 4 for i in on), min(i % 4 for i in on), max(i // 4 for i in on), max(i % 4 for i in on)) if on else (6, 4, 0, 0))
