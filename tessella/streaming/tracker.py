@@ -36,6 +36,7 @@ class Settings:
     keep_min: int = -1
     keep_max: int = 8
     emit_delay: int = 0
+    reorder: int = 0  # frames that a stream waits for late ones
 
 
 def fresh() -> dict:
@@ -113,7 +114,20 @@ def _emit(state: dict, rows: list[tuple], dead: list[int], cfg: Settings) -> lis
     state["buffer"].append([list(r) for r in rows])
     if len(state["buffer"]) < cfg.emit_delay:
         return []
-    return _alive(state, [state["buffer"].pop(0)])
+    out = _alive(state, [state["buffer"].pop(0)])
+    held = {r[2] for frame in state["buffer"] for r in frame}
+    state["gone"] = [n for n in state["gone"] if n in held]
+    return out
+
+
+def skip(state: dict, video: int, last: int, frame: int, cfg: Settings) -> list[tuple]:
+    """Advance over the frames between two that have detections; without tracks or rows held back there is nothing to do."""
+    out: list[tuple] = []
+    for f in range(last + 1, frame):
+        if not state["tracks"] and not any(state["buffer"]):
+            break
+        out.extend(step(state, video, f, [], cfg))
+    return out
 
 
 def _alive(state: dict, frames: list) -> list[tuple]:
@@ -130,13 +144,21 @@ def flush(state: dict) -> list[tuple]:
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=COLUMNS)
-    out["det_id"] = out["det_id"].astype("Int64")
+    for c in ("obj_id", "det_id"):
+        out[c] = out[c].astype("Int64")
     return out
 
 
-def track(dets: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Batch twin: videos spread over tasks, each video read in frame order with only its state held."""
+def track(dets: DataFrame, cfg: Settings = Settings(), frames: DataFrame | None = None) -> DataFrame:
+    """Batch twin: videos spread over tasks, each video read in frame order with only its state held.
+
+    Every frame is stepped, with or without detections. ``frames`` (video_id, frame) lists those of each video, so that
+    those before the first and after the last detection are stepped too.
+    """
     cols = ["video_id", "frame", "det_id", "score", "x1", "y1", "x2", "y2"]
+    rows = dets.select(*cols)
+    if frames is not None:
+        rows = frames.select("video_id", "frame").distinct().join(rows, ["video_id", "frame"], "left").select(*cols)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, at, pending = None, None, []
@@ -147,37 +169,43 @@ def track(dets: DataFrame, cfg: Settings = Settings()) -> DataFrame:
                 if here != at:
                     if at is not None:
                         out.extend(step(state, at[0], at[1], pending, cfg))
-                        if at[0] != r.video_id:
-                            out.extend(flush(state))
+                        out.extend(flush(state) if at[0] != r.video_id else skip(state, at[0], at[1], r.frame, cfg))
                     if at is None or at[0] != r.video_id:
                         state = fresh()
                     at, pending = here, []
-                pending.append(tuple(r[2:]))
+                if not pd.isna(r.det_id):
+                    pending.append((int(r.det_id), *r[3:]))
             if out:
                 yield _frame(out)
         if at is not None:
             yield _frame(step(state, at[0], at[1], pending, cfg) + flush(state))
 
-    ordered = dets.select(*cols).repartition("video_id").sortWithinPartitions("video_id", "frame", "det_id")
-    return ordered.mapInPandas(run, OUTPUT)
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame", "det_id").mapInPandas(run, OUTPUT)
 
 
 def track_stream(dets: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Streaming twin. A frame is worked off when a later frame of its video arrives, or at its row
-    with ``is_last``; frames of one video must not come out of order between micro-batches."""
+    """Streaming twin. A frame is worked off once one more than ``reorder`` frames later has come, or at a row
+    with ``is_last``. What comes later than that is not stepped: it gives a row of event ``late`` without an object."""
 
     def run(key, batches, state: GroupState):
-        s = json.loads(state.get[0]) if state.exists else {**fresh(), "open": None, "rows": []}
+        s = json.loads(state.get[0]) if state.exists else {**fresh(), "done": None, "waiting": {}}
         video, out = int(key[0]), []
         rows = pd.concat(list(batches)).sort_values(["frame", "det_id"])
         for r in rows.itertuples(index=False):
-            if s["open"] is not None and r.frame != s["open"]:
-                out.extend(step(s, video, s["open"], [tuple(x) for x in s["rows"]], cfg))
-                s["rows"] = []
-            s["open"] = int(r.frame)
-            s["rows"].append([int(r.det_id), float(r.score), float(r.x1), float(r.y1), float(r.x2), float(r.y2)])
-        if rows["is_last"].any():
-            out.extend(step(s, video, s["open"], [tuple(x) for x in s["rows"]], cfg) + flush(s))
+            if s["done"] is not None and r.frame <= s["done"]:
+                out.append((video, int(r.frame), None, int(r.det_id), "late", None, None, None, r.x1, r.y1, r.x2, r.y2))
+            else:
+                s["waiting"].setdefault(str(int(r.frame)), []).append([int(r.det_id), float(r.score), float(r.x1), float(r.y1), float(r.x2), float(r.y2)])
+        last = bool(rows["is_last"].any())
+        known = sorted(map(int, s["waiting"]))
+        for f in known:
+            if last or f < known[-1] - cfg.reorder:
+                if s["done"] is not None:
+                    out.extend(skip(s, video, s["done"], f, cfg))
+                out.extend(step(s, video, f, [tuple(x) for x in sorted(s["waiting"].pop(str(f)))], cfg))
+                s["done"] = f
+        if last:
+            out.extend(flush(s))
             state.remove()
         else:
             state.update((json.dumps(s),))

@@ -111,3 +111,33 @@ def test_permutation_invariance(spark, crowd):
     a = greedy.greedy_keep(crowd, ["image_id"], "det_id", [-F.col("score")], greedy.iou_above(0.5))
     b = greedy.greedy_keep(crowd.repartition(7, "score"), ["image_id"], "det_id", [-F.col("score")], greedy.iou_above(0.5))
     assert sorted(r.det_id for r in a.collect()) == sorted(r.det_id for r in b.collect())
+
+
+def test_frames_without_detections_are_stepped(spark):
+    rows = [(0, 0, 1, 0.9, 0.0, 0.0, 10.0, 10.0), (0, 5, 2, 0.9, 50.0, 0.0, 60.0, 10.0)]
+    d = spark.createDataFrame(rows, "video_id long, frame long, det_id long, score double, x1 double, y1 double, x2 double, y2 double")
+    cfg = tracker.Settings(start_delay=10, unmatched_limit=3)
+    first = {r.frame: r for r in tracker.track(d, cfg).where("obj_id = 0").collect()}
+    # Missed in frames 1, 2 and 3, and removed on the third.
+    assert sorted(first) == [0, 1, 2, 3] and first[3].removed and not first[2].removed
+    every = spark.range(8).selectExpr("0L AS video_id", "id AS frame")
+    second = tracker.track(d, cfg, every).where("obj_id = 1").orderBy("frame").collect()
+    assert [r.frame for r in second] == [5, 6, 7] and second[-1].keep_alive < second[0].keep_alive
+
+
+def test_late_frames_of_a_stream(spark, tmp_path):
+    schema = "video_id long, frame long, det_id long, score double, x1 double, y1 double, x2 double, y2 double, is_last boolean"
+    rows = [[(0, 0, 1), (0, 2, 3)], [(0, 1, 2), (0, 3, 4)], [(0, 0, 9), (0, 6, 7)], [(0, 7, 8)]]
+    for i, part in enumerate(rows):
+        full = [(v, f, d, 0.9, 0.0, 0.0, 10.0, 10.0, f == 7) for v, f, d in part]
+        spark.createDataFrame(full, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    cfg = tracker.Settings(reorder=1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = tracker.track_stream(stream, cfg).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").option("path", f"{tmp_path}/out").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.read.schema(tracker.OUTPUT).parquet(f"{tmp_path}/out")
+    late = [(r.frame, r.det_id) for r in got.where("event = 'late'").collect()]
+    assert late == [(0, 9)]
+    whole = spark.createDataFrame([(0, f, d, 0.9, 0.0, 0.0, 10.0, 10.0) for part in rows for _, f, d in part if d != 9], schema.replace(", is_last boolean", ""))
+    cols = ["frame", "obj_id", "det_id", "event"]
+    assert sorted(map(tuple, got.where("event <> 'late'").select(*cols).collect()), key=str) == sorted(map(tuple, tracker.track(whole, cfg).select(*cols).collect()), key=str)
