@@ -29,6 +29,7 @@ SLACK = 1.22
 LEAST = 8
 ERROR = 2.5  # standard errors of the test
 COLUMNS = 16
+PAIRS = 250_000  # of queries and candidates that are looked at together
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, slack: float = SLACK, error: float = ERROR) -> DataFrame:
@@ -140,31 +141,40 @@ def _scan(batches, held, k: int, error: float):
     _, rotation, top = held.value
     d = len(rotation)
     cuts = [*range(COLUMNS, d, COLUMNS), d]
+    spans = list(zip([0, *cuts[:-1]], cuts, strict=True))
     for rb in batches:
         for r in range(rb.num_rows):
             rows, asked = vectors.members(rb.column(0), r), vectors.members(rb.column(1), r)
             x, ids = vectors.matrix(rows, "vec", np.float64), rows.field("id").to_numpy()
             turned = _lifted(x, top) @ rotation
-            columns = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+            columns = [np.ascontiguousarray(turned[:, a:b]) for a, b in spans]
             q_all, own, least = vectors.matrix(asked, "vec", np.float64), asked.field("id").to_numpy(), asked.field("least").to_numpy()
-            found: list[list] = [[], [], []]
-            for q, me, low in zip(q_all, own, least, strict=True):
-                # A score of s is the squared distance |q|^2 + top - 2 s.
-                far2 = q @ q + top - 2 * low
-                turned_q = np.append(q, 0.0) @ rotation
-                left, part = np.flatnonzero(ids != me), np.zeros(len(ids))
-                for c, (a, b) in zip(columns, zip([0, *cuts[:-1]], cuts, strict=True), strict=True):
-                    gap = (c if len(left) == len(ids) else c[left]) - turned_q[a:b]
-                    part = (part if len(part) == len(left) else part[left]) + np.einsum("ij,ij->i", gap, gap)
-                    if b < d and far2 < np.inf:
-                        stays = part <= far2 * (b / d) * (1 + error / np.sqrt(b)) ** 2
-                        left, part = left[stays], part[stays]
-                if len(left):
-                    score = x[left] @ q
-                    i, s = vectors.merge(ids[left][None], score[None], k)
-                    good = s[0] >= low
-                    found[0].append(np.full(int(good.sum()), me))
-                    found[1].append(i[0][good])
-                    found[2].append(s[0][good])
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], ["query_id", "vec_id", "score"])
+            step = max(1, PAIRS // len(ids))
+            for at in range(0, len(q_all), step):
+                q, me, low = q_all[at : at + step], own[at : at + step], least[at : at + step]
+                i, j, score = _survivors(x, ids, columns, spans, q, me, low, np.pad(q, ((0, 0), (0, 1))) @ rotation, top, error)
+                order = np.lexsort((ids[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                yield pa.RecordBatch.from_arrays([pa.array(me[i[best]]), pa.array(ids[j[best]]), pa.array(score[best])], ["query_id", "vec_id", "score"])
+
+
+def _survivors(x, ids, columns, spans, q, own, low, turned, top: float, error: float):
+    """(query, candidate, score) of the pairs that no block of columns rejects and that reach the query's bound."""
+    d = spans[-1][1]
+    # A score of s is the squared distance |q|^2 + top - 2 s.
+    far2 = (q * q).sum(1) + top - 2 * low
+    limit = lambda b: far2 * (b / d) * (1 + error / np.sqrt(b)) ** 2 if b < d else np.full(len(far2), np.inf)
+    (a, b), c = spans[0], columns[0]
+    near = turned[:, a:b]
+    first = (near * near).sum(1)[:, None] + (c * c).sum(1) - 2 * near @ c.T
+    i, j = np.nonzero((first <= limit(b)[:, None]) & (ids != own[:, None]))
+    part = first[i, j]
+    for (a, b), c in zip(spans[1:], columns[1:], strict=True):
+        gap = c[j] - turned[i, a:b]
+        part = part + np.einsum("ij,ij->i", gap, gap)
+        stays = part <= limit(b)[i]
+        i, j, part = i[stays], j[stays], part[stays]
+    score = np.einsum("ij,ij->i", x[j], q[i])
+    good = score >= low[i]
+    return i[good], j[good], score[good]
