@@ -55,7 +55,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, slack: float = SLAC
     rotation = np.linalg.qr(np.random.default_rng(11).standard_normal((about["d"] + 1, about["d"] + 1)))[0]
     held = spark.sparkContext.broadcast((centres, rotation, top))
 
-    kept = vectors.few_copies(rows, k + 1)
+    kept = vectors.few_copies(rows, k)
     assigned = kept.mapInArrow(lambda b: _assign(b, held), "id long, vec array<double>, list int")
     assigned = cut(assigned)
     counts = assigned.groupBy("list").agg(F.count(F.lit(1)).alias("n"))

@@ -34,7 +34,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, shard: int = S
     rows that repeat an id of the queries the smallest vector is searched for; candidates that repeat each count. Sums
     must stay below 2^53. An empty table on either side gives an empty result.
     """
-    vec = vectors.few_copies(candidates, k + 1)
+    vec = vectors.few_copies(candidates, k)
     ask = queries.groupBy("id").agg(F.min("vec").alias("vec"))
     n, m = candidates.count(), ask.count()
     shards, groups = max(1, -(-n // shard)), max(1, -(-m // block))

@@ -19,10 +19,15 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return held.where(F.size("vec") == (sizes["d"] if sizes else 1))
 
 
-def few_copies(held: DataFrame, copies: int) -> DataFrame:
-    """Of equal vectors the ``copies`` smallest ids: ties go to the smaller id, so no list can hold more of them."""
+def few_copies(held: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors the k + 1 smallest ids, and of each of those k rows: all that a list of k can hold.
+
+    Ties go to the smaller id, and a query leaves out every row of its own id, so k other ids have to be left.
+    """
+    rows = held.groupBy("vec", "id").agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy("vec").orderBy("id")
-    return held.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= copies).drop("_n")
+    few = rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k + 1)
+    return few.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("_n", F.lit(k))))).select(*held.columns)
 
 
 def blocks(df: DataFrame, keys: list[str], name: str, *columns: str) -> DataFrame:

@@ -155,6 +155,20 @@ def test_exact_top_k(spark):
     assert topk.top_k(rows, rows.where("false"), 9).count() == 0
 
 
+def test_repeated_rows_among_equal_vectors(spark):
+    """A query leaves out all rows of its own id; of other ids each row counts."""
+    k, same = 20, [3.0, 4.0]
+    held = [(0, same)] * 5 + [(i, same) for i in range(1, 31)] + [(2, same)] * 30 + [(40 + i, [3.0, 3.0 - i]) for i in range(30)]
+    asked = [0, 1, 2]
+    floats = spark.createDataFrame(held, "id long, vec array<double>")
+    for find, rows in ((topk.top_k, floats.withColumn("vec", F.col("vec").cast("array<long>"))), (ann.search, floats)):
+        got = find(rows, rows.where("id < 3"), k).toPandas()
+        for q in asked:
+            best = sorted((-(3 * v[0] + 4 * v[1]), i) for i, v in held if i != q)[:k]
+            mine = got[got.query_id == q].sort_values("rank")
+            assert list(zip(-mine.score, mine.vec_id)) == best, (find, q)
+
+
 def test_tree_boxes_are_tight():
     rng = np.random.default_rng(4)
     x = rng.integers(-9, 9, (500, 6))
