@@ -16,9 +16,20 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (shingles of five words, similarity 0.8) the smallest id stays; rows without an id stay."""
+    """Of each group of near-duplicates (shingles of five words, similarity 0.8) the smallest id stays.
+
+    Rows that repeat both id and text are one row; an id with several texts keeps each. Rows without an id are
+    compared by their whole text only: one of each text stays, and none where the text also stands under an id.
+    Rows with neither id nor text all stay.
+    """
     gone = near_dup.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    marked = docs.withColumn("_text", F.sha2("text", 256))
+    once = marked.where("doc_id IS NOT NULL OR text IS NOT NULL").dropDuplicates(["doc_id", "_text"])
+    named = once.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    known = marked.where("doc_id IS NOT NULL AND text IS NOT NULL").select("_text").distinct()
+    nameless = once.where("doc_id IS NULL").join(known, "_text", "left_anti")
+    blank = marked.where("doc_id IS NULL AND text IS NULL")
+    return named.unionByName(nameless).unionByName(blank).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
