@@ -259,6 +259,14 @@ def k04(spark, sf):
     return sinks.metric_document(ev.dataset_scores(rows), ev.per_pair_scores(rows, ["video_id"]), ["video_id"])
 
 
+@query("K04_metric_document_crowded")
+def k04_crowded(spark, sf):
+    from tessella.plans.q_eval import _rows
+
+    rows = _rows(spark, sf, "gt", "det").withColumn("video_id", F.expr("image_id div 20"))
+    return sinks.metric_document(ev.dataset_scores(rows), ev.per_pair_scores(rows, ["video_id"]), ["video_id"])
+
+
 _Z = "CASE WHEN element_type = 'section_panel' THEN 0 WHEN element_type = 'rectangle' THEN 1 WHEN element_type IN ('icon', 'picture') THEN 2 WHEN element_type = 'arrow' THEN 3 WHEN element_type = 'text' THEN 4 ELSE 5 END"
 _MERGED = f"""SELECT image_id, concat('<mxfile><diagram><mxGraphModel><root><mxCell id="0"/><mxCell id="1" parent="0"/>', string_agg(concat('<mxCell id="', rn + 1, '" value="', det_id, '"/>'), '' ORDER BY rn), '</root></mxGraphModel></diagram></mxfile>') AS xml
 FROM (SELECT image_id, det_id, row_number() OVER (PARTITION BY image_id ORDER BY {{layer}}, (x2 - x1) * (y2 - y1) DESC, det_id) AS rn FROM det) GROUP BY image_id"""
