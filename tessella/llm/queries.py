@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import ann, byte_bpe, near_dup, packing, quality, secret_scan, suffix_dedup, token_counts, topk, toxicity, vectors
+from tessella.llm import ann, byte_bpe, near_dup, packing, piece_bpe, quality, secret_scan, suffix_dedup, token_counts, topk, toxicity, vectors
 from tessella.llm.oracles import ORACLES  # noqa: F401
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +83,8 @@ def op9_quality_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf, "documents"), BYTES, public_tokenizers.PATTERN)
+
+
+@_query
+def op11_piece_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return piece_bpe.digests(_table(spark, sf, "documents"), PIECES)
