@@ -71,3 +71,22 @@ SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
        sha256(unhex(CASE WHEN w.r IS NULL THEN x ELSE y || x[2 * last + 1:] END)) AS kept_sha256
 FROM t LEFT JOIN w USING (r)
 """
+
+ORACLES["op12_phrase_collocations"] = r"""
+WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda y: y <> '') AS ws FROM t),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT lang, ws, unnest(range(1, 6)) AS k FROM p))),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n.n, (1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a) AS score, q.j
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c) q JOIN c USING (lang, phrase) JOIN n ON n.lang = c.lang
+      JOIN f x ON x.lang = q.lang AND x.phrase = array_to_string(q.ws[1:q.j], ' ') JOIN f y ON y.lang = q.lang AND y.phrase = array_to_string(q.ws[q.j + 1:], ' ')),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS best FROM s),
+z AS (SELECT DISTINCT c.lang, array_to_string(c.ws[i:i + k2 - 1], ' ') AS phrase, c.a AS longer
+      FROM (SELECT *, unnest(range(1, k - k2 + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS k2 FROM c)) c),
+o AS (SELECT m.* FROM m WHERE best = 1 AND NOT EXISTS (SELECT 1 FROM z WHERE z.lang = m.lang AND z.phrase = m.phrase AND 100 * z.longer >= 100 * m.a)),
+e AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM e WHERE rank <= 2000
+"""
