@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import ann, byte_bpe, near_dup, packing, phrases, piece_bpe, quality, secret_scan, suffix_dedup, token_counts, topk, toxicity, vectors
+from tessella.llm import ann, byte_bpe, lexical, near_dup, packing, phrases, piece_bpe, quality, secret_scan, suffix_dedup, token_counts, topk, toxicity, vectors
 from tessella.llm.oracles import ORACLES  # noqa: F401
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -93,3 +93,8 @@ def op11_piece_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op12_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf, "documents"), least=100, keep=2000, percent=100)
+
+
+@_query
+def op13_block_max_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), k=10)
