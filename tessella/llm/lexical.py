@@ -138,7 +138,7 @@ def _shards(batches, limit: int, block: int):
 def _shard(number: int, held: list, block: int, step: int = 1 << 15):
     """The shard's documents in one row, its lists in the rows after it."""
     coded = pa.concat_arrays([t for *_, t in held]).dictionary_encode()
-    renamed, at, base, docs, terms = coded.indices.to_numpy(), 0, 0, [], []
+    renamed, at, base, docs, terms = coded.indices.to_numpy().astype(np.int64), 0, 0, [], []
     for ids, _, doc, code, _, words in held:
         docs.append(doc + base)
         terms.append(renamed[at : at + len(words)][code])
