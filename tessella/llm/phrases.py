@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
 from tessella.llm import hashing, units
+from tessella.llm.suffix_dedup import release
 from tessella.session import scratch
 
 #: Bytes of text of a block.
-BLOCK = 24 << 20
+BLOCK = 12 << 20
 LONGEST = 5
 NO_LANGUAGE = "und"
 
@@ -76,6 +77,7 @@ def collocations(docs: DataFrame, least: int = 100, keep: int = 2000, percent: i
 def _written(df: DataFrame) -> DataFrame:
     folder = scratch(df.sparkSession)
     df.write.parquet(folder)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -87,7 +89,7 @@ def _frequent(stored: DataFrame, ranges: int, least: int) -> DataFrame:
 
 def _extended(stored: DataFrame, frequent: DataFrame) -> DataFrame:
     """Phrases that are told, and the relation of phrases of one word more."""
-    relation = stored.select(F.col("block").alias("of"), "lang", "places", "numbers", "words", "names", "lefts", "rights")
+    relation = stored.select(F.col("block").alias("of"), "lang", "places", "numbers", "words", F.when(F.col("words").isNull(), F.col("names")).alias("names"), "lefts", "rights")
     return relation.groupBy("of").cogroup(frequent.groupBy("block")).applyInArrow(_extend, f"{_RELATION}, {_TOLD}")
 
 
