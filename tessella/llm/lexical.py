@@ -22,7 +22,7 @@ from pyspark.taskcontext import TaskContext
 from tessella.llm import hashing, units
 from tessella.session import scratch
 
-SHARD = 24 << 20  # bytes of text of a shard
+SHARD = 8 << 20  # bytes of text of a shard
 BLOCK = 128  # postings of a block
 STRETCH = 2048  # documents taken at a time
 QUERIES = 64  # queries of a block
