@@ -2,9 +2,9 @@
 
 1. A document's set of word shingles is hashed once; its sketch is the k smallest hashes. Documents with equal sets
    are one class, which goes on as one row.
-2. Inverted lists of retained values: similar classes share well over half of their sketches, so it is enough to
-   list a class under the rarer half of its values; it then meets every similar one in some list.
-   Values that stand in one sketch only are never listed.
+2. Inverted lists of retained values: similar classes share at least ``overlap`` values of their sketches, so it is
+   enough to list a class under all but ``overlap - 1`` of its values, the rarer ones; it then meets every similar one
+   in some list. Values that stand in one sketch only are never listed.
 3. Pairs from short lists are kept if the estimate from the union's sketch (how many of the k smallest of both
    are in both) comes near the threshold. A long list only ties its classes to its first one. The components
    of these ties are groups in which all links must lie.
@@ -14,12 +14,14 @@
    products and give back a spanning set of links, never all pairs.
 5. Components of the links, by star contraction.
 
-A pair at the threshold is missed by 2 or 3 only if about half of its sketches differ, over five standard deviations.
+Whether one text has more words or both have words of their own, each of the k smallest values of both sets is shared with the
+probability of their similarity. A pair at the threshold is missed by 2 or 3 with a probability of ``RISK`` at most, others less.
 """
 
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,11 @@ from tessella.session import cut, scratch
 
 K = 32
 SHORT = 48  # classes of a list whose pairs are formed
+RISK = 1e-8
 CELL = 256  # classes of a side of a cell
+CELL_SHINGLES = 1 << 19  # shingles of a side of a cell, or one class of more
+SALTS = 32  # parts in which a large group meets what is known of it
+CHUNK = 1 << 20  # bytes of text handled at a time
 COLUMNS = 2048  # shingles of one matrix product
 
 
@@ -54,10 +60,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # A class is named by its smallest id. Where one id has several texts, its classes are one document.
     ties = _ties(classes, percent, k)
     groups = _components(ties)
-    sized = groups.join(groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "g")
+    sizes = groups.join(classes.select("rep", "n"), "rep").groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    # Blocks of half a cell on average never outgrow a cell much.
+    blocks = F.ceil(F.greatest(F.col("m") / CELL, F.col("s") / CELL_SHINGLES) * 2).cast("int")
+    large = sizes.where((F.col("m") > CELL) | (F.col("s") > CELL_SHINGLES)).select("g", blocks.alias("blocks"))
+    sized = _told(groups, large, "left").select("rep", "g", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     sets = scratch(spark)
-    held = rows.join(sized, rows["id"] == sized["rep"]).select("g", "m", "rep", "text")
-    held.mapInArrow(lambda b: _sets(b, shingle), f"g {kind}, m long, rep {kind}, items binary").write.parquet(sets)
+    held = rows.join(sized, rows["id"] == sized["rep"]).select("g", "blocks", "rep", "text")
+    held.mapInArrow(lambda b: _sets(b, shingle), f"g {kind}, blocks int, rep {kind}, items binary").write.parquet(sets)
     sets = spark.read.parquet(sets)
     links = cut(_links(sets, percent, kind))
     labels = _components(links)
@@ -74,6 +84,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
 
 
+def overlap(k: int, percent: int, risk: float = RISK) -> int:
+    """The most values of k, each shared with a probability of ``percent``, that are reached but for ``risk``."""
+    p, tail = percent / 100, 0.0
+    for shared in range(k + 1):
+        tail += comb(k, shared) * p**shared * (1 - p) ** (k - shared)
+        if tail > risk:
+            return max(shared, 1)
+    return k
+
+
+def _told(members: DataFrame, large: DataFrame, how: str) -> DataFrame:
+    """Members (rep, g, ...) with what is known of large groups (g, ...), of which no task takes all members."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    return salted.join(large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"], how).drop("salt")
+
+
 def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes (63 bits) of each text in ascending order, and the n + 1 bounds."""
     low = hashing.LOWER[buf]
@@ -104,7 +130,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _sketches(batches, size: int, k: int):
-    for rb, buf, offs in units.chunks(batches, "text"):
+    for rb, buf, offs in units.chunks(batches, "text", CHUNK):
         value, bounds = shingles(buf, offs, size)
         n = np.diff(bounds)
         digests = [hashlib.blake2b(value[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -118,9 +144,10 @@ def _ties(classes: DataFrame, percent: int, k: int) -> DataFrame:
     listed = classes.select("rep", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     common = listed.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = listed.join(common, "value").groupBy("rep", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
-    # The rarer half of the sketch, of which the values of no other sketch come first.
-    half = F.col("s") - F.floor(F.col("s") / 2) - (F.col("s") - F.size("v"))
-    entries = cut(shared.withColumn("take", half.cast("int")).where("take > 0").select("rep", "n", F.explode(F.slice("v", F.lit(1), F.col("take"))).alias("e")).select("rep", "n", F.col("e.value").alias("value")))
+    least = overlap(k, percent)
+    # Of the rarer values, those of no other sketch come first.
+    listed_under = F.size("v") - F.greatest(F.floor(F.col("s") * least / k), F.lit(1)) + 1
+    entries = cut(shared.withColumn("take", listed_under.cast("int")).where("take > 0").select("rep", "n", F.explode(F.slice("v", F.lit(1), F.col("take"))).alias("e")).select("rep", "n", F.col("e.value").alias("value")))
     lists = cut(entries.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min_by("rep", F.struct(F.xxhash64("rep"), "rep")).alias("head")).where("m > 1"))
     short = entries.join(lists.where(F.col("m") <= SHORT).select("value"), "value")
     other = short.select("value", F.col("rep").alias("b"), F.col("n").alias("nb"))
@@ -128,8 +155,8 @@ def _ties(classes: DataFrame, percent: int, k: int) -> DataFrame:
     pairs = short.join(other, "value").where((F.col("rep") < F.col("b")) & near_size).select(F.col("rep").alias("a"), "b").distinct()
     one, two = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), classes.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
     union = F.slice(F.sort_array(F.array_union("x", "y")), 1, k)
-    estimate = F.size(F.array_intersect(union, F.array_intersect("x", "y"))) / F.size(union)
-    kept = pairs.join(one, "a").join(two, "b").where(estimate >= percent / 100 - 0.35).select("a", "b")
+    both = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
+    kept = pairs.join(one, "a").join(two, "b").where(both * k >= F.size(union) * least).select("a", "b")
     long = entries.join(lists.where(F.col("m") > SHORT).select("value", "head"), "value").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     return kept.unionByName(long).distinct()
 
@@ -140,10 +167,10 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(batches, size: int):
-    for rb, buf, offs in units.chunks(batches, "text"):
+    for rb, buf, offs in units.chunks(batches, "text", CHUNK):
         value, bounds = shingles(buf, offs, size)
         items = [value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), rb.column(2), pa.array(items, pa.binary())], ["g", "m", "rep", "items"])
+        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), rb.column(2), pa.array(items, pa.binary())], ["g", "blocks", "rep", "items"])
 
 
 BOTH, LEFT, RIGHT = 0, 1, 2
@@ -152,10 +179,8 @@ BOTH, LEFT, RIGHT = 0, 1, 2
 def _links(sets: DataFrame, percent: int, kind: str) -> DataFrame:
     """(a, b): links that connect what is linked."""
     schema = f"a {kind}, b {kind}"
-    small = sets.where(F.col("m") <= CELL).select("g", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(BOTH).alias("side"), "rep", "items")
-    large = sets.where(F.col("m") > CELL)
-    # Blocks of CELL / 2 on average never outgrow a cell much.
-    large = large.withColumn("blocks", F.ceil(F.col("m") * 2 / CELL).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    small = sets.where("blocks = 1").select("g", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(BOTH).alias("side"), "rep", "items")
+    large = sets.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     itself = large.select("g", F.col("block").alias("row"), F.col("block").alias("col"), F.lit(BOTH).alias("side"), "rep", "items")
     first = large.where("block = 0").select("g", F.lit(0).alias("row"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("col"), F.lit(LEFT).alias("side"), "rep", "items")
     others = large.where("block > 0").select("g", F.lit(0).alias("row"), F.col("block").alias("col"), F.lit(RIGHT).alias("side"), "rep", "items")
@@ -165,7 +190,7 @@ def _links(sets: DataFrame, percent: int, kind: str) -> DataFrame:
     labels = _components(found).withColumnRenamed("g", "c")
     marked = large.join(labels, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     main = marked.groupBy("g", "c").agg(F.count(F.lit(1)).alias("w")).groupBy("g").agg(F.max_by("c", F.struct("w", "c")).alias("main"))
-    rest = marked.join(main, "g").where("c <> main").withColumn("row", F.col("block"))
+    rest = _told(marked, main, "inner").where("c <> main").withColumn("row", F.col("block"))
     lefts = rest.select("g", "row", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("col"), F.lit(LEFT).alias("side"), "rep", "items")
     rows = rest.select("g", "row").distinct()
     rights = large.join(rows, "g").select("g", "row", F.col("block").alias("col"), F.lit(RIGHT).alias("side"), "rep", "items")
@@ -180,7 +205,7 @@ def _cells(batches, percent: int):
     """Links of each cell; the rows of a cell come one after the other."""
     key, held = None, []
     for rb in batches:
-        for g, row, col, side, rep, items in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+        for g, row, col, side, rep, items in zip(*((x.as_py() for x in c) for c in rb.columns), strict=True):
             if key != (g, row, col):
                 if len(held) > 1:
                     yield _cell(held, percent, rb.schema.field("rep").type)

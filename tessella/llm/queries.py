@@ -36,7 +36,7 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, held = _table(spark, sf, "documents"), toxicity.held_out("doc_id", 3, 1)
     model = toxicity.train(docs, _table(spark, sf, "labels").where(~held))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"), "sentences")
 
 
 @_query

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tessella.llm.units import unused
 from tessella.session import scratch
 
 
@@ -65,7 +66,7 @@ def scan_text(text: str, rules=BASE) -> list[tuple[str, int, int]]:
 def scan(paths: DataFrame, ledger: str | None = None, rules=BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, blob, findings) for each row of ``paths``; ``ledger`` is a Parquet folder that grows with each run.
 
-    Without a ledger a fresh one is kept in the shared folder. A null text is the empty blob and has no
+    Without a ledger a fresh one is kept in the shared folder. A pair that two runs at once have both appended counts once. A null text is the empty blob and has no
     findings. Repeated rows and null ids keep their rows; other columns are not read; an empty table gives an
     empty result. Texts are scanned whole, whatever their length.
     """
@@ -78,9 +79,9 @@ def scan(paths: DataFrame, ledger: str | None = None, rules=BASE, id_col: str =
     fresh = held.select("blob", "text").groupBy("blob").agg(F.first("text").alias("text"))
     seen = _opened(spark, ledger, schema)
     if seen is not None:
-        fresh = fresh.join(seen.where(F.col("version") == version).select("blob"), "blob", "left_anti")
+        fresh = fresh.join(seen.where(F.col("version") == version).select("blob").distinct(), "blob", "left_anti")
     fresh.mapInArrow(lambda b: _scan(b, rules, version), schema).write.mode("append").parquet(ledger)
-    found = spark.read.schema(schema).parquet(ledger).where((F.col("version") == version) & (F.size("findings") > 0)).select("blob", "findings")
+    found = spark.read.schema(schema).parquet(ledger).where((F.col("version") == version) & (F.size("findings") > 0)).groupBy("blob").agg(F.first("findings").alias("findings"))
     return held.select("id", "blob").join(found, "blob", "left").select(F.col("id").alias(id_col), F.lower(F.hex("blob")).alias("blob"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
@@ -108,16 +109,17 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; rows are matched by id and content.
 
-    Columns stay as they are, in their order. Overlapping spans are replaced as one.
+    Columns stay as they are, in their order, whatever their names. Overlapping spans are replaced as one.
     """
+    blob_col, found_col = unused("blob", docs.columns), unused("found", docs.columns)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = scanned.where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("_found")).withColumnRenamed("blob", "_blob")
-    joined = docs.withColumn("_blob", F.sha2(text, 256)).join(found, "_blob", "left")
+    found = scanned.where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias(found_col)).withColumnRenamed("blob", blob_col)
+    joined = docs.withColumn(blob_col, F.sha2(text, 256)).join(found, blob_col, "left")
 
     def step(acc, f):
         from_ = F.greatest(acc["at"], f["start"])
         more = F.when(f["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, f["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.concat(acc["out"], more).alias("out"), F.greatest(from_, f["end"]).cast("int").alias("at"))
 
-    clean = F.aggregate("_found", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate(found_col, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return joined.withColumn(text_col, F.when(F.col(found_col).isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)

@@ -51,11 +51,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
 
 def without_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
-    """``docs`` with the rest of each text in its place; columns and rows as before, a null text stays null."""
+    """``docs`` with the rest of each text in its place; columns and rows as before, a null text stays null, and other columns may have any names."""
     key = _key(text_col)
-    done = _by_text(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("key")), length, True).select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    rest = docs.withColumn("_key", key).withColumn("_null", F.col(text_col).isNull()).drop(text_col).join(done, "_key")
-    return rest.withColumn(text_col, F.when(~F.col("_null"), F.col("_kept"))).select(*docs.columns)
+    key_col, kept_col, null_col = (units.unused(c, docs.columns) for c in ("key", "kept", "is_null"))
+    done = _by_text(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("key")), length, True).select(F.col("key").alias(key_col), F.col("kept").alias(kept_col))
+    rest = docs.withColumn(key_col, key).withColumn(null_col, F.col(text_col).isNull()).drop(text_col).join(done, key_col)
+    return rest.withColumn(text_col, F.when(~F.col(null_col), F.col(kept_col))).select(*docs.columns)
 
 
 def _key(text_col: str):
@@ -105,7 +106,7 @@ def release(spark) -> None:
 
 def _pieces(batches, length: int):
     """(keys, rows, bytes, offsets, places of the first bytes in their texts): long texts in pieces that share length - 1 bytes."""
-    for rb, buf, offs in units.chunks(batches, "text"):
+    for rb, buf, offs in units.chunks(batches, "text", PIECE):
         if rb.num_rows > 1 or len(buf) <= 2 * units.CHUNK:
             yield rb.column(0), np.arange(rb.num_rows), buf, offs, np.zeros(rb.num_rows, np.int64)
         else:

@@ -5,8 +5,12 @@ and a document is toxic if any sentence is (noisy-or): P = 1 - prod(1 - p). Only
 gradient of their likelihood shares a document's guilt among its sentences, so the words that
 mark sentences are learned, and the same model then names the offending sentences.
 
-Training reads a bounded sample of the labelled rows (``sample``, chosen by a hash of the id, so it is the same at each run);
-scoring is one pass over all texts.
+Training and scoring see the same bag: the features that training knows, each once in a sentence, and each
+sentence with other features once; sentences without a known feature are one. A score adds up the sentences of
+some probability (``FLOOR``) and takes the mean of the others, so that a long text is not toxic for its length.
+
+Training reads a bounded sample of the labelled rows (``sample`` and ``sample_bytes``, chosen by a hash of the id, so it is the same
+at each run); scoring is one pass over all texts.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ SHRINK = 0.03
 #: Documents of the sample that must hold a feature.
 COMMON = 6
 SAMPLE = 12_000
+#: Bytes of the sample's texts; a text of over a hundredth of them is not learned from.
+SAMPLE_BYTES = 96 << 20
+#: Sentences of a lower probability do not add up: of a text's, the mean counts.
+FLOOR = 0.02
 STEPS = 600
 BATCH = 256
 
@@ -37,6 +45,7 @@ _STOP = units.table(b".!?\n")
 class Model:
     weights: np.ndarray
     bias: float
+    known: np.ndarray  # whether training knows a feature
 
 
 def sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,16 +77,52 @@ def _noisy_or(scores: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return total[firsts[1:]] - total[firsts[:-1]]
 
 
-def _sentence_scores(model: Model, feature: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    # A feature counts once in a sentence, and one without weight not at all.
-    at = np.flatnonzero(model.weights[feature])
-    sentence = np.searchsorted(bounds, at, "right") - 1
-    key = np.unique((sentence << BITS) | feature[at])
-    return np.bincount(key >> BITS, model.weights[key & ((1 << BITS) - 1)], len(bounds) - 1) + model.bias
+@dataclass(frozen=True)
+class Bags:
+    """Features, their n + 1 bounds by sentence, sentences before each text, byte offsets, and the sentences of the bags."""
+
+    feature: np.ndarray
+    bounds: np.ndarray
+    firsts: np.ndarray
+    places: np.ndarray
+    kept: np.ndarray
+
+    def kept_firsts(self) -> np.ndarray:
+        return np.searchsorted(self.kept, self.firsts)
+
+
+def bags(buf: np.ndarray, offs: np.ndarray, known: np.ndarray) -> Bags:
+    feature, bounds, firsts, places = sentences(buf, offs)
+    n = len(bounds) - 1
+    at = np.flatnonzero(known[feature])
+    key = np.unique(((np.searchsorted(bounds, at, "right") - 1) << BITS) | feature[at])
+    feature, bounds = key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(n + 1))
+    total = np.append(np.zeros(1, np.uint64), np.cumsum(hashing.mix(feature.astype(np.uint64), 9), dtype=np.uint64))
+    name = total[bounds[1:]] - total[bounds[:-1]]
+    text = np.repeat(np.arange(len(offs) - 1), np.diff(firsts))
+    order = np.lexsort((name, text))
+    new = np.append(True, (name[order[1:]] != name[order[:-1]]) | (text[order[1:]] != text[order[:-1]]))[:n]
+    return Bags(feature, bounds, firsts, places, np.sort(order[new]))
+
+
+def _sentence_scores(model: Model, bag: Bags) -> np.ndarray:
+    sums = np.append(0.0, np.cumsum(model.weights[bag.feature], dtype=np.float64))
+    return sums[bag.bounds[1:]] - sums[bag.bounds[:-1]] + model.bias
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, steps: int = STEPS) -> Model:
-    """Fit on at most ``sample`` labelled documents; without labels the model scores everything near 0.
+def _scores(model: Model, bag: Bags) -> tuple[np.ndarray, np.ndarray]:
+    """Of all sentences before the sigmoid, and the probability of each text."""
+    z = _sentence_scores(model, bag)
+    own, firsts = z[bag.kept], bag.kept_firsts()
+    low = own < np.log(FLOOR / (1 - FLOOR))
+    some = np.append(0.0, np.cumsum(np.where(low, np.logaddexp(0, own), 0.0)))
+    before = np.append(0, np.cumsum(low))
+    mean = (some[firsts[1:]] - some[firsts[:-1]]) / np.maximum(before[firsts[1:]] - before[firsts[:-1]], 1)
+    return z, -np.expm1(-_noisy_or(np.where(low, -np.inf, own), firsts) - mean)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, steps: int = STEPS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most ``sample`` labelled documents of ``sample_bytes`` together; without labels the model scores everything near 0.
 
     A null label or id is not used; of several labels of one id the highest counts.
     """
@@ -86,7 +131,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id").limit(sample)
     )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "_y")
+    size = F.octet_length("text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").where(size <= sample_bytes // 100)
+    lengths = rows.select(F.xxhash64("_id").alias("h"), size.alias("n")).groupBy("h").agg(F.sum("n").alias("n")).toPandas().sort_values("h")
+    taken = lengths.h[lengths.n.cumsum() <= sample_bytes]
+    rows = rows.where(F.xxhash64("_id") <= int(taken.max()) if len(taken) else F.lit(False)).select("text", "_y")
 
     def held(batches):
         for _, buf, offs in units.chunks(batches, "text"):
@@ -97,33 +146,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # A feature of very few documents tells little about others, and is not sent to the driver.
     often = rows.mapInArrow(held, "feature long").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toPandas()
-    common = np.zeros(1 << BITS, bool)
-    common[often.feature.to_numpy(np.int64)] = True
+    known = np.zeros(1 << BITS, bool)
+    known[often.feature.to_numpy(np.int64)] = True
 
-    def bags(batches):
+    def bagged(batches):
         for rb, buf, offs in units.chunks(batches, "text"):
-            feature, bounds, firsts, _ = sentences(buf, offs)
-            keep = common[feature]
-            feature, bounds = feature[keep], np.append(0, np.cumsum(keep))[bounds]
-            out = []
-            for a, b in zip(firsts[:-1], firsts[1:], strict=True):
-                # A word counts once in a sentence, a sentence once in a bag.
-                own = {np.unique(feature[bounds[k] : bounds[k + 1]]).tobytes() for k in range(a, b)}
-                out.append([np.frombuffer(x, np.int64).astype(np.int32) for x in sorted(own)])
-            lists = [x for bag in out for x in bag]
-            flat = pa.array(np.concatenate(lists) if lists else [], pa.int32())
-            words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in lists])), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in out])), pa.int32()), words), rb.column(1)], ["bag", "y"])
-
-    got = rows.mapInArrow(bags, "bag array<array<int>>, y int").toArrow().combine_chunks()
-    return _fit(got, steps)
-
-
-def _fit(got: pa.Table, steps: int) -> Model:
+            bag = bags(buf, offs, known)
+            n = bag.bounds[bag.kept + 1] - bag.bounds[bag.kept]
+            flat = pa.array(bag.feature[units.spread(bag.bounds[bag.kept], n)], pa.int32())
+            words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bag.kept_firsts(), pa.int32()), words), rb.column(1)], ["bag", "y"])
+
+    got = rows.mapInArrow(bagged, "bag array<array<int>>, y int").toArrow().combine_chunks()
+    return _fit(got, steps, known)
+
+
+def _fit(got: pa.Table, steps: int, known: np.ndarray) -> Model:
     """Adam over mini-batches of documents, with shrinkage, from weights of zero and a rare-sentence bias."""
     w, bias = np.zeros(1 << BITS), -6.0
     if not got.num_rows:
-        return Model(w.astype(np.float32), bias)
+        return Model(w.astype(np.float32), bias, known)
     bags = got.column("bag").combine_chunks()
     y = got.column("y").to_numpy()
     sent = bags.flatten()
@@ -157,7 +199,7 @@ def _fit(got: pa.Table, steps: int) -> Model:
             gb = g.sum()
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             bias -= 0.05 * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-3)
-    return Model(w.astype(np.float32), float(bias))
+    return Model(w.astype(np.float32), float(bias), known)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", offending: float = 0.5) -> DataFrame:
@@ -172,16 +214,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for rb, buf, offs in units.chunks(batches, "text"):
-            feature, bounds, firsts, places = sentences(buf, offs)
-            z = _sentence_scores(held.value, feature, bounds)
-            p = -np.expm1(-_noisy_or(z, firsts))
+            bag = bags(buf, offs, held.value.known)
+            z, p = _scores(held.value, bag)
             ps = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             hit = np.flatnonzero(ps >= offending)
             found: list[list] = [[] for _ in range(rb.num_rows)]
             if len(hit):
                 chars = np.append(0, np.cumsum((buf & 0xC0) != 0x80))
-                text = np.searchsorted(firsts, hit, "right") - 1
-                for t, (a, b), x in zip(text, chars[places[hit]] - chars[offs[text]][:, None], ps[hit], strict=True):
+                text = np.searchsorted(bag.firsts, hit, "right") - 1
+                for t, (a, b), x in zip(text, chars[bag.places[hit]] - chars[offs[text]][:, None], ps[hit], strict=True):
                     found[t].append({"start": int(a), "end": int(b), "score": float(x)})
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(np.clip(p, 0, 1)), pa.array(found, span)], [id_col, "score", "sentences"])
 
@@ -196,8 +237,7 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = 0.7, text_col: str
 
     def run(batches):
         for rb, buf, offs in units.chunks(batches, text_col):
-            feature, bounds, firsts, _ = sentences(buf, offs)
-            p = -np.expm1(-_noisy_or(_sentence_scores(held.value, feature, bounds), firsts))
+            _, p = _scores(held.value, bags(buf, offs, held.value.known))
             yield rb.filter(pa.array(p < reject))
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,6 +11,14 @@ import pyarrow as pa
 CHUNK = 2 << 20
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or as many underscores before it as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and their n + 1 offsets; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
