@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.llm import near_dup, packing, secret_scan, suffix_dedup, toxicity
 from tessella.llm.queries import WORDS
+from tessella.llm.units import unused
 from tessella.session import scratch
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of score 0.7 or more go; the model learns from the labels of two thirds of the ids, as in the query."""
+    """Documents of score 0.7 or more go; the model learns from the labels of two thirds of the ids, as in the query.
+
+    Null and empty texts are clean. Rows without an id and repeated rows are scored like others; columns stay as they are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out("doc_id", 3, 1))
     return toxicity.keep_clean(docs, toxicity.train(docs, labels), 0.7)
 
@@ -23,26 +27,31 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with neither id nor text all stay.
     """
     gone = near_dup.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    marked = docs.withColumn("_text", F.sha2("text", 256))
-    once = marked.where("doc_id IS NOT NULL OR text IS NOT NULL").dropDuplicates(["doc_id", "_text"])
+    digest = unused("digest", docs.columns)
+    marked = docs.withColumn(digest, F.sha2("text", 256))
+    once = marked.where("doc_id IS NOT NULL OR text IS NOT NULL").dropDuplicates(["doc_id", digest])
     named = once.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    known = marked.where("doc_id IS NOT NULL AND text IS NOT NULL").select("_text").distinct()
-    nameless = once.where("doc_id IS NULL").join(known, "_text", "left_anti")
+    known = marked.where("doc_id IS NOT NULL AND text IS NOT NULL").select(digest).distinct()
+    nameless = once.where("doc_id IS NULL").join(known, digest, "left_anti")
     blank = marked.where("doc_id IS NULL AND text IS NULL")
     return named.unionByName(nameless).unionByName(blank).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that stand more than once are cut out of the texts; no document is dropped."""
+    """Strings of 200 bytes that stand more than once are cut out of the texts; no document is dropped.
+
+    A null text stays null, repeated rows are each other's repeats, ids are not read.
+    """
     return _counted(suffix_dedup.without_repeats(docs, 200))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; no document is dropped."""
+    """Secrets are replaced by a mark; no document is dropped. A null text stays null, ids are not read."""
     return _counted(secret_scan.redact(docs, secret_scan.scan(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 4096 tokens; a null text is empty, repeated rows and rows without an id are packed each."""
     return packing.pack_documents(docs, WORDS, capacity=4096, end_id=1)
 
 
@@ -51,7 +60,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 STAGES = [("toxicity", toxic), ("MinHash near-dedup", near_copies), ("suffix-array dedup", repeats), ("secret scans", secrets), ("best-fit packing", pack)]
-#: Learned scores and packings have no SQL; the stages are tested against brute force.
+#: Learned scores and packings have no SQL; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
