@@ -12,31 +12,35 @@ EPS = 2.220446049250313e-16
 
 
 def teta(gt: DataFrame, trk: DataFrame, pairs: DataFrame, seq: str, overlap_threshold: int = 50, steps=ALPHA_STEPS) -> DataFrame:
-    """TETA terms per sequence, ground-truth class and alpha (hundredths).
+    """TETA terms per sequence, class and alpha (hundredths); alpha 0, at which anything matches, is left out.
 
     ``gt``: seq, t, gt_id, category_id; ``trk`` likewise with trk_id; ``pairs``: seq, t, gt_id,
-    trk_id, sim. Matching ignores the tracker's class. A tracker row counts as a false positive of
-    a class only when it overlaps one of its objects by ``overlap_threshold`` and stays unmatched; a match with
-    the wrong class is a class miss of the object's class and a class false positive of the tracker's.
+    trk_id, sim, of all rows that overlap.
+
+    First pass, blind to classes: tracks that overlap any object by ``overlap_threshold`` in any frame are assigned in each
+    frame, and matches of at least one half are taken. Second pass, for each class: a tracker row is near if it overlaps an object
+    of the class by the threshold and is not taken by an object of another class. Tracks that are near in some frame are
+    assigned to the class's objects in all frames, whatever their own class. A near row that stays unmatched is a
+    false positive of the class; a match with the wrong class is a class miss of the object's class and a
+    class false positive of the tracker's. Classes are those of ``gt``; a sequence has a row for each of its classes
+    and for others that its tracker rows name wrongly.
     """
     frame = [seq, "t"]
-    # Read by every term below, so it is written once instead of being derived each time.
-    classed = cut(
-        pairs.join(gt.select(*frame, "gt_id", F.col("category_id").alias("cls")), [*frame, "gt_id"]).join(
-            trk.select(*frame, "trk_id", F.col("category_id").alias("trk_cls")), [*frame, "trk_id"]
-        )
-    )
+    over = F.col("sim") >= overlap_threshold / 100.0
+    blind = pairs.join(pairs.where(over).select(seq, "trk_id").distinct(), [seq, "trk_id"], "left_semi")
+    objects = gt.select(*frame, "gt_id", F.col("category_id").alias("cls"))
+    first = assign(_aligned(blind, gt, trk, seq, []), frame, "gt_id", "trk_id", "_score")
+    taken = first.join(pairs, [*frame, "gt_id", "trk_id"]).where(F.col("sim") >= 0.5 - EPS).join(objects, [*frame, "gt_id"]).select(*frame, "trk_id", F.col("cls").alias("_taken"))
+
+    everything = pairs.join(objects, [*frame, "gt_id"]).join(trk.select(*frame, "trk_id", F.col("category_id").alias("trk_cls")), [*frame, "trk_id"])
+    near = everything.where(over).select(*frame, "cls", "trk_id").distinct().join(taken, [*frame, "trk_id"], "left")
+    near = cut(near.where(F.col("_taken").isNull() | (F.col("_taken") == F.col("cls"))).drop("_taken"))
     unit = [seq, "cls"]
-    gs = classed.groupBy(*frame, "cls", "gt_id").agg(F.sum("sim").alias("_gs"))
-    ts = classed.groupBy(*frame, "cls", "trk_id").agg(F.sum("sim").alias("_ts"))
-    den = F.col("_gs") + F.col("_ts") - F.col("sim")
-    mass = classed.join(gs, [*frame, "cls", "gt_id"]).join(ts, [*frame, "cls", "trk_id"]).groupBy(*unit, "gt_id", "trk_id").agg(
-        F.sum(F.when(den > EPS, F.col("sim") / den).otherwise(0.0)).alias("_mass")
-    )
-    gc = gt.groupBy(seq, F.col("category_id").alias("cls"), "gt_id").agg(F.count(F.lit(1)).alias("_gc"))
+    # Read by every term below, so it is written once instead of being derived each time.
+    classed = cut(everything.join(near.select(*unit, "trk_id").distinct(), [*unit, "trk_id"], "left_semi"))
+    scored = _aligned(classed, objects, trk, seq, ["cls"])
+    gc = objects.groupBy(*unit, "gt_id").agg(F.count(F.lit(1)).alias("_gc"))
     tc = trk.groupBy(seq, "trk_id").agg(F.count(F.lit(1)).alias("_tc"))
-    align = mass.join(gc, [*unit, "gt_id"]).join(tc, [seq, "trk_id"]).withColumn("_al", F.col("_mass") / (F.col("_gc") + F.col("_tc") - F.col("_mass")))
-    scored = classed.join(align, [*unit, "gt_id", "trk_id"]).withColumn("_score", F.col("_al") * F.col("sim"))
     matched = cut(assign(scored, [*frame, "cls"], "gt_id", "trk_id", "_score").join(classed, [*frame, "cls", "gt_id", "trk_id"]))
     at = matched.withColumn("alpha", F.explode(F.filter(thresholds(steps), lambda s: F.col("sim") >= s / 100.0 - EPS)))
     right = (F.col("trk_cls") == F.col("cls")).cast("int")
@@ -44,8 +48,7 @@ def teta(gt: DataFrame, trk: DataFrame, pairs: DataFrame, seq: str, overlap_thre
         F.count(F.lit(1)).alias("loc_tp"), F.sum(F.when(F.col("alpha") >= 50, right)).alias("cls_tp"), F.sum(F.when(F.col("alpha") >= 50, 1 - right)).alias("cls_fn")
     )
     wrong = at.where((F.col("alpha") >= 50) & (F.col("trk_cls") != F.col("cls"))).groupBy(seq, F.col("trk_cls").alias("cls"), "alpha").agg(F.count(F.lit(1)).alias("cls_fp"))
-    near = classed.where(F.col("sim") >= overlap_threshold / 100.0).select(*frame, "cls", "trk_id").distinct().withColumn("alpha", F.explode(thresholds(steps)))
-    fp = near.join(at.select(*frame, "cls", "trk_id", "alpha"), [*frame, "cls", "trk_id", "alpha"], "left_anti").groupBy(*unit, "alpha").agg(F.count(F.lit(1)).alias("loc_fp"))
+    fp = near.withColumn("alpha", F.explode(thresholds(steps))).join(at.select(*frame, "cls", "trk_id", "alpha"), [*frame, "cls", "trk_id", "alpha"], "left_anti").groupBy(*unit, "alpha").agg(F.count(F.lit(1)).alias("loc_fp"))
     m = F.col("m")
     one = F.lit(1.0)
     assoc = at.groupBy(*unit, "alpha", "gt_id", "trk_id").agg(F.count(F.lit(1)).alias("m")).join(gc, [*unit, "gt_id"]).join(tc, [seq, "trk_id"])
@@ -53,8 +56,9 @@ def teta(gt: DataFrame, trk: DataFrame, pairs: DataFrame, seq: str, overlap_thre
         F.sum(m * m / F.greatest(one, F.col("_gc") + F.col("_tc") - m)).alias("_a"), F.sum(m * m / F.greatest(one, F.col("_gc"))).alias("_re"),
         F.sum(m * m / F.greatest(one, F.col("_tc"))).alias("_pr"),
     )
-    grid = gc.groupBy(*unit).agg(F.sum("_gc").alias("n_gt")).withColumn("alpha", F.explode(thresholds(steps)))
-    rows = grid
+    known = objects.select("cls").distinct()
+    named = wrong.join(known, "cls", "left_semi").select(*unit, F.lit(0).cast("long").alias("_gc"))
+    rows = gc.select(*unit, "_gc").unionByName(named).groupBy(*unit).agg(F.sum("_gc").alias("n_gt")).withColumn("alpha", F.explode(thresholds(steps)))
     for part in (n, wrong, fp, assoc):
         rows = rows.join(part, [*unit, "alpha"], "left")
     rows = rows.fillna(0, ["loc_tp", "cls_tp", "cls_fn", "cls_fp", "loc_fp"]).fillna(0.0, ["_a", "_re", "_pr"])
@@ -69,3 +73,18 @@ def teta(gt: DataFrame, trk: DataFrame, pairs: DataFrame, seq: str, overlap_thre
     )
     cls = rows.groupBy(*unit).agg(F.avg("_c").alias("cls_a"))
     return rows.join(cls, unit).withColumn("teta", (F.col("loc_a") + F.col("assoc_a") + F.col("cls_a")) / 3).drop("_c")
+
+
+def _aligned(pairs: DataFrame, gt: DataFrame, trk: DataFrame, seq: str, cls: list[str]) -> DataFrame:
+    """(seq, t, cls, gt_id, trk_id, _score): overlap weighted by how well both tracks agree over the whole sequence."""
+    frame = [seq, "t", *cls]
+    gs = pairs.groupBy(*frame, "gt_id").agg(F.sum("sim").alias("_gs"))
+    ts = pairs.groupBy(*frame, "trk_id").agg(F.sum("sim").alias("_ts"))
+    den = F.col("_gs") + F.col("_ts") - F.col("sim")
+    mass = pairs.join(gs, [*frame, "gt_id"]).join(ts, [*frame, "trk_id"]).groupBy(seq, *cls, "gt_id", "trk_id").agg(
+        F.sum(F.when(den > EPS, F.col("sim") / den).otherwise(0.0)).alias("_mass")
+    )
+    gc = gt.groupBy(seq, *cls, "gt_id").agg(F.count(F.lit(1)).alias("_gc"))
+    tc = trk.groupBy(seq, "trk_id").agg(F.count(F.lit(1)).alias("_tc"))
+    align = mass.join(gc, [seq, *cls, "gt_id"]).join(tc, [seq, "trk_id"]).withColumn("_al", F.col("_mass") / (F.col("_gc") + F.col("_tc") - F.col("_mass")))
+    return pairs.join(align, [seq, *cls, "gt_id", "trk_id"]).withColumn("_score", F.col("_al") * F.col("sim"))
