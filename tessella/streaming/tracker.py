@@ -1,15 +1,13 @@
-"""Track state per video: association, life-cycle, delayed emission; batch and stream share the step."""
+"""Track state per video: association, life-cycle, delayed emission; the stream in ``videos`` shares the step."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessella.operators.assign import best_columns
 from tessella.operators.numbering import running_max
@@ -183,37 +181,6 @@ def track(dets: DataFrame, cfg: Settings = Settings(), frames: DataFrame | None
     return rows.repartition("video_id").sortWithinPartitions("video_id", "frame", "det_id").mapInPandas(run, OUTPUT)
 
 
-def track_stream(dets: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Streaming twin. A frame is worked off once one more than ``reorder`` frames later has come, or at a row
-    with ``is_last``. What comes later than that is not stepped: it gives a row of event ``late`` without an object."""
-
-    def run(key, batches, state: GroupState):
-        s = json.loads(state.get[0]) if state.exists else {**fresh(), "done": None, "waiting": {}}
-        video, out = int(key[0]), []
-        rows = pd.concat(list(batches)).sort_values(["frame", "det_id"])
-        for r in rows.itertuples(index=False):
-            if s["done"] is not None and r.frame <= s["done"]:
-                out.append((video, int(r.frame), None, int(r.det_id), "late", None, None, None, r.x1, r.y1, r.x2, r.y2))
-            else:
-                s["waiting"].setdefault(str(int(r.frame)), []).append([int(r.det_id), float(r.score), float(r.x1), float(r.y1), float(r.x2), float(r.y2)])
-        last = bool(rows["is_last"].any())
-        known = sorted(map(int, s["waiting"]))
-        for f in known:
-            if last or f < known[-1] - cfg.reorder:
-                if s["done"] is not None:
-                    out.extend(skip(s, video, s["done"], f, cfg))
-                out.extend(step(s, video, f, [tuple(x) for x in sorted(s["waiting"].pop(str(f)))], cfg))
-                s["done"] = f
-        if last:
-            out.extend(flush(s))
-            state.remove()
-        else:
-            state.update((json.dumps(s),))
-        yield _frame(out)
-
-    return dets.groupBy("video_id").applyInPandasWithState(run, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
 # --- T04 / T05 ------------------------------------------------------------------
 def confirmations(matched: DataFrame, keys: list[str], n: int) -> DataFrame:
     """First frame at which an object was matched on ``n`` frames in a row (it stays confirmed).

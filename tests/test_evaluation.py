@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessella.operators import assign as asg, evalmetrics as ev
 from tessella.operators.teta import teta
 from tessella.session import scratch
-from tessella.streaming import metrics, tracker
+from tessella.streaming import metrics, tracker, videos
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,7 +88,7 @@ def test_stream_equals_batch(spark, frames):
     for part in range(3):  # three files, frames in order
         d.where(F.floor(F.col("frame") / 7) == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    q = tracker.track_stream(stream, cfg).writeStream.format("parquet").option("checkpointLocation", f"{root}/ck").option("path", f"{root}/out").outputMode("append").trigger(availableNow=True).start()
+    q = videos.track_stream(stream, cfg).writeStream.format("parquet").option("checkpointLocation", f"{root}/ck").option("path", f"{root}/out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     cols = tracker.COLUMNS
     got = sorted(map(tuple, spark.read.schema(tracker.OUTPUT).parquet(f"{root}/out").select(*cols).collect()), key=str)
@@ -133,7 +133,7 @@ def test_late_frames_of_a_stream(spark, tmp_path):
         spark.createDataFrame(full, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     cfg = tracker.Settings(reorder=1)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = tracker.track_stream(stream, cfg).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").option("path", f"{tmp_path}/out").outputMode("append").trigger(availableNow=True).start()
+    q = videos.track_stream(stream, cfg).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").option("path", f"{tmp_path}/out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = spark.read.schema(tracker.OUTPUT).parquet(f"{tmp_path}/out")
     late = [(r.frame, r.det_id) for r in got.where("event = 'late'").collect()]
