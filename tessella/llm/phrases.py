@@ -32,8 +32,9 @@ NO_LANGUAGE = "und"
 
 _ENDS = units.table(b".,;:!?\n\x0b\x0c\r")
 _OUTSIDE = _ENDS | units.table(b" \t")
-#: A block's relation is one row; phrases that are told by it are rows of their own.
-_RELATION = "block long, lang string, places binary, numbers binary, words binary, names binary, counts binary, lefts binary, rights binary"
+#: A block's relation is one row: places and numbers of its frequent phrases (or of all words), those phrases, and names and counts
+#: of what they make at adjacent places. Phrases that are told by a block are rows of their own.
+_RELATION = "block long, lang string, places binary, numbers binary, words binary, phrases binary, names binary, counts binary"
 _TOLD = "name long, left long, right long, f long, word string"
 
 
@@ -89,7 +90,7 @@ def _frequent(stored: DataFrame, ranges: int, least: int) -> DataFrame:
 
 def _extended(stored: DataFrame, frequent: DataFrame) -> DataFrame:
     """Phrases that are told, and the relation of phrases of one word more."""
-    relation = stored.select(F.col("block").alias("of"), "lang", "places", "numbers", "words", F.when(F.col("words").isNull(), F.col("names")).alias("names"), "lefts", "rights")
+    relation = stored.select(F.col("block").alias("of"), "lang", "places", "numbers", "words", "phrases")
     return relation.groupBy("of").cogroup(frequent.groupBy("block")).applyInArrow(_extend, f"{_RELATION}, {_TOLD}")
 
 
@@ -203,11 +204,11 @@ def _block(block: int, lang: str, parts: list) -> pa.RecordBatch:
     left = np.flatnonzero(~fresh[1:])
     pairs, n = _merged(_pair_names(name[numbers[left]], name[numbers[left + 1]]))
     names, counts = _merged(np.append(name, pairs), np.append(np.bincount(numbers, minlength=len(words)), n))
-    row = {"block": block, "lang": lang, "places": _steps(np.arange(len(fresh)) + np.cumsum(fresh)), "numbers": _packed(numbers), "words": zstandard.ZstdCompressor(level=3).compress(b"\n".join(words)), "names": _steps(names), "counts": _packed(counts), "lefts": None, "rights": None, "n": len(numbers)}
+    row = {"block": block, "lang": lang, "places": _steps(np.arange(len(fresh)) + np.cumsum(fresh)), "numbers": _packed(numbers), "words": zstandard.ZstdCompressor(level=3).compress(b"\n".join(words)), "phrases": None, "names": _steps(names), "counts": _packed(counts), "n": len(numbers)}
     return pa.RecordBatch.from_pylist([row], _BLOCKS)
 
 
-_BINARY = ("places", "numbers", "words", "names", "counts", "lefts", "rights")
+_BINARY = ("places", "numbers", "words", "phrases", "names", "counts")
 _PLAIN = [("block", pa.int64()), ("lang", pa.string()), *((c, pa.binary()) for c in _BINARY)]
 _BLOCKS = pa.schema([*_PLAIN, ("n", pa.int64())])
 _STEP = pa.schema([*_PLAIN, ("name", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("f", pa.int64()), ("word", pa.string())])
@@ -276,22 +277,25 @@ def _extend(relation: pa.Table, frequent: pa.Table) -> pa.Table:
         blank = [pa.nulls(len(mine), pa.binary())] * len(_BINARY)
         told.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), row["of"])), pa.array([row["lang"]] * len(mine), pa.string()), *blank, as_long(name), as_long(left), as_long(right), pa.array(f[at[mine]]), word], schema=_STEP))
 
-    if row["words"] is not None:  # single words: pairs are made first
+    if row["words"] is not None:
         words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n")
-        name = _word_names(words, row["lang"])
-        tell(name, None, None, words)
-        start = np.flatnonzero(places[1:] == places[:-1] + 1)
-        left, right = name[numbers[start]], name[numbers[start + 1]]
-        name, first, numbers = np.unique(_pair_names(left, right), return_index=True, return_inverse=True)
-        left, right, places = left[first], right[first], places[start]
+        phrase = _word_names(words, row["lang"])
+        tell(phrase, None, None, words)
     else:
-        name, left, right = _walked(row["names"]), _unpacked(row["lefts"]), _unpacked(row["rights"])
+        phrase = _walked(row["phrases"])
+    name, left, right, at, places = _joined(places, phrase[numbers])
     tell(name, left, right, None)
-    at, is_known = known(name)
-    stays = is_known[numbers]  # semi-join
-    places, phrase = places[stays], name[numbers[stays]]
-    start = np.flatnonzero(places[1:] == places[:-1] + 1)  # merge-join
+    stays = known(name)[1][at]  # semi-join
+    places, phrase = places[stays], name[at[stays]]
+    longer = _joined(places, phrase)
+    phrase, numbers = np.unique(phrase, return_inverse=True)
+    row = {"block": row["of"], "lang": row["lang"], "places": _steps(places), "numbers": _packed(numbers), "phrases": _steps(phrase), "names": _steps(longer[0]), "counts": _packed(np.bincount(longer[3], minlength=len(longer[0])))}
+    return pa.Table.from_batches([pa.RecordBatch.from_pylist([row], _STEP), *told], _STEP)
+
+
+def _joined(places: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Merge-join of a sorted relation with itself at adjacent places: distinct names, both parts of each, and number and place of each occurrence."""
+    start = np.flatnonzero(places[1:] == places[:-1] + 1)
     left, right = phrase[start], phrase[start + 1]
-    name, first, numbers, counts = np.unique(_pair_names(left, right), return_index=True, return_inverse=True, return_counts=True)
-    longer = {"block": row["of"], "lang": row["lang"], "places": _steps(places[start]), "numbers": _packed(numbers), "names": _steps(name), "counts": _packed(counts), "lefts": _packed(left[first]), "rights": _packed(right[first])}
-    return pa.Table.from_batches([pa.RecordBatch.from_pylist([longer], _STEP), *told], _STEP)
+    name, first, number = np.unique(_pair_names(left, right), return_index=True, return_inverse=True)
+    return name, left[first], right[first], number, places[start]
