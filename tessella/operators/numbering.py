@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.taskcontext import TaskContext
+
+from tessella.session import cut
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -21,9 +26,12 @@ def ordinal(
     ``coarse`` must be non-decreasing along the wanted order. Rows are counted per coarse
     value first (a small table), its running sum gives each coarse bucket its offset, and
     rows are only numbered inside a bucket, so a group with a third of all rows is still
-    spread over its buckets.
+    spread over its buckets. Without ``keys`` the rows are dealt by ranges of the order and written; each range
+    goes on from the count of those before it, of which the driver only sees one number per range.
     """
     keys = list(keys)
+    if not keys:
+        return _by_range(df, [*coarse, *order], name, start)
     cs = [f"_c{i}" for i in range(len(coarse))]
     tagged = df.select("*", *[c.alias(n) for c, n in zip(coarse, cs)])
     counts = tagged.groupBy(*keys, *cs).agg(F.count(F.lit(1)).alias("_k"))
@@ -44,6 +52,24 @@ def ordinal(
     )
 
 
+def _by_range(df: DataFrame, order: Sequence[Column], name: str, start: int) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    counts = {r.p: r.n for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, total = {}, start
+    for p in sorted(counts):
+        first[p] = total
+        total += counts[p]
+
+    def number(batches):
+        at = first.get(TaskContext.get().partitionId(), start)
+        for rb in batches:
+            yield rb.append_column(name, pa.array(np.arange(at, at + rb.num_rows)))
+            at += rb.num_rows
+
+    return dealt.mapInArrow(number, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], coarse: Sequence[Column], order: Sequence[Column], sums: dict[str, Column]
 ) -> DataFrame:

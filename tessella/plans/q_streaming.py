@@ -9,7 +9,7 @@ from tessella.plans import q_eval  # noqa: F401  (brings the video_frames relati
 from tessella.plans.registry import query
 from tessella.plans.relations import det, rel, with_recursive, with_views
 from tessella.session import scratch
-from tessella.streaming import metrics, tracker
+from tessella.streaming import metrics, tracker, videos
 
 
 @query(
@@ -50,6 +50,34 @@ def t06(spark, sf):
     return tracker.track(_frames(spark, sf), tracker.Settings(iou=0.4, emit_delay=4)).select("video_id", "frame", "obj_id", "x1", "y1", "x2", "y2")
 
 
+def stream_of(spark, frames, folder: str, parts: int = 3):
+    """A stream of frames in ``parts`` steps of time. Videos of even id end without a last row; a row an hour later only tells the time."""
+    files = spark.sparkContext.defaultParallelism
+    end = frames.groupBy("video_id").agg(F.max("frame").alias("end"))
+    rows = frames.join(end, "video_id").withColumn("is_last", (F.col("frame") == F.col("end")) & (F.col("video_id") % 2 == 1)).withColumn("at", F.timestamp_seconds(F.col("frame") + 1_000_000_000)).drop("end")
+    # Each step holds the frames of a stretch of every video, so none comes late.
+    last = frames.agg(F.max("frame")).first()[0] or 0
+    rows = rows.withColumn("part", F.floor(F.col("frame") / F.lit(last // parts + 1)))
+    for part in range(parts):
+        rows.where(F.col("part") == part).drop("part").repartition(files).write.mode("append").parquet(folder)
+    clock = rows.drop("part").agg((F.max("at") + F.expr("INTERVAL 1 HOUR")).alias("at")).select(
+        *[(F.lit(-1) if c == "video_id" else F.col("at") if c == "at" else F.lit(None)).cast(t).alias(c) for c, t in rows.drop("part").dtypes]
+    )
+    clock.repartition(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+@query("T02_streamed_tracking")
+def t02_streamed(spark, sf):
+    """The tracker over a stream of all videos, half of which a timer ends; what it has written is read back."""
+    root = scratch(spark)
+    stream = stream_of(spark, _frames(spark, sf), f"{root}/in")
+    tracked = videos.track_stream(stream, tracker.Settings(iou=0.4, emit_delay=4), "at")
+    job = tracked.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(tracker.OUTPUT).parquet(f"{root}/out").select("video_id", "frame", "obj_id", "det_id", "event", "keep_alive")
+
+
 @query(
     "T04_confirmation",
     with_views("det", "video_frames")

@@ -141,3 +141,19 @@ def test_late_frames_of_a_stream(spark, tmp_path):
     whole = spark.createDataFrame([(0, f, d, 0.9, 0.0, 0.0, 10.0, 10.0) for part in rows for _, f, d in part if d != 9], schema.replace(", is_last boolean", ""))
     cols = ["frame", "obj_id", "det_id", "event"]
     assert sorted(map(tuple, got.where("event <> 'late'").select(*cols).collect()), key=str) == sorted(map(tuple, tracker.track(whole, cfg).select(*cols).collect()), key=str)
+
+
+def test_a_silent_video_ends_by_timer(spark, frames, tmp_path):
+    from tessella.plans.q_streaming import stream_of
+
+    cfg = tracker.Settings(iou=0.4, emit_delay=3, reorder=1)
+    d = frames.where("video_id < 5").withColumnRenamed("track_id", "det_id").withColumn("score", F.col("score") / 100000)
+    stream = stream_of(spark, d, f"{tmp_path}/in")
+    q = videos.track_stream(stream, cfg, "at").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").option("path", f"{tmp_path}/out").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    cols = tracker.COLUMNS
+    got = sorted(map(tuple, spark.read.schema(tracker.OUTPUT).parquet(f"{tmp_path}/out").select(*cols).collect()), key=str)
+    want = sorted(map(tuple, tracker.track(d, cfg).select(*cols).collect()), key=str)
+    assert {r[0] for r in want} >= {0, 1, 2} and got == want
+    left = spark.read.format("statestore").option("stateVarName", "clock").load(f"{tmp_path}/ck")
+    assert left.where("key.video_id >= 0").isEmpty()
