@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,6 +13,9 @@ from tessella.operators.cluster import components
 from tessella.session import cut
 
 
+DENSE = 4096  # cells of a matrix that is solved as such
+
+
 def best_columns(score: np.ndarray) -> np.ndarray:
     """Column per row (-1 for none) with the largest total score, by shortest augmenting paths."""
     flip = score.shape[0] > score.shape[1]
@@ -49,11 +53,73 @@ def best_columns(score: np.ndarray) -> np.ndarray:
     return out
 
 
+def best_pairs(rows: np.ndarray, cols: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the pairs with the largest total of positive scores, one per row and column at most.
+
+    Shortest augmenting paths over the pairs there are: memory grows with their number, and a search only goes as
+    far as the best free column or as giving up a row pays. Rows and columns are numbered from 0.
+    """
+    n, m = int(rows.max()) + 1, int(cols.max()) + 1
+    order = np.argsort(rows, kind="stable")
+    bounds = np.searchsorted(rows[order], np.arange(n + 1)).tolist()
+    to, cost, edge = cols[order].tolist(), (-score[order]).tolist(), order.tolist()
+    row_pot = [min(cost[bounds[i] : bounds[i + 1]], default=0.0) for i in range(n)]
+    col_pot = [0.0] * m
+    owner, chosen = [-1] * m, [-1] * n  # row of a column; place in ``to`` of a row's pair
+    for start in range(n):
+        dist, via, closed = {}, {}, {}  # of columns; the pair over which a column was reached; columns searched, in order
+        heap, row, at = [], start, 0.0
+        stop, stop_row, stop_col = float("inf"), start, -1
+        while True:
+            if at - row_pot[row] < stop:  # leave this row without a column
+                stop, stop_row, stop_col = at - row_pot[row], row, -1
+            for e in range(bounds[row], bounds[row + 1]):
+                j = to[e]
+                if j in closed:
+                    continue
+                d = at + cost[e] - row_pot[row] - col_pot[j]
+                if d < stop and d < dist.get(j, stop):
+                    dist[j], via[j] = d, (e, row)
+                    heapq.heappush(heap, (d, j))
+            col = -1
+            while heap:
+                d, j = heapq.heappop(heap)
+                if d >= stop:
+                    break
+                if j not in closed and d == dist[j]:
+                    col = j
+                    break
+            if col < 0:
+                break
+            if owner[col] < 0:
+                stop, stop_row, stop_col = dist[col], -1, col
+                break
+            closed[col] = True
+            row, at = owner[col], dist[col]
+        row_pot[start] += stop
+        for j in closed:
+            col_pot[j] += dist[j] - stop
+            row_pot[owner[j]] += stop - dist[j]
+        # Turn the pairs of the path over, from its end to the row it began with.
+        if stop_col < 0:
+            if stop_row == start:
+                continue
+            stop_col, chosen[stop_row] = to[chosen[stop_row]], -1
+        while True:
+            e, row = via[stop_col]
+            owner[stop_col] = row
+            before, chosen[row] = chosen[row], e
+            if row == start:
+                break
+            stop_col = to[before]
+    return np.array(sorted(edge[e] for e in chosen if e >= 0), np.int64)
+
+
 def assign(pairs: DataFrame, keys: Sequence[str], a: str, b: str, score: str) -> DataFrame:
     """One-to-one pairs (keys, a, b, score) with the largest total of positive scores per group.
 
     Rows that share no positive pair cannot influence each other, so every connected component
-    of the pair graph is solved by itself; that bounds a task by a component, not by a group.
+    of the pair graph is solved by itself, in memory that grows with its pairs; that bounds a task by a component, not by a group.
     """
     keys = list(keys)
     live = cut(pairs.where(F.col(score) > 0).select(*keys, a, b, score))
@@ -86,6 +152,8 @@ def solve_groups(pairs: DataFrame, keys: Sequence[str], a: str, b: str, score: s
                     ub, ib = np.unique(vb[lo:hi], return_inverse=True)
                     if len(ua) == 1 or len(ub) == 1:
                         chosen = np.array([lo + int(np.argmax(vs[lo:hi]))])
+                    elif len(ua) * len(ub) > DENSE:
+                        chosen = lo + best_pairs(ia, ib, vs[lo:hi])
                     else:
                         m = np.zeros((len(ua), len(ub)))
                         m[ia, ib] = vs[lo:hi]
