@@ -184,3 +184,12 @@ def replaced_font(font: Column, replacements: dict[str, str]) -> Column:
     if replacements:
         out = F.coalesce(lookup(font, replacements), font)
     return F.when(font != "", out)
+
+
+def half_up(value: str | Column, digits: int) -> Column:
+    """A double rounded as SQL does it: scaled, rounded half away from zero, scaled back.
+
+    Spark's own ``round`` goes by the decimal text of the number, which differs by one last digit next to a half.
+    """
+    scale = 10.0**digits
+    return F.round((F.col(value) if isinstance(value, str) else value) * scale) / scale

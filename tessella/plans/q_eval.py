@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import assign as asg, evalmetrics as ev, greedy
 from tessella.functions.boxes import box
+from tessella.functions.rules import half_up
 from tessella.plans.q_windows import video_tracks
 from tessella.plans.registry import query
 from tessella.plans.relations import SQL, det, gt, rel, with_recursive, with_views
@@ -54,7 +55,7 @@ def _rows(spark, sf, truth: str = "gt_apart", found: str = "apart"):
   CAST(n_gt = 0 AND n_dt = 0 AS INT) AS il_tn, CAST(n_gt > 0 AND n_dt = 0 AS INT) AS il_fn FROM rows_""",
 )
 def a07(spark, sf):
-    return _rows(spark, sf).select("image_id", "threshold", "tp", "fp", "fn", F.round("f1", 9).alias("f1"), "il_tp", "il_fp", "il_tn", "il_fn")
+    return _rows(spark, sf).select("image_id", "threshold", "tp", "fp", "fn", half_up("f1", 9).alias("f1"), "il_tp", "il_fp", "il_tn", "il_fn")
 
 
 # The queries named _crowded run on det and gt as they lie, where boxes have rivals; SQL cannot say those, so they have no
@@ -64,12 +65,12 @@ _SCORES = ["precision", "recall", "f1", "positive_micro_f1", "positive_macro_f1"
 
 @query("A07_image_scores_crowded")
 def a07_crowded(spark, sf):
-    return _rows(spark, sf, "gt", "det").select("image_id", "threshold", "tp", "fp", "fn", F.round("f1", 9).alias("f1"), "il_tp", "il_fp", "il_tn", "il_fn")
+    return _rows(spark, sf, "gt", "det").select("image_id", "threshold", "tp", "fp", "fn", half_up("f1", 9).alias("f1"), "il_tp", "il_fp", "il_tn", "il_fn")
 
 
 @query("A08_dataset_scores_crowded")
 def a08_crowded(spark, sf):
-    return ev.dataset_scores(_rows(spark, sf, "gt", "det")).select("threshold", "tp", "fp", "fn", *[F.round(n, 9).alias(n) for n in _SCORES])
+    return ev.dataset_scores(_rows(spark, sf, "gt", "det")).select("threshold", "tp", "fp", "fn", *[half_up(n, 9).alias(n) for n in _SCORES])
 
 
 _DATASET = _ROWS + """, a AS (SELECT threshold, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(CASE WHEN n_gt > 0 THEN fp ELSE 0 END) AS pfp,
@@ -90,7 +91,7 @@ b AS (SELECT *, tp / (tp + fp + 1e-4) AS p, tp / (tp + fn + 1e-4) AS rc, tp / (t
 def a08(spark, sf):
     s = ev.dataset_scores(_rows(spark, sf))
     names = ["precision", "recall", "f1", "positive_micro_f1", "positive_macro_f1", "il_mcc", "cgf1_micro"]
-    return s.select("threshold", "tp", "fp", "fn", *[F.round(n, 9).alias(n) for n in names])
+    return s.select("threshold", "tp", "fp", "fn", *[half_up(n, 9).alias(n) for n in names])
 
 
 @query(
@@ -110,7 +111,7 @@ def a09_crowded(spark, sf):
 def _demo_scores(rows):
     region = rows.select("threshold", F.lit(0.5).alias("j"), (F.col("threshold") / 100 * 0.25).alias("f"))
     s = ev.with_jf(ev.dataset_scores(rows), region, ["threshold"])
-    return s.select("threshold", *[F.round(n, 9).alias(n) for n in ("cgf1_macro", "il_perfect_pos", "il_perfect_neg", "j_and_f")])
+    return s.select("threshold", *[half_up(n, 9).alias(n) for n in ("cgf1_macro", "il_perfect_pos", "il_perfect_neg", "j_and_f")])
 
 
 @query(
@@ -169,7 +170,7 @@ def a11_match_crowded(spark, sf):
 def a11_crowded(spark, sf):
     h, g = _hits(spark, sf, "gt", "det")
     a = ev.average_precision(h, g.where("NOT is_crowd"))
-    return a.select("threshold", F.round("ap", 9).alias("ap"), F.round("ar", 9).alias("ar"))
+    return a.select("threshold", half_up("ap", 9).alias("ap"), half_up("ar", 9).alias("ar"))
 
 
 @query(
@@ -185,7 +186,7 @@ SELECT threshold, round(sum(p) / 101, 9) AS ap, round((SELECT max(tp) FROM e WHE
 def a11(spark, sf):
     h, g = _hits(spark, sf)
     a = ev.average_precision(h, g.where("NOT is_crowd"))
-    return a.select("threshold", F.round("ap", 9).alias("ap"), F.round("ar", 9).alias("ar"))
+    return a.select("threshold", half_up("ap", 9).alias("ap"), half_up("ar", 9).alias("ar"))
 
 
 @query(
@@ -196,13 +197,13 @@ SELECT video_id, round(avg(tp), 9) AS tp, round(avg(fp), 9) AS fp, round(avg(fn)
 )
 def a12(spark, sf):
     s = ev.per_pair_scores(_rows(spark, sf).withColumn("video_id", F.expr("image_id div 20")), ["video_id"])
-    return s.select("video_id", *[F.round(c, 9).alias(c) for c in ("tp", "fp", "fn", "f1")])
+    return s.select("video_id", *[half_up(c, 9).alias(c) for c in ("tp", "fp", "fn", "f1")])
 
 
 @query("A12_video_phrase_scores_crowded")
 def a12_crowded(spark, sf):
     s = ev.per_pair_scores(_rows(spark, sf, "gt", "det").withColumn("video_id", F.expr("image_id div 20")), ["video_id"])
-    return s.select("video_id", *[F.round(c, 9).alias(c) for c in ("tp", "fp", "fn", "f1")])
+    return s.select("video_id", *[half_up(c, 9).alias(c) for c in ("tp", "fp", "fn", "f1")])
 
 
 SQL["video_frames"] = """
@@ -289,7 +290,7 @@ SELECT cls, alpha, CAST(tp AS BIGINT) AS tp, round(a, 9) AS ass_a, round(l, 9) A
 )
 def a18(spark, sf):
     c = ev.combine_sequences(_metric_rows(spark, sf), ["cls", "alpha"])
-    return c.select("cls", "alpha", "tp", *[F.round(n, 9).alias(n) for n in ("ass_a", "loc_a", "det_a", "hota")])
+    return c.select("cls", "alpha", "tp", *[half_up(n, 9).alias(n) for n in ("ass_a", "loc_a", "det_a", "hota")])
 
 
 @query(
@@ -301,7 +302,7 @@ SELECT alpha, CAST(sum(tp) AS BIGINT) AS tp, round(avg(a), 9) AS ass_a, round(av
 )
 def a18_class(spark, sf):
     c = ev.combine_classes(ev.combine_sequences(_metric_rows(spark, sf), ["cls", "alpha"]), ["alpha"])
-    return c.select("alpha", "tp", F.round("ass_a", 9).alias("ass_a"), F.round("hota", 9).alias("hota"))
+    return c.select("alpha", "tp", half_up("ass_a", 9).alias("ass_a"), half_up("hota", 9).alias("hota"))
 
 
 @query(
@@ -312,7 +313,7 @@ def a18_class(spark, sf):
 )
 def a18_roll(spark, sf):
     r = ev.roll_up(_metric_rows(spark, sf), "cls", "super")
-    return r.select("alpha", "super", "cls", "tp", "fp", F.round("ass_a", 9).alias("ass_a"))
+    return r.select("alpha", "super", "cls", "tp", "fp", half_up("ass_a", 9).alias("ass_a"))
 
 
 @query(

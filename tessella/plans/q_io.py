@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules
 from tessella.functions.boxes import box
+from tessella.functions.rules import half_up
 from tessella.operators import cells as ce, evalmetrics as ev
 from tessella.plans import q_eval  # noqa: F401  (brings the video_frames relation)
 from tessella.plans.registry import query
@@ -155,7 +156,7 @@ def s07(spark, sf):
         .otherwise(F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.col("event_type").alias("module"), F.col("value").alias("duration_ms"), F.lit("success").alias("status"), F.lit("x").alias("host"))))
     )
     entries = an.log_entries(rel(spark, sf, "events").select(line.alias("value")))
-    return entries.groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration_ms"), 4).alias("total_ms"))
+    return entries.groupBy("module").agg(F.count(F.lit(1)).alias("n"), half_up(F.sum("duration_ms"), 4).alias("total_ms"))
 
 
 def _diagrams(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions.rules import half_up
 from tessella.operators.runs import merge_runs
 from tessella.plans import q_eval  # noqa: F401  (brings the video_frames relation)
 from tessella.plans.registry import query
@@ -27,7 +28,7 @@ def t01(spark, sf):
     ))
     root = scratch(spark)
     metrics.run_to_folder(metrics.windowed_metrics(events.select(line.alias("value"))), f"{root}/result", f"{root}/state")
-    return spark.read.parquet(f"{root}/result").select("window_start", "module", "n", "success", F.round("total_ms", 4).alias("total_ms"))
+    return spark.read.parquet(f"{root}/result").select("window_start", "module", "n", "success", half_up("total_ms", 4).alias("total_ms"))
 
 
 def _frames(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions.rules import half_up
 from tessella.operators import datasets as ds
 from tessella.operators.numbering import ordinal, top_k
 from tessella.plans.q_filters import _FQ, find_queries
@@ -228,7 +229,7 @@ def w14(spark, sf):
         F.lit(640.0).alias("img_w"), F.lit(480.0).alias("img_h"),
     )
     d = from_raw(raw, "image_id", "det_id", threshold=0.5, k=8, presence=True)
-    return d.select("image_id", "det_id", "label", F.round("x1", 6).alias("x1"), F.round("y2", 6).alias("y2"), F.round("score", 9).alias("score"))
+    return d.select("image_id", "det_id", "label", half_up("x1", 6).alias("x1"), half_up("y2", 6).alias("y2"), half_up("score", 9).alias("score"))
 
 
 @query(
@@ -263,7 +264,7 @@ def w15(spark, sf):
     length = frames.select("image_id").distinct().withColumn("n_frames", F.lit(5))
     t = ds.assemble_tracks(frames, ["image_id", "obj_id"], "frame", length, ["image_id"])
     return t.select(
-        "image_id", "obj_id", "label", F.round("score", 4).alias("score"), F.size("bboxes").alias("n_frames"),
+        "image_id", "obj_id", "label", half_up("score", 4).alias("score"), F.size("bboxes").alias("n_frames"),
         F.size(F.filter("scores", lambda s: s < -1e7)).alias("n_gaps"), F.get(F.get("bboxes", F.lit(0)), F.lit(0)).alias("x_at_0"),
     )
 
