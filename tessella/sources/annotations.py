@@ -128,7 +128,8 @@ def tracking_rows(
     for c in among(valid):
         keep = keep & c
     if id_col is not None:
-        keep = keep & (field(id_col).cast("double").cast("int") >= 0)
+        # A fraction is cut off, so anything above -1 counts; ids may pass 32 bits.
+        keep = keep & (field(id_col).cast("double") > -1)
     return t.where(keep), t.where(ignored)
 
 
