@@ -147,30 +147,39 @@ h AS (SELECT image_id, det_id, score, threshold, CASE WHEN iou < threshold / 100
 """
 
 
-def _hits(spark, sf, truth: str = "gt_apart", found: str = "apart"):
+def _match_inputs(spark, sf, truth: str = "gt_apart", found: str = "apart"):
+    """Pairs, detections and ground truth of the greedy match."""
     every, g = rel(spark, sf, found), rel(spark, sf, truth)
     if truth == "gt":
         g = g.withColumn("is_crowd", F.col("gt_id") % 17 == 0)
-    pairs = ev.iou_pairs(g, every, ["image_id"]).join(g.select("gt_id", "is_crowd"), "gt_id")
-    return ev.greedy_matches(pairs, every, ["image_id"], max_dets=100), g
+    return ev.iou_pairs(g, every, ["image_id"], carry=["is_crowd"]), every, g
+
+
+def _hits(spark, sf, *names: str):
+    pairs, every, _ = _match_inputs(spark, sf, *names)
+    return ev.greedy_matches(pairs, every, ["image_id"], max_dets=100)
+
+
+def _precision(spark, sf, *names: str):
+    pairs, every, g = _match_inputs(spark, sf, *names)
+    a = ev.packed_precision(ev.greedy_hits(pairs, every, ["image_id"], max_dets=100), g.where("NOT is_crowd"))
+    return a.select("threshold", half_up("ap", 9).alias("ap"), half_up("ar", 9).alias("ar"))
 
 
 @query("A11_greedy_matches", _HITS + "SELECT image_id, det_id, score, threshold, hit FROM h")
 def a11_match(spark, sf):
     """Which detections take a ground truth at each threshold (score order, best IoU first, crowds ignored)."""
-    return _hits(spark, sf)[0].select("image_id", "det_id", "score", "threshold", "hit")
+    return _hits(spark, sf).select("image_id", "det_id", "score", "threshold", "hit")
 
 
 @query("A11_greedy_matches_crowded")
 def a11_match_crowded(spark, sf):
-    return _hits(spark, sf, "gt", "det")[0].select("image_id", "det_id", "score", "threshold", "hit")
+    return _hits(spark, sf, "gt", "det").select("image_id", "det_id", "score", "threshold", "hit")
 
 
 @query("A11_average_precision_crowded")
 def a11_crowded(spark, sf):
-    h, g = _hits(spark, sf, "gt", "det")
-    a = ev.average_precision(h, g.where("NOT is_crowd"))
-    return a.select("threshold", half_up("ap", 9).alias("ap"), half_up("ar", 9).alias("ar"))
+    return _precision(spark, sf, "gt", "det")
 
 
 @query(
@@ -184,9 +193,7 @@ best AS (SELECT threshold, k, coalesce(max(prec) FILTER (WHERE level >= k), 0) A
 SELECT threshold, round(sum(p) / 101, 9) AS ap, round((SELECT max(tp) FROM e WHERE e.threshold = best.threshold) / (SELECT n FROM npos), 9) AS ar FROM best GROUP BY threshold""",
 )
 def a11(spark, sf):
-    h, g = _hits(spark, sf)
-    a = ev.average_precision(h, g.where("NOT is_crowd"))
-    return a.select("threshold", half_up("ap", 9).alias("ap"), half_up("ar", 9).alias("ar"))
+    return _precision(spark, sf)
 
 
 @query(

@@ -34,7 +34,15 @@ FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_extendedpri
 """
 
 DET = _DET_BODY.replace("{imgdiv}", "l_orderkey // 15")
-_SPARK_DET = _DET_BODY.replace("{imgdiv}", "l_orderkey div 15")
+# An order lies in one image, so Spark deals the rows by image and numbers copies inside it: what works image by image
+# goes on in the same tasks instead of being shuffled again. The order ends with the columns it leaves open, so that every reader
+# needs the same columns and Spark deals the rows once for all readers of a query.
+_SPARK_DET = (
+    _DET_BODY.replace("{imgdiv} AS image_id", "image_id")
+    .replace("PARTITION BY l_orderkey", "PARTITION BY image_id, l_orderkey")
+    .replace("l_shipdate)", "l_shipdate, l_linestatus, l_returnflag)")
+    .replace("FROM lineitem", "FROM (SELECT /*+ REPARTITION(image_id) */ * FROM (SELECT *, l_orderkey div 15 AS image_id FROM lineitem))")
+)
 
 GT = """
 SELECT image_id, det_id AS gt_id, x1 + category_id - 3 AS x1, y1, x2 + category_id - 3 AS x2, y2, category_id

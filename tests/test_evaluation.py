@@ -157,3 +157,32 @@ def test_a_silent_video_ends_by_timer(spark, frames, tmp_path):
     assert {r[0] for r in want} >= {0, 1, 2} and got == want
     left = spark.read.format("statestore").option("stateVarName", "clock").load(f"{tmp_path}/ck")
     assert left.where("key.video_id >= 0").isEmpty()
+
+
+def test_precision_of_packed_rows(spark):
+    """All thresholds of a detection in one row: as by a plain walk, ignored rows and a threshold without hits included."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, float(rng.randint(0, 6)), [rng.choice([1, 0, 0, None]), rng.choice([1, 0, None]), 0, None]) for i in range(60)]
+    packed = spark.createDataFrame(rows, "det_id long, score double, hits array<int>")
+    got = {r.threshold: (r.ap, r.ar) for r in ev.packed_precision(packed, spark.range(40), steps=[50, 60, 70, 80], buckets=5).collect()}
+    want = {}
+    for i, step in enumerate([50, 60, 70]):
+        tp, seen, curve = 0, 0, []
+        for _, _, hits in sorted(rows, key=lambda r: (-r[1], r[0])):
+            if hits[i] is not None:
+                tp, seen = tp + hits[i], seen + 1
+                curve.append((tp * 100 // 40, tp / seen))
+        want[step] = (sum(max([p for at, p in curve if at >= k], default=0) for k in range(101)) / 101, tp / 40)
+    assert got.keys() == want.keys()
+    for step in want:
+        assert got[step] == pytest.approx(want[step])
+
+
+def test_images_are_dealt_once(spark):
+    """Counting per image needs no shuffle beyond the one that deals the detections."""
+    from tessella.plans.relations import det
+
+    plan = det(spark, "/root/testdata/sf0.001").groupBy("image_id").agg(F.max("det_id"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
