@@ -7,9 +7,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from tessella.operators.cluster import components
+from tessella.operators.cluster import EDGE_LIMIT, components
 from tessella.session import cut
 
 
@@ -115,14 +115,190 @@ def best_pairs(rows: np.ndarray, cols: np.ndarray, score: np.ndarray) -> np.ndar
     return np.array(sorted(edge[e] for e in chosen if e >= 0), np.int64)
 
 
-def assign(pairs: DataFrame, keys: Sequence[str], a: str, b: str, score: str) -> DataFrame:
+def best_columns_of_many(cost: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``best_columns`` of many small matrices at once: each step is taken by all matrices that are still under way.
+
+    ``cost`` (matrix, row, column) holds falling scores, infinity in columns beyond a matrix's own; ``rows`` is the number of rows
+    of each, no more than its columns. Column per row, -1 beyond the rows.
+    """
+    k, n, m = cost.shape
+    row_pot, col_pot = np.zeros((k, n)), np.zeros((k, m + 1))
+    owner = np.full((k, m + 1), -1)
+    for r in range(n):
+        at_row = np.flatnonzero(rows > r)
+        owner[at_row, m] = r
+        at = np.full(k, m)
+        dist, seen, back = np.full((k, m), np.inf), np.zeros((k, m + 1), bool), np.full((k, m), m)
+        live = at_row
+        while len(live):
+            here = at[live]
+            seen[live, here] = True
+            i = owner[live, here]
+            free = ~seen[live, :m]
+            step = cost[live, i] - row_pot[live, i][:, None] - col_pot[live, :m]
+            d = dist[live]
+            closer = free & (step < d)
+            d = np.where(closer, step, d)
+            back[live] = np.where(closer, here[:, None], back[live])
+            open_ = np.where(free, d, np.inf)
+            nxt = open_.argmin(1)
+            delta = open_[np.arange(len(live)), nxt]
+            x, c = np.nonzero(seen[live])
+            row_pot[live[x], owner[live[x], c]] += delta[x]
+            col_pot[live[x], c] -= delta[x]
+            dist[live] = np.where(free, d - delta[:, None], d)
+            at[live] = nxt
+            live = live[owner[live, nxt] != -1]
+        live = at_row
+        while len(live):
+            here = at[live]
+            before = back[live, here]
+            owner[live, here] = owner[live, before]
+            at[live] = before
+            live = live[before != m]
+    out = np.full((k, n), -1)
+    x, c = np.nonzero(owner[:, :m] >= 0)
+    out[x, owner[x, c]] = c
+    return out
+
+
+def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node of the component of each of ``n`` nodes."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if np.array_equal(low, label):
+            return label
+        label = low
+
+
+def _numbered(*cols: np.ndarray) -> np.ndarray:
+    """A number for each distinct row of ``cols``, in their order."""
+    order = np.lexsort(cols[::-1])
+    new = np.zeros(len(order), bool)
+    for c in cols:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _within(comp: np.ndarray, node: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each pair's node inside its component, and the nodes of each of ``n`` components."""
+    names, first, inv = np.unique(node, return_index=True, return_inverse=True)
+    owner = comp[first]
+    order = np.argsort(owner, kind="stable")
+    size = np.bincount(owner, minlength=n)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names)) - np.repeat(np.cumsum(size) - size, size)
+    return place[inv], size
+
+
+CELLS = 1 << 18  # of the matrices that are solved together
+
+
+def chosen_pairs(group: np.ndarray, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the pairs with the largest total per group; pairs come in the order (group, a, b, score).
+
+    Groups fall apart into connected components. Those of one row or column take their best pair, small ones are solved together by
+    size, those over ``DENSE`` cells by themselves.
+    """
+    if not len(a):
+        return np.zeros(0, np.int64)
+    na, nb = _numbered(group, a), _numbered(group, b)
+    n = int(na[-1]) + 1 if len(na) else 0
+    comp = np.unique(_labels(na, nb + n, n + int(nb.max()) + 1)[na], return_inverse=True)[1]
+    many = int(comp.max()) + 1
+    ia, rows = _within(comp, na, many)
+    ib, cols = _within(comp, nb, many)
+    best = np.lexsort((np.arange(len(a)), -score, comp))
+    best = best[np.append(True, comp[best[1:]] != comp[best[:-1]])]
+    keep = [best[(rows == 1) | (cols == 1)]]
+    order = np.argsort(comp, kind="stable")
+    bounds = np.searchsorted(comp[order], np.arange(many + 1))
+    matrix = (rows > 1) & (cols > 1)
+    for c in np.flatnonzero(matrix & (rows * cols > DENSE)):
+        own = order[bounds[c] : bounds[c + 1]]
+        keep.append(own[best_pairs(ia[own], ib[own], score[own])])
+    flip = rows > cols
+    short, long = np.minimum(rows, cols), np.maximum(rows, cols)
+    todo = np.flatnonzero(matrix & (rows * cols <= DENSE))
+    todo = todo[np.lexsort((long[todo], short[todo]))]
+    while len(todo):
+        # Sizes rise, so those before a place fit into the largest of them.
+        cells = np.arange(1, len(todo) + 1) * np.maximum.accumulate(short[todo]) * np.maximum.accumulate(long[todo])
+        take = max(1, int(np.searchsorted(cells, CELLS, "right")))
+        now, todo = todo[:take], todo[take:]
+        own = np.concatenate([order[bounds[c] : bounds[c + 1]] for c in now])
+        k = np.repeat(np.arange(len(now)), bounds[now + 1] - bounds[now])
+        turned = flip[now][k]
+        i, j = np.where(turned, ib[own], ia[own]), np.where(turned, ia[own], ib[own])
+        cost = np.where(np.arange(long[now].max()) < long[now][:, None], 0.0, np.inf)[:, None, :].repeat(short[now].max(), 1)
+        cost[k, i, j] = -score[own]
+        keep.append(own[best_columns_of_many(cost, short[now])[k, i] == j])
+    return np.sort(np.concatenate(keep))
+
+
+def assign(pairs: DataFrame, keys: Sequence[str], a: str, b: str, score: str, limit: int = EDGE_LIMIT) -> DataFrame:
     """One-to-one pairs (keys, a, b, score) with the largest total of positive scores per group.
 
-    Rows that share no positive pair cannot influence each other, so every connected component
-    of the pair graph is solved by itself, in memory that grows with its pairs; that bounds a task by a component, not by a group.
+    Rows that share no positive pair cannot influence each other, so every connected component of the pair graph is solved by
+    itself. Groups of up to ``limit`` pairs are split and solved inside one task; the components of larger ones are found in rounds
+    over all tasks, and a component is solved in memory that grows with its pairs.
     """
     keys = list(keys)
-    live = cut(pairs.where(F.col(score) > 0).select(*keys, a, b, score))
+    live = pairs.where(F.col(score) > 0).select(*keys, a, b, score)
+    large = F.count(F.lit(1)).over(W.partitionBy(*keys)) > limit
+    # A pair of a large group is a list of its own and only passes through. What is written is the pairs found, and large groups.
+    lists = live.withColumn("_large", large).groupBy(*keys, F.when(F.col("_large"), F.col(a)).alias("_ka"), F.when(F.col("_large"), F.col(b)).alias("_kb")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(score).alias("s")))).alias("_p")
+    )
+    nkeys = len(keys)
+
+    def solve(batches):
+        for rb in _slices(batches, nkeys + 2):
+            g, va, vb, vs = _flat(rb.column(nkeys + 2))
+            passed = rb.column(nkeys).is_valid().to_numpy(zero_copy_only=False)[g]
+            own = np.flatnonzero(~passed)
+            k = np.sort(np.concatenate([np.flatnonzero(passed), own[chosen_pairs(g[own], va[own], vb[own], vs[own])]]))
+            yield _found(rb, nkeys, g, va, vb, vs, k, [*keys, a, b, score, "_large"], [pa.array(passed[k])])
+
+    types = {f.name: f.dataType for f in live.schema.fields}
+    schema = T.StructType([*[T.StructField(c, types[c]) for c in [*keys, a, b, score]], T.StructField("_large", T.BooleanType())])
+    done = cut(lists.mapInArrow(solve, schema))
+    found, rest = done.where("NOT _large").drop("_large"), done.where("_large").drop("_large")
+    return found if rest.isEmpty() else found.unionByName(_assign_large(rest, keys, a, b, score))
+
+
+PAIRS = 1 << 18  # looked at together
+
+
+def _slices(batches, col: int):
+    """Runs of rows whose lists hold about ``PAIRS`` pairs together, at least one row."""
+    for rb in batches:
+        off, at = rb.column(col).offsets.to_numpy(), 0
+        while at < rb.num_rows:
+            to = max(at + 1, int(np.searchsorted(off, off[at] + PAIRS, "right")) - 1)
+            yield rb.slice(at, to - at)
+            at = to
+
+
+def _flat(lists: pa.Array):
+    """List number, a, b and score of every pair."""
+    off = lists.offsets.to_numpy()
+    v = lists.values.slice(off[0], off[-1] - off[0])
+    return np.repeat(np.arange(len(lists)), np.diff(off)), *(v.field(f).to_numpy(zero_copy_only=False) for f in ("a", "b", "s"))
+
+
+def _found(rb: pa.RecordBatch, nkeys: int, g, va, vb, vs, k, names, more=()) -> pa.RecordBatch:
+    at = pa.array(g[k])
+    return pa.RecordBatch.from_arrays([*[rb.column(i).take(at) for i in range(nkeys)], pa.array(va[k]), pa.array(vb[k]), pa.array(vs[k]), *more], names)
+
+
+def _assign_large(live: DataFrame, keys: list[str], a: str, b: str, score: str) -> DataFrame:
     # Both sides in one id space: even numbers for a, odd for b.
     tagged = live.withColumn("_na", F.col(a) * 2).withColumn("_nb", F.col(b) * 2 + 1)
     nodes = tagged.select(*keys, F.col("_na").alias("_node")).distinct()
@@ -132,40 +308,15 @@ def assign(pairs: DataFrame, keys: Sequence[str], a: str, b: str, score: str) ->
 
 
 def solve_groups(pairs: DataFrame, keys: Sequence[str], a: str, b: str, score: str) -> DataFrame:
-    """Assignment inside each group as a whole."""
+    """Assignment inside each group as a whole, in one task."""
     keys = list(keys)
     lists = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(score).alias("s")))).alias("_p"))
     nkeys = len(keys)
 
     def solve(batches):
-        for rb in batches:
-            col = rb.column(nkeys)
-            off = col.offsets.to_numpy()
-            rows = col.values
-            va, vb, vs = (rows.field(f).to_numpy(zero_copy_only=False) for f in ("a", "b", "s"))
-            at, keep = [], []
-            for g, (lo, hi) in enumerate(zip(off[:-1], off[1:])):
-                if hi - lo == 1:
-                    chosen = np.array([lo])
-                else:
-                    ua, ia = np.unique(va[lo:hi], return_inverse=True)
-                    ub, ib = np.unique(vb[lo:hi], return_inverse=True)
-                    if len(ua) == 1 or len(ub) == 1:
-                        chosen = np.array([lo + int(np.argmax(vs[lo:hi]))])
-                    elif len(ua) * len(ub) > DENSE:
-                        chosen = lo + best_pairs(ia, ib, vs[lo:hi])
-                    else:
-                        m = np.zeros((len(ua), len(ub)))
-                        m[ia, ib] = vs[lo:hi]
-                        chosen = lo + np.flatnonzero(best_columns(m)[ia] == ib)
-                at.append(np.full(len(chosen), g))
-                keep.append(chosen)
-            if not at:
-                continue
-            g, k = pa.array(np.concatenate(at)), np.concatenate(keep)
-            yield pa.RecordBatch.from_arrays(
-                [*[rb.column(i).take(g) for i in range(nkeys)], pa.array(va[k]), pa.array(vb[k]), pa.array(vs[k])], [*keys, a, b, score]
-            )
+        for rb in _slices(batches, nkeys):
+            g, va, vb, vs = _flat(rb.column(nkeys))
+            yield _found(rb, nkeys, g, va, vb, vs, chosen_pairs(g, va, vb, vs), [*keys, a, b, score])
 
     types = {f.name: f.dataType for f in pairs.schema.fields}
     schema = T.StructType([T.StructField(c, types[c]) for c in [*keys, a, b, score]])

@@ -53,3 +53,37 @@ def test_a_component_over_the_limit_goes_the_sparse_way(spark, monkeypatch):
         full[a, b] = s
     want = sum(full[i, j] for i, j in enumerate(asg.best_columns(full)) if j >= 0)
     assert got.s.sum() == pytest.approx(want) and got.a.is_unique and got.b.is_unique
+
+
+def test_many_groups_at_once():
+    """Groups solved together give the very pairs each gives alone, ties and repeated pairs included."""
+    rng = np.random.default_rng(7)
+    parts = []
+    for g in range(300):
+        n, m = rng.integers(1, 14, 2)
+        full = np.round(rng.random((n, m)), 1) * (rng.random((n, m)) < rng.choice([0.1, 0.4, 1.0]))
+        a, b = np.nonzero(full)
+        parts.append(np.stack([np.full(len(a), g), a * 3, b * 5 + 1, full[a, b]], 1))
+    g, a, b, s = np.concatenate(parts).T
+    got = asg.chosen_pairs(g.astype(int), a.astype(int), b.astype(int), s)
+    for k in range(300):
+        own = np.flatnonzero(g == k)
+        mine = got[g[got] == k]
+        assert len(set(a[mine])) == len(mine) == len(set(b[mine]))
+        if len(own):
+            ua, ia = np.unique(a[own], return_inverse=True)
+            ub, ib = np.unique(b[own], return_inverse=True)
+            full = np.zeros((len(ua), len(ub)))
+            full[ia, ib] = s[own]
+            want = sum(full[i, j] for i, j in enumerate(asg.best_columns(full)) if j >= 0)
+            assert abs(s[mine].sum() - want) < 1e-9
+    assert not len(asg.chosen_pairs(*[np.zeros(0, int)] * 3, np.zeros(0)))
+
+
+def test_large_groups_pass_to_rounds(spark):
+    """A group beyond the limit gives the same pairs as one below it."""
+    rng = np.random.default_rng(2)
+    rows = [(g, i, j, float(rng.random())) for g in (1, 2) for i in range(30) for j in range(30) if i // 3 == j // 3 and rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "g long, a long, b long, s double")
+    pairs = lambda limit: sorted(map(tuple, asg.assign(df, ["g"], "a", "b", "s", limit=limit).collect()))
+    assert pairs(10) == pairs(10_000)
