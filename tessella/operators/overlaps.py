@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tessella.functions import boxes as bx
 from tessella.functions.boxes import box
@@ -13,6 +15,8 @@ from tessella.operators.greedy import sequential_removal
 from tessella.operators.spatial import cross_pairs, self_pairs, span_for_ratio
 from tessella.session import cut
 
+XY = ("x1", "y1", "x2", "y2")
+
 
 def overlap_pairs(df: DataFrame, keys: Sequence[str], id_col: str, min_iou: float = 0.1, carry: Sequence[str] = ()) -> DataFrame:
     """Pairs a < b with IoU of at least ``min_iou``, their IoU and relationship label."""
@@ -132,13 +136,13 @@ def structure_suggestions(overlaps: DataFrame, keys: Sequence[str], id_col: str)
 def duplicate_paths(df: DataFrame, keys: Sequence[str], id_col: str, near: float = 15.0, short: float = 30.0) -> DataFrame:
     """(keys, id) of paths that repeat another: same ends (either way), or a short path whose
     end lies near the other. The shorter goes (the later on equal length), in id order."""
-    from tessella.functions import paths as pa, polygons as pg
+    from tessella.functions import paths, polygons as pg
 
     hull = pg.hull(F.col("pts"))
     first, last = F.get("pts", F.lit(0)), F.element_at("pts", -1)
     ready = df.where(F.size("pts") >= 2).select(
         *keys, id_col, *[c.alias(n) for c, n in zip(hull, ("x1", "y1", "x2", "y2"))],
-        F.struct(first["x"].alias("sx"), first["y"].alias("sy"), last["x"].alias("ex"), last["y"].alias("ey"), pa.length(F.col("pts")).alias("len"), F.col("pts").alias("pts")).alias("p"),
+        F.struct(first["x"].alias("sx"), first["y"].alias("sy"), last["x"].alias("ex"), last["y"].alias("ey"), paths.length(F.col("pts")).alias("len"), F.col("pts").alias("pts")).alias("p"),
     )
 
     def close(ax, ay, bx_, by):
@@ -165,15 +169,19 @@ def duplicate_paths(df: DataFrame, keys: Sequence[str], id_col: str, near: float
 
 
 # --- coverage ---------------------------------------------------------------
-def union_area(df: DataFrame, keys: Sequence[str], cell: float | None = None) -> DataFrame:
+BOXES = 1024  # of a group whose area is taken inside one task
+
+
+def union_area(df: DataFrame, keys: Sequence[str], cell: float | None = None, limit: int = BOXES) -> DataFrame:
     """Area covered by at least one box per group.
 
-    Boxes are cut at the lines of a coarse grid first, so a group is worked on cell by cell;
-    inside a cell the x cuts make slabs, and a slab's height is the length of its merged y
-    intervals. Copies of a box count once.
+    Boxes are cut at the lines of a coarse grid first, so a group is worked on cell by cell. A cell of up to ``limit`` boxes is one
+    list, whose area one task takes; the boxes of fuller cells are cut into slabs by joins. What is written is a number for
+    each list and the boxes of fuller cells.
     """
     keys = list(keys)
-    boxes = df.select(*keys, "x1", "y1", "x2", "y2").where("x2 > x1 AND y2 > y1").distinct()
+    boxes = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in XY]).where("x2 > x1 AND y2 > y1")
+    part = keys
     if cell is not None:
         ix = F.sequence(F.floor(F.col("x1") / cell), F.ceil(F.col("x2") / cell) - 1)
         iy = F.sequence(F.floor(F.col("y1") / cell), F.ceil(F.col("y2") / cell) - 1)
@@ -181,12 +189,66 @@ def union_area(df: DataFrame, keys: Sequence[str], cell: float | None = None) ->
         boxes = boxes.select(
             *keys, "_cx", "_cy", F.greatest("x1", F.col("_cx") * cell).alias("x1"), F.greatest("y1", F.col("_cy") * cell).alias("y1"),
             F.least("x2", (F.col("_cx") + 1) * cell).alias("x2"), F.least("y2", (F.col("_cy") + 1) * cell).alias("y2"),
-        ).distinct()
+        )
         part = [*keys, "_cx", "_cy"]
-    else:
-        part = keys
-    from pyspark.sql import Window as W
-
+    large = F.count(F.lit(1)).over(W.partitionBy(*part)) > limit
+    own = F.when(F.col("_large"), F.struct(*XY)).alias("_box")
+    lists = boxes.withColumn("_large", large).groupBy(*part, own).agg(F.collect_set(F.struct(*XY)).alias("_b"))
+    n = len(part)
+
+    def areas(batches):
+        for rb in batches:
+            off, v = rb.column(n + 1).offsets.to_numpy(), rb.column(n + 1).values
+            xy = [v.field(c).to_numpy(zero_copy_only=False) for c in XY]
+            size = np.diff(off)
+            # Lists are taken together as long as their slabs stay few.
+            work = np.append(0, np.cumsum(size.astype(np.int64) ** 2))
+            out, at = np.zeros(rb.num_rows), 0
+            while at < rb.num_rows:
+                to = max(at + 1, int(np.searchsorted(work, work[at] + SLABS, "right")) - 1)
+                here = slice(off[at], off[to])
+                out[at:to] = covered_areas(np.repeat(np.arange(to - at), size[at:to]), *[c[here] for c in xy], to - at)
+                at = to
+            yield pa.RecordBatch.from_arrays([*[rb.column(i) for i in range(n + 1)], pa.array(out)], [*part, "_box", "_a"])
+
+    types = {f.name: f for f in lists.schema.fields}
+    done = cut(lists.mapInArrow(areas, T.StructType([*[types[c] for c in (*part, "_box")], T.StructField("_a", T.DoubleType())])))
+    found, rest = done.where("_box IS NULL").select(*keys, "_a"), done.where("_box IS NOT NULL").select(*part, "_box.*")
+    if not rest.isEmpty():
+        found = found.unionByName(_slab_areas(rest, part).select(*keys, "_a"))
+    return found.groupBy(*keys).agg(F.sum("_a").alias("covered"))
+
+
+SLABS = 1 << 21
+
+
+def covered_areas(group: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, n: int) -> np.ndarray:
+    """Area of the boxes of each of ``n`` groups: the x cuts make slabs, a slab's height is the length of its merged y intervals."""
+    k = len(group)
+    if not k:
+        return np.zeros(n)
+    g, x = np.concatenate([group, group]), np.concatenate([x1, x2])
+    order = np.lexsort((x, g))
+    new = np.append(True, (g[order[1:]] != g[order[:-1]]) | (x[order[1:]] != x[order[:-1]]))
+    place = np.empty(2 * k, np.int64)
+    place[order] = np.cumsum(new) - 1
+    edge, home = x[order][new], g[order][new]
+    count = place[k:] - place[:k]
+    box = np.repeat(np.arange(k), count)
+    slab = place[:k][box] + np.arange(len(box)) - np.repeat(np.cumsum(count) - count, count)
+    order = np.lexsort((y1[box], slab))
+    box, slab = box[order], slab[order]
+    # The highest y so far inside the slab: with the slab in front, a running maximum starts anew at each.
+    heights, rank = np.unique(y2, return_inverse=True)
+    reach = np.maximum.accumulate(slab * len(heights) + rank[box])
+    before = np.append(-np.inf, heights[reach[:-1] % len(heights)])
+    before[1:][slab[1:] != slab[:-1]] = -np.inf
+    gain = np.maximum(0.0, y2[box] - np.maximum(y1[box], before))
+    return np.bincount(home[slab], gain * (edge[slab + 1] - edge[slab]), n)
+
+
+def _slab_areas(boxes: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Covered pieces (part, _a) of the distinct boxes, by joins of slabs and boxes."""
     cuts = boxes.select(*part, F.col("x1").alias("x")).union(boxes.select(*part, F.col("x2"))).distinct()
     slabs = cuts.withColumn("xe", F.lead("x").over(W.partitionBy(*part).orderBy("x"))).where("xe IS NOT NULL")
     strips = (
@@ -198,12 +260,7 @@ def union_area(df: DataFrame, keys: Sequence[str], cell: float | None = None) ->
     order = W.partitionBy(*part, "x").orderBy("y1")
     reach = F.max("y2").over(order.rowsBetween(W.unboundedPreceding, -1))
     gain = F.greatest(F.lit(0.0), F.col("y2") - F.greatest("y1", F.coalesce("_reach", F.col("y1"))))
-    return (
-        strips.withColumn("_reach", reach)
-        .withColumn("_a", (F.col("xe") - F.col("x")) * gain)
-        .groupBy(*keys)
-        .agg(F.sum("_a").alias("covered"))
-    )
+    return strips.withColumn("_reach", reach).select(*part, ((F.col("xe") - F.col("x")) * gain).alias("_a"))
 
 
 def covered_share(candidates: DataFrame, cover: DataFrame, keys: Sequence[str], id_col: str, cell: float | None = None) -> DataFrame:
