@@ -45,7 +45,7 @@ _STOP = units.table(b".!?\n")
 class Model:
     weights: np.ndarray
     bias: float
-    known: np.ndarray  # whether training knows a feature
+    known: np.ndarray | None = None  # whether training knows a feature; needed to make bags
 
 
 def sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,14 +105,14 @@ def bags(buf: np.ndarray, offs: np.ndarray, known: np.ndarray) -> Bags:
     return Bags(feature, bounds, firsts, places, np.sort(order[new]))
 
 
-def _sentence_scores(model: Model, bag: Bags) -> np.ndarray:
-    sums = np.append(0.0, np.cumsum(model.weights[bag.feature], dtype=np.float64))
-    return sums[bag.bounds[1:]] - sums[bag.bounds[:-1]] + model.bias
+def _sentence_scores(model: Model, feature: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    sums = np.append(0.0, np.cumsum(model.weights[feature], dtype=np.float64))
+    return sums[bounds[1:]] - sums[bounds[:-1]] + model.bias
 
 
 def _scores(model: Model, bag: Bags) -> tuple[np.ndarray, np.ndarray]:
     """Of all sentences before the sigmoid, and the probability of each text."""
-    z = _sentence_scores(model, bag)
+    z = _sentence_scores(model, bag.feature, bag.bounds)
     own, firsts = z[bag.kept], bag.kept_firsts()
     low = own < np.log(FLOOR / (1 - FLOOR))
     some = np.append(0.0, np.cumsum(np.where(low, np.logaddexp(0, own), 0.0)))
