@@ -12,7 +12,7 @@ from tessella.plans import q_eval  # noqa: F401  (brings the video_frames relati
 from tessella.plans.registry import query
 from tessella.plans.relations import SQL, det, rel, with_views
 from tessella.sources import annotations as an, diagrams as dg, payloads as pl, sinks
-from tessella.session import scratch
+from tessella.session import cut, scratch
 
 
 def _orders_json(spark, sf, body):
@@ -287,7 +287,8 @@ def k05(spark, sf):
     + "SELECT image_id, id, row_number() OVER (PARTITION BY image_id ORDER BY layer, area DESC, id) + 1 AS cell_id FROM (SELECT image_id, CAST(det_id AS VARCHAR) AS id, 1 AS layer, (x2 - x1) * 10 AS area FROM det UNION ALL SELECT image_id, concat('text_', det_id), 4, (x2 - x1) * 10 FROM det)",
 )
 def u02(spark, sf):
-    shapes = dg.cells_from_column(_diagrams(spark, sf), "xml").withColumn("layer_level", F.lit(1))
+    # Read as shapes and as text, to count and to number: the markup is only parsed once.
+    shapes = cut(dg.cells_from_column(_diagrams(spark, sf), "xml").select("image_id", "id", "x", "y", "width", "height")).withColumn("layer_level", F.lit(1))
     text = shapes.withColumn("id", F.concat(F.lit("text_"), F.col("id"))).withColumn("layer_level", F.lit(4))
     both = shapes.unionByName(text).select("image_id", "id", "layer_level", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"))
     return ce.z_order(both, "image_id", "id").select("image_id", "id", "cell_id")

@@ -43,12 +43,12 @@ def read_page_sizes(spark: SparkSession, path: str, default: tuple[float, float]
 def cells_from_column(df: DataFrame, xml: str) -> DataFrame:
     """Cells out of a column of markup: one row per cell with id, parent, style, value and geometry."""
     cells = df.withColumn("_c", F.explode(F.regexp_extract_all(F.col(xml), F.lit(r"(<mxCell\b(?:[^>]*/>|[\s\S]*?</mxCell>))"), 1)))
-    tag = F.regexp_extract("_c", r"^(<mxCell\b[^>]*>)", 1)
-    geo = F.regexp_extract("_c", r"(<mxGeometry\b[^>]*>)", 1)
+    # Both tags are columns, not expressions, so that each is searched for once and not by every attribute.
+    cells = cells.withColumn("_tag", F.regexp_extract("_c", r"^(<mxCell\b[^>]*>)", 1)).withColumn("_geo", F.regexp_extract("_c", r"(<mxGeometry\b[^>]*>)", 1))
+    tag, geo = F.col("_tag"), F.col("_geo")
 
     def attr(src, name):
-        hit = F.regexp_extract(src, rf'\s{name}="([^"]*)"', 1)
-        return F.when(src.rlike(rf'\s{name}="'), hit)
+        return F.get(F.regexp_extract_all(src, F.lit(rf'\s{name}="([^"]*)"'), 1), F.lit(0))
 
     num = lambda n: F.coalesce(attr(geo, n).try_cast("double"), F.lit(0.0))
     return cells.select(
