@@ -26,6 +26,9 @@ def teta(gt: DataFrame, trk: DataFrame, pairs: DataFrame, seq: str, overlap_thre
     and for others that its tracker rows name wrongly.
     """
     frame = [seq, "t"]
+    # Both passes and every term read these again and again: they are written once, with the columns that count.
+    gt, trk = cut(gt.select(*frame, "gt_id", "category_id")), cut(trk.select(*frame, "trk_id", "category_id"))
+    pairs = cut(pairs.select(*frame, "gt_id", "trk_id", "sim"))
     over = F.col("sim") >= overlap_threshold / 100.0
     blind = pairs.join(pairs.where(over).select(seq, "trk_id").distinct(), [seq, "trk_id"], "left_semi")
     objects = gt.select(*frame, "gt_id", F.col("category_id").alias("cls"))
