@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm import hashing, units
-from tessella.operators.cluster import star_contraction
+from tessella.operators.cluster import EDGE_LIMIT, solve_small, star_contraction
 from tessella.session import cut, scratch
 
 K = 32
@@ -161,9 +161,14 @@ def _ties(classes: DataFrame, percent: int, k: int) -> DataFrame:
     return kept.unionByName(long).distinct()
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    """(rep, g) of all classes that have an edge; g is the smallest id of the component."""
-    return cut(star_contraction(edges, []).select(F.col("node").alias("rep"), F.col("component").alias("g")))
+def _components(edges: DataFrame, limit: int = EDGE_LIMIT) -> DataFrame:
+    """(rep, g) of all classes that have an edge; g is the smallest id of the component.
+
+    Up to ``limit`` edges are solved in one task; the rounds of more leave the driver a plan and its statistics each.
+    """
+    edges = cut(edges.select("a", "b"))
+    found = solve_small(edges, []) if edges.count() <= limit else star_contraction(edges, [])
+    return cut(found.select(F.col("node").alias("rep"), F.col("component").alias("g")))
 
 
 def _sets(batches, size: int):

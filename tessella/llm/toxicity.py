@@ -133,8 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     size = F.octet_length("text")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").where(size <= sample_bytes // 100)
-    lengths = rows.select(F.xxhash64("_id").alias("h"), size.alias("n")).groupBy("h").agg(F.sum("n").alias("n")).toPandas().sort_values("h")
-    taken = lengths.h[lengths.n.cumsum() <= sample_bytes]
+    lengths = rows.select(F.xxhash64("_id").alias("h"), size.alias("n")).groupBy("h").agg(F.sum("n").alias("n")).toArrow().sort_by("h")
+    taken = lengths["h"].to_numpy()[np.cumsum(lengths["n"].to_numpy()) <= sample_bytes]
     rows = rows.where(F.xxhash64("_id") <= int(taken.max()) if len(taken) else F.lit(False)).select("text", "_y")
 
     def held(batches):
@@ -145,9 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(pairs & ((1 << BITS) - 1))], ["feature"])
 
     # A feature of very few documents tells little about others, and is not sent to the driver.
-    often = rows.mapInArrow(held, "feature long").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toPandas()
+    often = rows.mapInArrow(held, "feature long").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).select("feature").toArrow()
     known = np.zeros(1 << BITS, bool)
-    known[often.feature.to_numpy(np.int64)] = True
+    known[often["feature"].to_numpy()] = True
 
     def bagged(batches):
         for rb, buf, offs in units.chunks(batches, "text"):
@@ -157,8 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bag.kept_firsts(), pa.int32()), words), rb.column(1)], ["bag", "y"])
 
-    got = rows.mapInArrow(bagged, "bag array<array<int>>, y int").toArrow().combine_chunks()
-    return _fit(got, steps, known)
+    model = _fit(rows.mapInArrow(bagged, "bag array<array<int>>, y int").toArrow(), steps, known)
+    pa.default_memory_pool().release_unused()  # the sample is done with, and the driver goes on
+    return model
 
 
 def _fit(got: pa.Table, steps: int, known: np.ndarray) -> Model:
@@ -166,12 +167,13 @@ def _fit(got: pa.Table, steps: int, known: np.ndarray) -> Model:
     w, bias = np.zeros(1 << BITS), -6.0
     if not got.num_rows:
         return Model(w.astype(np.float32), bias, known)
-    bags = got.column("bag").combine_chunks()
-    y = got.column("y").to_numpy()
-    sent = bags.flatten()
-    firsts = np.append(0, np.cumsum(bags.value_lengths().to_numpy()))
-    bounds = np.append(0, np.cumsum(sent.value_lengths().to_numpy()))
-    feature = sent.flatten().to_numpy()
+    # Chunk by chunk: the sample is not copied as a whole but for its features.
+    bags, y = got.column("bag").chunks, got.column("y").to_numpy()
+    firsts = np.append(0, np.cumsum(np.concatenate([b.value_lengths().to_numpy() for b in bags])))
+    sent = [b.flatten() for b in bags]
+    bounds = np.append(0, np.cumsum(np.concatenate([s.value_lengths().to_numpy() for s in sent])))
+    feature = np.concatenate([s.flatten().to_numpy() for s in sent])
+    del got, bags, sent
     m, v, step = np.zeros(1 << BITS), np.zeros(1 << BITS), 0
     mb = vb = 0.0
     rng = np.random.default_rng(1)

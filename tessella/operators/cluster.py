@@ -25,14 +25,14 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], id_col:
     e = cut(edges.select(*keys, "a", "b").where(F.col("a") != F.col("b")))
     hot = hot_groups(e, keys, limit)
     if hot.isEmpty():
-        labels = _solve_small(e, keys)
+        labels = solve_small(e, keys)
     else:
-        labels = _solve_small(e.join(hot, keys, "left_anti"), keys).unionByName(star_contraction(e.join(hot, keys, "left_semi"), keys))
+        labels = solve_small(e.join(hot, keys, "left_anti"), keys).unionByName(star_contraction(e.join(hot, keys, "left_semi"), keys))
     labels = labels.withColumnRenamed("node", id_col)
     return ids.join(labels, [*keys, id_col], "left").withColumn("component", F.coalesce("component", id_col))
 
 
-def _solve_small(edges: DataFrame, keys) -> DataFrame:
+def solve_small(edges: DataFrame, keys) -> DataFrame:
     lists = edges.groupBy(*keys).agg(F.collect_list("a").alias("_a"), F.collect_list("b").alias("_b"))
     nkeys = len(keys)
 
