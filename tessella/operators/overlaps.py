@@ -103,6 +103,11 @@ def resolve_priority(df: DataFrame, overlaps: DataFrame, keys: Sequence[str], id
     return df.join(overlaps.select(*keys, loser.alias(id_col)).distinct(), [*keys, id_col], "left_anti")
 
 
+def _once(df: DataFrame, col: str) -> DataFrame:
+    """``df`` with ``col`` worked out once per row: a filter is not moved before what explodes, so it does not repeat a long expression."""
+    return df.withColumn(col, F.explode(F.array(col)))
+
+
 def resolve_layers(df: DataFrame, overlaps: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
     """Put a container one layer below the lowest row it contains.
 
@@ -110,7 +115,7 @@ def resolve_layers(df: DataFrame, overlaps: DataFrame, keys: Sequence[str], id_c
     is still its own when its container looks at it: the fold collapses to one minimum.
     """
     lowest = (
-        overlaps.where("relationship = 'contains'")
+        _once(overlaps, "relationship").where("relationship = 'contains'")
         .groupBy(*keys, F.col(f"a_{id_col}").alias(id_col))
         .agg((F.min("b_layer_level") - 1).alias("_below"))
     )
@@ -127,7 +132,8 @@ def structure_suggestions(overlaps: DataFrame, keys: Sequence[str], id_col: str)
         .when(F.col("relationship") == "stacked", "stacked_layers")
         .when(F.col("relationship") == "overlaps", "partial_overlap")
     )
-    return overlaps.withColumn("suggestion", kind).where(F.col("suggestion").isNotNull()).select(
+    known = F.col("relationship").isin("contains", "stacked", "overlaps")
+    return _once(overlaps, "relationship").where(known).withColumn("suggestion", kind).select(
         *keys, F.col(f"a_{id_col}").alias("lower_id"), F.col(f"b_{id_col}").alias("upper_id"), "suggestion"
     )
 
