@@ -181,22 +181,33 @@ BOXES = 1024  # of a group whose area is taken inside one task
 def union_area(df: DataFrame, keys: Sequence[str], cell: float | None = None, limit: int = BOXES) -> DataFrame:
     """Area covered by at least one box per group.
 
-    Boxes are cut at the lines of a coarse grid first, so a group is worked on cell by cell. A cell of up to ``limit`` boxes is one
-    list, whose area one task takes; the boxes of fuller cells are cut into slabs by joins. What is written is a number for
-    each list and the boxes of fuller cells.
+    A group of up to ``limit`` boxes is one list, whose area one task takes. Boxes of larger groups are cut at the lines of a coarse grid,
+    whose cells are worked on likewise; the boxes of fuller cells are cut into slabs by joins. What is written is a number for
+    each list and the boxes of larger groups.
     """
     keys = list(keys)
     boxes = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in XY]).where("x2 > x1 AND y2 > y1")
-    part = keys
-    if cell is not None:
+    found, rest = _listed_areas(boxes, keys, limit)
+    part, found = keys, found.select(*keys, "_a")
+    large = not rest.isEmpty()
+    if large and cell is not None:
+        part = [*keys, "_cx", "_cy"]
         ix = F.sequence(F.floor(F.col("x1") / cell), F.ceil(F.col("x2") / cell) - 1)
         iy = F.sequence(F.floor(F.col("y1") / cell), F.ceil(F.col("y2") / cell) - 1)
-        boxes = boxes.withColumn("_cx", F.explode(ix)).withColumn("_cy", F.explode(iy))
-        boxes = boxes.select(
-            *keys, "_cx", "_cy", F.greatest("x1", F.col("_cx") * cell).alias("x1"), F.greatest("y1", F.col("_cy") * cell).alias("y1"),
+        boxes = rest.withColumn("_cx", F.explode(ix)).withColumn("_cy", F.explode(iy)).select(
+            *part, F.greatest("x1", F.col("_cx") * cell).alias("x1"), F.greatest("y1", F.col("_cy") * cell).alias("y1"),
             F.least("x2", (F.col("_cx") + 1) * cell).alias("x2"), F.least("y2", (F.col("_cy") + 1) * cell).alias("y2"),
         )
-        part = [*keys, "_cx", "_cy"]
+        cells, rest = _listed_areas(boxes, part, limit)
+        found = found.unionByName(cells.select(*keys, "_a"))
+        large = not rest.isEmpty()
+    if large:
+        found = found.unionByName(_slab_areas(rest, part).select(*keys, "_a"))
+    return found.groupBy(*keys).agg(F.sum("_a").alias("covered"))
+
+
+def _listed_areas(boxes: DataFrame, part: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """(part, _a) of groups of up to ``limit`` boxes, and the distinct boxes of the others."""
     large = F.count(F.lit(1)).over(W.partitionBy(*part)) > limit
     own = F.when(F.col("_large"), F.struct(*XY)).alias("_box")
     lists = boxes.withColumn("_large", large).groupBy(*part, own).agg(F.collect_set(F.struct(*XY)).alias("_b"))
@@ -219,10 +230,7 @@ def union_area(df: DataFrame, keys: Sequence[str], cell: float | None = None, li
 
     types = {f.name: f for f in lists.schema.fields}
     done = cut(lists.mapInArrow(areas, T.StructType([*[types[c] for c in (*part, "_box")], T.StructField("_a", T.DoubleType())])))
-    found, rest = done.where("_box IS NULL").select(*keys, "_a"), done.where("_box IS NOT NULL").select(*part, "_box.*")
-    if not rest.isEmpty():
-        found = found.unionByName(_slab_areas(rest, part).select(*keys, "_a"))
-    return found.groupBy(*keys).agg(F.sum("_a").alias("covered"))
+    return done.where("_box IS NULL").select(*part, "_a"), done.where("_box IS NOT NULL").select(*part, "_box.*")
 
 
 SLABS = 1 << 21

@@ -71,9 +71,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def det(spark: SparkSession, sf: str) -> DataFrame:
-    """Detections: lineitem rows as boxes, 15 orders to an image."""
-    return spark.sql(_SPARK_DET.replace("FROM lineitem", "FROM {li}"), li=table(spark, sf, "lineitem"))
+ROWS = 1 << 20  # that one task sorts
+
+
+def det(spark: SparkSession, sf: str, rows: int = ROWS) -> DataFrame:
+    """Detections: lineitem rows as boxes, 15 orders to an image.
+
+    A larger table is dealt to more tasks than the session's shuffles have, so that a task takes about ``rows`` of it and no more memory.
+    """
+    li = table(spark, sf, "lineitem")
+    parts = -(-li.count() // rows)
+    dealt = _SPARK_DET if parts <= int(spark.conf.get("spark.sql.shuffle.partitions")) else _SPARK_DET.replace("REPARTITION(", f"REPARTITION({parts}, ")
+    return spark.sql(dealt.replace("FROM lineitem", "FROM {li}"), li=li)
 
 
 def gt(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,6 +15,20 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_detections_are_dealt_by_their_number(spark):
+    """K03_quality_report, X07_merge_runs: the tasks grow in number, not the rows of a task."""
+    n = relations.table(spark, SF, "lineitem").count()
+    d = relations.det(spark, SF, rows=500)
+    assert d.rdd.getNumPartitions() == -(-n // 500)
+    assert d.exceptAll(relations.det(spark, SF)).isEmpty() and d.count() == n
+
+
+def test_small_groups_are_not_cut_by_the_grid(spark):
+    """K03_quality_report: two boxes of a million units a side, which would be billions of cells."""
+    df = spark.createDataFrame([(1, 0.0, 0.0, 1e6, 1e6), (1, 5e5, 0.0, 2e6, 1e6), (2, 0.0, 0.0, 3.0, 4.0)], "g int, x1 double, y1 double, x2 double, y2 double")
+    assert {tuple(r) for r in ov.union_area(df, ["g"], cell=16.0).collect()} == {(1, 2e12), (2, 12.0)}
+
+
 def test_relationship_is_worked_out_once(spark):
     """X10_resolve_layers, X10_structure_suggestions: the filter on the label does not repeat the expression behind it."""
     d = spark.createDataFrame([(0, 1, 0.0, 0.0, 9.0, 9.0, 5), (0, 2, 1.0, 1.0, 8.0, 8.0, 3)], "g int, id int, x1 double, y1 double, x2 double, y2 double, layer_level int")
