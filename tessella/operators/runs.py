@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -11,6 +12,7 @@ from tessella.operators.numbering import ordinal
 from tessella.session import cut
 
 CHUNK = 4096
+BATCH = 1 << 15  # rows that are Python objects at a time
 _XY = ("x1", "y1", "x2", "y2")
 
 
@@ -61,6 +63,16 @@ def merge_runs(df: DataFrame, keys: Sequence[str], id_col: str, chunk: int = CHU
     return out.select(*keys, *[F.get("run", F.lit(i)).alias(c) for i, c in enumerate(_XY)], F.get("run", F.lit(4)).cast("bigint").alias("members"))
 
 
+def _slices(rb: pa.RecordBatch, column: int, limit: int = BATCH):
+    """Slices of ``rb`` whose lists hold up to ``limit`` rows together, or one list."""
+    off = rb.column(column).offsets.to_numpy()
+    at = 0
+    while at < rb.num_rows:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+        yield rb.slice(at, to - at)
+        at = to
+
+
 def _apply(df: DataFrame, keys, what: str) -> DataFrame:
     """Refold the chunks: their open end, or the runs closed in them (with the open one in the last)."""
     nkeys = len(keys)
@@ -68,25 +80,28 @@ def _apply(df: DataFrame, keys, what: str) -> DataFrame:
 
     def fold(batches):
         for rb in batches:
-            lists, start = rb.column(nkeys + 1), rb.column(nkeys + 2).to_pylist()
-            off = lists.offsets.to_pylist()
-            vals = lists.values
-            xs = [vals.field(c).to_pylist() for c in _XY]
-            chunk = rb.column(nkeys).to_pylist()
-            last = rb.column(nkeys + 3).to_pylist() if what == "runs" else None
-            at, out = [], []
-            for g, (lo, hi) in enumerate(zip(off[:-1], off[1:])):
-                closed, state = _fold(zip(*[x[lo:hi] for x in xs]), start[g])
-                if what == "end":
-                    closed = [state]
-                elif chunk[g] == last[g]:
-                    closed.append(state)
-                at.extend([g] * len(closed))
-                out.extend([float(v) for v in r] for r in closed)
-            idx = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*[rb.column(k).take(idx) for k in range(nkeys + 1)], pa.array(out, pa.list_(pa.float64()))], [*keys, "_chunk", "run"]
-            )
+            yield from map(refold, _slices(rb, nkeys + 1))
+
+    def refold(rb):
+        lists, start = rb.column(nkeys + 1), rb.column(nkeys + 2).to_pylist()
+        off = lists.offsets.to_pylist()
+        vals = lists.values.slice(off[0], off[-1] - off[0])
+        xs = [vals.field(c).to_pylist() for c in _XY]
+        chunk = rb.column(nkeys).to_pylist()
+        last = rb.column(nkeys + 3).to_pylist() if what == "runs" else None
+        at, out = [], []
+        for g, (lo, hi) in enumerate(zip(off[:-1], off[1:])):
+            closed, state = _fold(zip(*[x[lo - off[0] : hi - off[0]] for x in xs]), start[g])
+            if what == "end":
+                closed = [state]
+            elif chunk[g] == last[g]:
+                closed.append(state)
+            at.extend([g] * len(closed))
+            out.extend([float(v) for v in r] for r in closed)
+        idx = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [*[rb.column(k).take(idx) for k in range(nkeys + 1)], pa.array(out, pa.list_(pa.float64()))], [*keys, "_chunk", "run"]
+        )
 
     types = {f.name: f.dataType for f in df.schema.fields}
     schema = T.StructType([T.StructField(k, types[k]) for k in [*keys, "_chunk"]] + [T.StructField("run", T.ArrayType(T.DoubleType()))])

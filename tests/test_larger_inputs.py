@@ -29,6 +29,13 @@ def test_small_groups_are_not_cut_by_the_grid(spark):
     assert {tuple(r) for r in ov.union_area(df, ["g"], cell=16.0).collect()} == {(1, 2e12), (2, 12.0)}
 
 
+def test_runs_are_folded_from_slices(spark):
+    """X07_merge_runs: lists of a batch become Python objects in parts."""
+    rb = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([[1, 2], [3, 4, 5, 6], [], [7]])], ["k", "rows"])
+    assert [s.column(0).to_pylist() for s in runs._slices(rb, 1, limit=3)] == [[1], [2], [3, 4]]
+    assert [s.column(0).to_pylist() for s in runs._slices(rb, 1)] == [[1, 2, 3, 4]]
+
+
 def test_relationship_is_worked_out_once(spark):
     """X10_resolve_layers, X10_structure_suggestions: the filter on the label does not repeat the expression behind it."""
     d = spark.createDataFrame([(0, 1, 0.0, 0.0, 9.0, 9.0, 5), (0, 2, 1.0, 1.0, 8.0, 8.0, 3)], "g int, id int, x1 double, y1 double, x2 double, y2 double, layer_level int")
