@@ -14,7 +14,10 @@ def point(p: Column, i: int) -> tuple[Column, Column]:
 
 def hull(p: Column) -> Box:
     """Bounding box of a point array."""
-    xs, ys = F.transform(p, lambda q: q["x"]), F.transform(p, lambda q: q["y"])
+    return _bounds(p["x"], p["y"])
+
+
+def _bounds(xs: Column, ys: Column) -> Box:
     return Box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
@@ -23,13 +26,19 @@ def rectangle(b: Box) -> Column:
 
 
 def merge_to_rectangle(p: Column, q: Column) -> Column:
-    return rectangle(hull(F.concat(p, q)))
+    return rectangle(_bounds(F.concat(p["x"], q["x"]), F.concat(p["y"], q["y"])))
 
 
 def shoelace(p: Column) -> Column:
+    """Area of a simple polygon; four points, the usual case, are added up without functions of arrays, which Spark does not compile."""
+    xs, ys = ([F.get(p[c], F.lit(i)) for i in (0, 1, 2, 3, 0)] for c in "xy")
+    four = F.lit(0.0)
+    for i in range(4):
+        four = four + (xs[i] * ys[i + 1] - ys[i] * xs[i + 1])
     rolled = F.concat(F.slice(p, 2, F.size(p) - 1), F.slice(p, 1, 1))
     cross = F.zip_with(p, rolled, lambda a, b: a["x"] * b["y"] - a["y"] * b["x"])
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
+    total = F.when(F.size(p) == 4, four).otherwise(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v))
+    return F.abs(total) / 2
 
 
 def quad_from_flat(flat: Column) -> Column:

@@ -36,6 +36,23 @@ def test_runs_are_folded_from_slices(spark):
     assert [s.column(0).to_pylist() for s in runs._slices(rb, 1)] == [[1, 2, 3, 4]]
 
 
+def test_polygons_without_functions_of_arrays(spark):
+    """P10_polygon_bounds: four points need no lambda for bounds and mergers; nulls and other sizes give what they gave."""
+    pt = "array<struct<x:double,y:double>>"
+    rows = [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]), (2, [(0.0, 0.0), (4.0, 0.0), (0.0, 3.0)]), (3, None), (4, [(0.0, 0.0), None, (2.0, 2.0)]), (5, [])]
+    df = spark.createDataFrame(rows, f"id int, p {pt}")
+    q = pg.rectangle(pg.Box(F.lit(5.0), F.lit(2.0), F.lit(30.0), F.lit(4.0)))
+    b, m = pg.hull(F.col("p")), pg.hull(pg.merge_to_rectangle(F.col("p"), q))
+    bounds = df.select("id", *[c.alias(n) for c, n in zip((*b, *m), "abcdefgh")])
+    assert "lambda" not in _plan(bounds)
+    none = (None,) * 4
+    assert {r[0]: tuple(r)[1:] for r in bounds.collect()} == {
+        1: (0, 0, 4, 3, 0, 0, 30, 4), 2: (0, 0, 4, 3, 0, 0, 30, 4), 3: none * 2, 4: (0, 0, 2, 2, 0, 0, 30, 4), 5: (*none, 5, 2, 30, 4),
+    }
+    area = {r[0]: r[1] for r in df.where("id <= 3").select("id", pg.shoelace(F.col("p"))).collect()}
+    assert area == {1: 12.0, 2: 6.0, 3: None}
+
+
 def test_relationship_is_worked_out_once(spark):
     """X10_resolve_layers, X10_structure_suggestions: the filter on the label does not repeat the expression behind it."""
     d = spark.createDataFrame([(0, 1, 0.0, 0.0, 9.0, 9.0, 5), (0, 2, 1.0, 1.0, 8.0, 8.0, 3)], "g int, id int, x1 double, y1 double, x2 double, y2 double, layer_level int")
