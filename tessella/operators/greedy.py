@@ -25,6 +25,7 @@ from tessella.operators.spatial import cross_pairs, span_for_ratio
 from tessella.session import cut
 
 LIMIT = 1024
+PAIRS = 1 << 18
 _XY = ("x1", "y1", "x2", "y2")
 
 
@@ -32,7 +33,7 @@ _XY = ("x1", "y1", "x2", "y2")
 class Conflict:
     """A symmetric pair rule, once for Arrow columns inside a task and once as a Column."""
 
-    rows: Callable[[dict, int, slice], np.ndarray]
+    rows: Callable[[dict, np.ndarray, np.ndarray], np.ndarray]  # row by row of the pairs
     columns: Callable[[str, str], Column]
     span: int | None = None
     pad: float = 0.0
@@ -91,6 +92,30 @@ def closer_than(distance: float) -> Conflict:
     return Conflict(rows, columns, pad=distance)
 
 
+def _hits(cols: dict, offsets: np.ndarray, conflict: Conflict):
+    """(row, the later rows of its group that it conflicts with), in order; rows without any are left out.
+
+    The pairs of many groups are tested together, up to ``PAIRS`` or those of one group.
+    """
+    size = np.diff(offsets).astype(np.int64)
+    work = np.append(0, np.cumsum(size * (size - 1) // 2))
+    g = 0
+    while g < len(size):
+        to = max(g + 1, int(np.searchsorted(work, work[g] + PAIRS, "right")) - 1)
+        row = np.arange(offsets[g], offsets[to])
+        later = np.repeat(offsets[g + 1 : to + 1], size[g:to]) - row - 1
+        first = np.repeat(row, later)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
+        hit = np.flatnonzero(conflict.rows(cols, first, second))
+        first, second = first[hit], second[hit]
+        if len(hit):
+            starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+            ends = np.append(starts[1:], len(first))
+            for i, a, b in zip(first[starts].tolist(), starts.tolist(), ends.tolist()):
+                yield i, second[a:b]
+        g = to
+
+
 def _fold_groups(keys: Sequence[str], id_col: str, conflict: Conflict, tiled: bool, owners: bool):
     """Arrow function over (keys, list of rows in rank order)."""
     nkeys = len(keys)
@@ -108,18 +133,15 @@ def _fold_groups(keys: Sequence[str], id_col: str, conflict: Conflict, tiled: bo
             dropped = np.zeros(n, bool)
             blocked = np.zeros(n, bool)
             owner = np.arange(n)
-            for lo, hi in zip(offsets[:-1], offsets[1:]):
-                for i in range(lo, hi):
-                    if dropped[i]:
-                        continue
-                    rest = slice(i + 1, hi)
-                    hit = conflict.rows(cols, i, rest)
-                    if shared[i] or blocked[i]:
-                        blocked[rest] |= hit
-                    else:
-                        if owners:
-                            owner[rest][hit & ~dropped[rest]] = i
-                        dropped[rest] |= hit
+            for i, hit in _hits(cols, offsets, conflict):
+                if dropped[i]:
+                    continue
+                if shared[i] or blocked[i]:
+                    blocked[hit] = True
+                else:
+                    if owners:
+                        owner[hit[~dropped[hit]]] = i
+                    dropped[hit] = True
             at = np.repeat(np.arange(rb.num_rows), np.diff(offsets))
             if tiled:
                 verdict = np.where(dropped, 2, np.where(blocked, 1, 0)).astype(np.int32)

@@ -62,3 +62,18 @@ def test_relationship_is_worked_out_once(spark):
         assert _plan(out).count("stacked") <= 4
 
 
+def test_conflicts_of_many_groups_are_tested_together():
+    """X02_cross_group_nms: one call of the rule for all pairs of small groups, in the order of the rows."""
+    rng = np.random.default_rng(3)
+    offsets = np.append(0, np.cumsum(rng.integers(0, 9, 200)))
+    xy = rng.integers(0, 12, (offsets[-1], 2)).astype(float)
+    cols = {"x1": xy[:, 0], "y1": xy[:, 1], "x2": xy[:, 0] + 6, "y2": xy[:, 1] + 6}
+    rule, calls = greedy.iou_above(0.3), []
+    got = {i: hit.tolist() for i, hit in greedy._hits(cols, offsets, greedy.Conflict(lambda *a: calls.append(1) or rule.rows(*a), None))}
+    want = {}
+    for lo, hi in zip(offsets[:-1], offsets[1:]):
+        for i in range(lo, hi):
+            hit = i + 1 + np.flatnonzero(rule.rows(cols, i, slice(i + 1, hi)))
+            if len(hit):
+                want[i] = hit.tolist()
+    assert got == want and list(got) == sorted(got) and len(calls) == 1
