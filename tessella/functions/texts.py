@@ -248,7 +248,8 @@ def refinement_ok(original: Column, latex: Column) -> Column:
 def comparable(text: Column) -> Column:
     """Lower case without blanks, brackets and formula commands."""
     t = F.regexp_replace(F.lower(text), r"[\s$\\{}\[\]]", "")
-    return F.regexp_replace(t, r"[a-z]+bf|mathbf|frac|theta|pi|approx|sum|mathbb", "")
+    # A run of letters that has no bf after its first letter has none after a later one: it is looked through once, not from each letter.
+    return F.regexp_replace(t, r"(?<![a-z])[a-z]+bf|mathbf|frac|theta|pi|approx|sum|mathbb", "")
 
 
 # --- N09 / N11 / N15 -------------------------------------------------------------------

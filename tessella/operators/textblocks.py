@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -144,6 +144,38 @@ def fuse_sources(blocks: DataFrame, formulas: DataFrame, key: str, overlap: floa
     return cleaned.unionByName(rest.withColumn("is_latex", F.lit(False)), allowMissingColumns=True)
 
 
+def common_length(a: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of a text of ``n`` characters, given by the places of each as bits, and ``b``."""
+    full = rest = (1 << n) - 1
+    for c in b:
+        at = a.get(c)
+        if at is not None:
+            hit = rest & at
+            rest = ((rest + hit) | (rest - hit)) & full
+    return n - rest.bit_count()
+
+
+def ratios(a: Iterable[str], b: Iterable[str], threshold: float) -> list[float]:
+    """Matching-block ratio of each pair, or 0 where it can't exceed ``threshold``.
+
+    Matching blocks are a common subsequence, so the longest one bounds them; few pairs of unlike texts come near the threshold.
+    """
+    from difflib import SequenceMatcher
+
+    out, last, places = [], None, {}
+    for p, q in zip(a, b):
+        if p == q:
+            out.append(1.0)
+            continue
+        if p != last:
+            last, places = p, {}
+            for i, c in enumerate(p):
+                places[c] = places.get(c, 0) | 1 << i
+        near = 2 * common_length(places, len(p), q) / (len(p) + len(q)) > threshold
+        out.append(SequenceMatcher(None, p, q).ratio() if near else 0.0)
+    return out
+
+
 def similar_texts(left: DataFrame, right: DataFrame, key: str, threshold: float) -> DataFrame:
     """(key, text) of left texts whose matching-block ratio with a right text exceeds ``threshold``.
 
@@ -166,13 +198,7 @@ def similar_texts(left: DataFrame, right: DataFrame, key: str, threshold: float)
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        out = []
-        for p, q in zip(a, b):
-            m = SequenceMatcher(None, p, q)
-            out.append(m.ratio() if m.quick_ratio() > threshold else 0.0)
-        return pd.Series(out)
+        return pd.Series(ratios(a, b, threshold), dtype="float64")
 
     hits = pairs.where(ratio("_a", "_b") > threshold).select(key, "_a").distinct()
     return lt.join(hits, [key, "_a"], "left_semi").select(key, "text").distinct()
