@@ -23,7 +23,7 @@ from pyspark.taskcontext import TaskContext
 
 from tessella.llm import hashing, units
 from tessella.llm.suffix_dedup import release
-from tessella.session import scratch
+from tessella.session import scratch, small_batches
 
 #: Bytes of text of a block.
 BLOCK = 12 << 20
@@ -49,6 +49,7 @@ def collocations(docs: DataFrame, least: int = 100, keep: int = 2000, percent: i
     A null language is ``und``, a null text is empty, repeated rows count each time, other columns are not read, an empty
     table gives an empty result. A text over ``block`` bytes is a block of its own.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text_col).alias("text"))
     stored = _written(rows.mapInArrow(lambda b: _blocks(b, block), f"{_RELATION}, n long"))
     total = stored.groupBy("lang").agg(F.sum("n").alias("n"))
@@ -76,8 +77,9 @@ def collocations(docs: DataFrame, least: int = 100, keep: int = 2000, percent: i
 
 
 def _written(df: DataFrame) -> DataFrame:
+    """Written as it is: relations are compressed already, and a codec would hold a page of many such rows, twice, outside the heap."""
     folder = scratch(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.option("compression", "uncompressed").parquet(folder)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

@@ -57,10 +57,20 @@ def tune(spark: SparkSession) -> None:
     their join easily get there. Under this limit Spark splits such a stage into smaller
     methods instead of fusing it, which makes pair joins several times faster.
     """
-    wanted = {"spark.sql.codegen.hugeMethodLimit": ("65535", "8000")}
-    for key, (default, value) in wanted.items():
-        if spark.conf.get(key, default) == default:
-            spark.conf.set(key, value)
+    _set_unless_changed(spark, "spark.sql.codegen.hugeMethodLimit", "65535", "8000")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of about 4 MB; a value a user has set is left alone.
+
+    Spark's own 64 MB are held several times: by the task's writer, whose buffers double, by the worker, and by what it makes of them.
+    """
+    _set_unless_changed(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
+
+
+def _set_unless_changed(spark: SparkSession, key: str, default: str, value: str) -> None:
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, value)
 
 
 def scratch(spark: SparkSession) -> str:
