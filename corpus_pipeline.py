@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessella.llm import near_dup, packing, secret_scan, suffix_dedup, toxicity
 from tessella.llm.queries import WORDS
 from tessella.llm.units import unused
-from tessella.session import scratch
+from tessella.session import scratch, small_batches
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are clean. Rows without an id and repeated rows are scored like others; columns stay as they are.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out("doc_id", 3, 1))
     return toxicity.keep_clean(docs, toxicity.train(docs, labels), 0.7)
 
@@ -26,6 +27,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     compared by their whole text only: one of each text stays, and none where the text also stands under an id.
     Rows with neither id nor text all stay.
     """
+    small_batches(spark)
     gone = near_dup.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id").distinct()
     digest = unused("digest", docs.columns)
     marked = docs.withColumn(digest, F.sha2("text", 256))
@@ -42,16 +44,19 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null, repeated rows are each other's repeats, ids are not read.
     """
+    small_batches(spark)
     return _counted(suffix_dedup.without_repeats(docs, 200))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document is dropped. A null text stays null, ids are not read."""
+    small_batches(spark)
     return _counted(secret_scan.redact(docs, secret_scan.scan(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of 4096 tokens; a null text is empty, repeated rows and rows without an id are packed each."""
+    small_batches(spark)
     return packing.pack_documents(docs, WORDS, capacity=4096, end_id=1)
 
 
