@@ -12,80 +12,79 @@ from tessella.streaming.tracker import COLUMNS, OUTPUT, Settings, flush, fresh,
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _BOX = "x1 double, y1 double, x2 double, y2 double"
-_WAITING = f"dets array<struct<det_id:bigint,score:double,{_BOX.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def _typed(columns: str) -> str:
+    """The fields of a struct, from a list of columns."""
+    return columns.replace(", ", ",").replace(" ", ":")
+
+
+_WAITING = f"dets array<struct<det_id:bigint,score:double,{_typed(_BOX)}>>"
+_STATE = (
+    f"next bigint, done bigint, slots int, gone array<bigint>, ends bigint, tracks array<struct<obj_id:bigint,{_typed(_BOX)},first:bigint,keep:int,missed:int>>, "
+    f"pairs array<struct<older:bigint,younger:bigint,n:int>>, held array<struct<slot:int,{_typed(OUTPUT)}>>"
+)
 _ROW = Row(*COLUMNS)
 
 
 class Videos(StatefulProcessor):
-    """State of a video: ``tracks`` by object, ``pairs`` of objects that overlapped, ``waiting`` detections by frame, rows ``held`` back,
-    and the ``clock``. Only what a batch of rows has changed is written."""
+    """State of a video: one value with what a step needs whole anyway (live tracks, pairs of objects that overlapped, rows held
+    back, the clock), and by frame the detections that a batch has left ``waiting``.
+
+    Each call of the state is a round trip to the JVM: a value is one, however many tracks and pairs a video has."""
 
     def __init__(self, cfg: Settings, idle_ms: int | None):
         self.cfg, self.idle_ms = cfg, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tracks = handle.getMapState("tracks", "obj_id bigint", f"{_BOX}, first bigint, keep int, missed int")
-        self.pairs = handle.getMapState("pairs", "older bigint, younger bigint", "n int")
+        self.state = handle.getValueState("state", _STATE)
         self.waiting = handle.getMapState("waiting", "frame bigint", _WAITING)
-        self.held = handle.getListState("held", f"slot int, {OUTPUT}")
-        self.clock = handle.getValueState("clock", "next bigint, done bigint, slots int, gone array<bigint>, ends bigint")
 
     def _load(self) -> dict:
         s = {**fresh(), "done": None, "ends": None}
-        if not self.clock.exists():
+        kept = self.state.get()
+        if kept is None:
             return s
-        next_, done, slots, gone, ends = self.clock.get()
+        next_, done, slots, gone, ends, tracks, pairs, held = kept
         s |= {"next": next_, "done": done, "gone": list(gone), "ends": ends, "buffer": [[] for _ in range(slots)]}
-        s["tracks"] = {str(k[0]): {"box": list(v[:4]), "first": v[4], "keep": v[5], "missed": v[6]} for k, v in sorted(self.tracks.iterator(), key=lambda x: x[0][0])}
-        s["pairs"] = {f"{k[0]},{k[1]}": v[0] for k, v in self.pairs.iterator()}
-        for row in self.held.get():
+        s["tracks"] = {str(t[0]): {"box": list(t[1:5]), "first": t[5], "keep": t[6], "missed": t[7]} for t in tracks}
+        s["pairs"] = {f"{older},{younger}": n for older, younger, n in pairs}
+        for row in held:
             s["buffer"][row[0]].append(list(row[1:]))
         return s
 
-    def _store(self, s: dict, before: dict) -> None:
-        flat = lambda t: (*t["box"], t["first"], t["keep"], t["missed"])
-        for name, row in before["tracks"].items():
-            if name not in s["tracks"]:
-                self.tracks.removeKey((int(name),))
-        for name, t in s["tracks"].items():
-            if flat(t) != before["tracks"].get(name):
-                self.tracks.updateValue((int(name),), flat(t))
-        pair = lambda k: tuple(map(int, k.split(",")))
-        for k in before["pairs"].keys() - s["pairs"].keys():
-            self.pairs.removeKey(pair(k))
-        for k, n in s["pairs"].items():
-            if n != before["pairs"].get(k):
-                self.pairs.updateValue(pair(k), (n,))
-        rows = [(i, *r) for i, frame in enumerate(s["buffer"]) for r in frame]
-        if rows:
-            self.held.put(rows)
-        else:
-            self.held.clear()
-        self.clock.update((s["next"], s["done"], len(s["buffer"]), s["gone"], s["ends"]))
-
-    @staticmethod
-    def _copy(s: dict) -> dict:
-        return {"tracks": {k: (*t["box"], t["first"], t["keep"], t["missed"]) for k, t in s["tracks"].items()}, "pairs": dict(s["pairs"])}
+    def _store(self, s: dict) -> None:
+        tracks = [(int(name), *t["box"], t["first"], t["keep"], t["missed"]) for name, t in sorted(s["tracks"].items(), key=lambda x: int(x[0]))]
+        pairs = [(*map(int, k.split(",")), n) for k, n in s["pairs"].items()]
+        held = [(i, *r) for i, frame in enumerate(s["buffer"]) for r in frame]
+        self.state.update((s["next"], s["done"], len(s["buffer"]), s["gone"], s["ends"], tracks, pairs, held))
 
     def _clear(self) -> None:
-        for state in (self.tracks, self.pairs, self.waiting, self.held, self.clock):
+        for state in (self.state, self.waiting):
             state.clear()
 
-    def _work_off(self, s: dict, video: int, frames: list[int]) -> list[tuple]:
+    def _work_off(self, s: dict, video: int, frames: list[int], came: dict[int, list[tuple]], old: set[int]) -> list[tuple]:
+        """``came``: detections of this batch by frame; ``old``: frames of which earlier batches left some."""
         out: list[tuple] = []
         for f in frames:
-            (dets,) = self.waiting.getValue((f,))
-            self.waiting.removeKey((f,))
+            dets = came.get(f, [])
+            if f in old:
+                dets = self._left(f) + dets
+                self.waiting.removeKey((f,))
             if s["done"] is not None:
                 out.extend(skip(s, video, s["done"], f, self.cfg))
-            out.extend(step(s, video, f, sorted(tuple(d) for d in dets), self.cfg))
+            out.extend(step(s, video, f, sorted(dets), self.cfg))
             s["done"] = f
         return out
 
+    def _left(self, frame: int) -> list[tuple]:
+        (dets,) = self.waiting.getValue((frame,))
+        return [tuple(d) for d in dets]
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         video, s = key[0], self._load()
-        before, out, came, last, newest = self._copy(s), [], {}, False, None
+        out, came, last, newest = [], {}, False, None
         for r in rows:
             last |= bool(r.is_last)
             newest = r.at_ms if newest is None or (r.at_ms is not None and r.at_ms > newest) else newest
@@ -95,11 +94,12 @@ class Videos(StatefulProcessor):
                 out.append((video, r.frame, None, r.det_id, "late", None, None, None, r.x1, r.y1, r.x2, r.y2))
             else:
                 came.setdefault(r.frame, []).append((r.det_id, r.score, r.x1, r.y1, r.x2, r.y2))
-        for f, dets in came.items():
-            old = list(self.waiting.getValue((f,))[0]) if self.waiting.containsKey((f,)) else []
-            self.waiting.updateValue((f,), ([tuple(d) for d in old] + dets,))
-        known = sorted(k[0] for k in self.waiting.keys())
-        out.extend(self._work_off(s, video, [f for f in known if last or f < known[-1] - self.cfg.reorder]))
+        old = {k[0] for k in self.waiting.keys()}
+        known = sorted(old | came.keys())
+        due = [f for f in known if last or f < known[-1] - self.cfg.reorder]
+        out.extend(self._work_off(s, video, due, came, old))
+        for f in came.keys() - set(due):
+            self.waiting.updateValue((f,), ((self._left(f) if f in old else []) + came[f],))
         if self.idle_ms is not None and newest is not None and (last or s["ends"] is None or newest + self.idle_ms > s["ends"]):
             if s["ends"] is not None:
                 self.handle.deleteTimer(s["ends"])
@@ -110,13 +110,14 @@ class Videos(StatefulProcessor):
             out.extend(flush(s))
             self._clear()
         else:
-            self._store(s, before)
+            self._store(s)
         yield from (_ROW(*r) for r in out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """A video that has been silent for long is over: what waits is worked off, what was held back comes out."""
         s = self._load()
-        out = self._work_off(s, key[0], sorted(k[0] for k in self.waiting.keys())) + flush(s)
+        old = {k[0] for k in self.waiting.keys()}
+        out = self._work_off(s, key[0], sorted(old), {}, old) + flush(s)
         self._clear()
         yield from (_ROW(*r) for r in out)
 
