@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tessella.operators import assign as asg, evalmetrics as ev, greedy
 from tessella.functions.boxes import box
@@ -42,10 +44,19 @@ _ROWS = with_views("det", "apart", "gt_apart", "gt_other") + ", " + _rows_sql("g
 
 def _rows(spark, sf, truth: str = "gt_apart", found: str = "apart"):
     """Scores of the assigned pairs, over all images, ground truth and predictions of half the top score."""
-    every, g = rel(spark, sf, found), rel(spark, sf, truth)
+    return _rows_of_sets(spark, sf, [truth], found).drop("gt_set")
+
+
+def _rows_of_sets(spark, sf, truths: list[str], found: str = "apart"):
+    """``_rows`` against several sets of ground truth, numbered in ``gt_set``: all their pairs are listed and assigned at once."""
+    every = rel(spark, sf, found)
     d = every.where("score >= 50000")
-    matches = asg.assign(ev.iou_pairs(g, d, ["image_id"]), ["image_id"], "gt_id", "det_id", "iou")
-    return ev.image_scores(every.select("image_id").distinct(), g, d, matches, ["image_id"])
+    sets = [rel(spark, sf, t).withColumn("gt_set", F.lit(k)) for k, t in enumerate(truths)]
+    g = reduce(DataFrame.unionByName, [s.select("image_id", "gt_id", "x1", "y1", "x2", "y2", "gt_set") for s in sets])
+    matches = asg.assign(ev.iou_pairs(g, d, ["image_id"], carry=["gt_set"]), ["image_id", "gt_set"], "gt_id", "det_id", "iou")
+    images = every.select("image_id").distinct()
+    rows = [ev.image_scores(images, s, d, matches.where(F.col("gt_set") == k), ["image_id"]).withColumn("gt_set", F.lit(k)) for k, s in enumerate(sets)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(
@@ -125,7 +136,7 @@ p AS (SELECT a.image_id, CASE WHEN b.mean IS NULL THEN 1 WHEN a.mean IS NULL THE
 SELECT two.image_id, two.threshold, two.gt_set FROM two JOIN p ON p.image_id = two.image_id AND p.gt_set = two.gt_set""",
 )
 def a10(spark, sf):
-    two = _rows(spark, sf).withColumn("gt_set", F.lit(0)).unionByName(_rows(spark, sf, "gt_other").withColumn("gt_set", F.lit(1)))
+    two = _rows_of_sets(spark, sf, ["gt_apart", "gt_other"])
     return ev.best_ground_truth(two, ["image_id"], "gt_set").select("image_id", "threshold", "gt_set")
 
 
@@ -135,7 +146,7 @@ SQL["gt_second"] = "SELECT image_id, det_id AS gt_id, x1 + category_id - 4 AS x1
 
 @query("A10_best_ground_truth_crowded")
 def a10_crowded(spark, sf):
-    two = _rows(spark, sf, "gt", "det").withColumn("gt_set", F.lit(0)).unionByName(_rows(spark, sf, "gt_second", "det").withColumn("gt_set", F.lit(1)))
+    two = _rows_of_sets(spark, sf, ["gt", "gt_second"], "det")
     return ev.best_ground_truth(two, ["image_id"], "gt_set").select("image_id", "threshold", "gt_set")
 
 

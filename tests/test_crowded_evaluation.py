@@ -5,7 +5,7 @@ from functools import cache
 
 import pytest
 
-from tessella.plans import load, registry
+from tessella.plans import load, q_eval, registry, relations
 from tessella.plans.relations import det, gt
 
 
@@ -78,3 +78,22 @@ def test_greedy_matches_among_rivals(spark, crowded):
                 taken.update(free[:1])
                 want[a.det_id, t] = 1 if free else None if len(real) < len(near) else 0
     assert got == want and second
+
+
+def test_sets_of_ground_truth_among_rivals(spark, crowded):
+    """A10_best_ground_truth_crowded: sets assigned together score as each does by itself."""
+    folder, d, g = crowded
+    both = q_eval._rows_of_sets(spark, folder, ["gt", "gt_second"], "det")
+    for k, truth in enumerate(("gt", "gt_second")):
+        alone = q_eval._rows(spark, folder, truth, "det")
+        own = both.where(f"gt_set = {k}").drop("gt_set").select(alone.columns)
+        assert sorted(own.collect()) == sorted(alone.collect())
+    second = relations.rel(spark, folder, "gt_second").collect()
+    for k in d:
+        found = [r for r in d[k] if r.score >= 50_000]
+        s = tuple(tuple(iou(a, b) for b in found) for a in second if a.image_id == k)
+        rows = both.where(f"gt_set = 1 AND image_id = {k}").collect()
+        assert {r.n_gt for r in rows} == {len(s)} and len(rows) == 10
+        if len(found) == 1 or len(s) == 1:
+            best = largest_total(s)
+            assert all(r.tp == (best >= r.threshold / 100) for r in rows)

@@ -5,8 +5,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessella.functions import polygons as pg
-from tessella.operators import greedy, overlaps as ov, runs
-from tessella.plans import relations
+from tessella.operators import evalmetrics as ev, greedy, overlaps as ov, runs
+from tessella.plans import load, q_eval, registry, relations
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +77,34 @@ def test_conflicts_of_many_groups_are_tested_together():
             if len(hit):
                 want[i] = hit.tolist()
     assert got == want and list(got) == sorted(got) and len(calls) == 1
+
+
+def _dealings(df) -> int:
+    """How often the plan that ran deals detections by image."""
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("REPARTITION_BY_COL" in line and "Reused" not in line for line in final.splitlines())
+
+
+def test_sets_of_ground_truth_share_one_dealing(spark, monkeypatch):
+    """A10_best_ground_truth: pairs of both sets come from one dealing of the detections and are assigned once."""
+    load()
+    seen, assign = [], q_eval.asg.assign
+    monkeypatch.setattr(q_eval.asg, "assign", lambda pairs, *a: seen.append(pairs) or assign(pairs, *a))
+    registry.QUERIES["A10_best_ground_truth"](spark, SF)
+    assert len(seen) == 1
+    seen[0].collect()
+    assert _dealings(seen[0]) == 1
+
+
+def test_hits_meet_counts_before_thresholds(spark):
+    """A10_best_ground_truth and others that score images: a join sees one row of an image, not one per threshold."""
+    image = spark.createDataFrame([(1,), (2,), (3,)], "image_id long")
+    g = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "image_id long, gt_id long")
+    d = spark.createDataFrame([(1, 7), (1, 8)], "image_id long, det_id long")
+    m = spark.createDataFrame([(1, 1, 7, 0.55), (1, 2, 8, 0.95)], "image_id long, gt_id long, det_id long, iou double")
+    s = ev.image_scores(image, g, d, m, ["image_id"])
+    plan = _plan(s)
+    assert plan.index("Generate") < plan.index("Join") and plan.count("Generate") == 1
+    assert {(r.image_id, r.threshold): (r.tp, r.fp, r.fn) for r in s.collect()} == {
+        (i, t): (0, 0, int(i == 2)) if i > 1 else (1 + (t <= 55), int(t > 55), int(t > 55)) for i in (1, 2, 3) for t in range(50, 100, 5)
+    }
