@@ -46,8 +46,11 @@ def segments(p: Column) -> Column:
     )
 
 
-def drop_near_points(p: Column, min_dist: float = 1.0) -> Column:
-    """Remove interior points closer than ``min_dist`` to the point kept before; ends stay."""
+def far_points(p: Column, min_dist: float = 1.0) -> Column:
+    """The start, interior points at least ``min_dist`` from the point kept before, and the end where it is not the last of these.
+
+    A path that stays near its start and ends on it has one such point.
+    """
     far = F.aggregate(
         F.slice(p, 2, F.size(p) - 2),
         F.slice(p, 1, 1),
@@ -58,9 +61,12 @@ def drop_near_points(p: Column, min_dist: float = 1.0) -> Column:
         end, last = F.element_at(p, -1), F.element_at(kept, -1)
         return F.when((last["x"] != end["x"]) | (last["y"] != end["y"]), F.concat(kept, F.array(end))).otherwise(kept)
 
-    return F.when(F.size(p) < 3, p).otherwise(
-        let(let(far, close), lambda c: F.when(F.size(c) >= 2, c).otherwise(p))
-    )
+    return F.when(F.size(p) < 3, p).otherwise(let(far, close))
+
+
+def drop_near_points(p: Column, min_dist: float = 1.0) -> Column:
+    """Remove interior points closer than ``min_dist`` to the point kept before; ends stay, and a path that would be one point stays whole."""
+    return let(far_points(p, min_dist), lambda c: F.when(F.size(c) >= 2, c).otherwise(p))
 
 
 def snap_angles(p: Column, tolerance: float = 8.0, last_tolerance: float = 15.0) -> Column:

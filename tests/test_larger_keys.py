@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import paths as pa
 from tessella.functions.rules import half_up
 from tessella.plans import load, registry
 from tessella.sources import annotations as an
@@ -32,6 +33,18 @@ def test_lengths_next_to_a_half(spark, tmp_path):
     assert got == want
 
 
+def test_path_that_returns_to_its_start(spark, tmp_path):
+    got, want = both(spark, tmp_path, "P17_path_length_and_thinning", [row(12006377, 4, 7978, 40, 49.0), row(7, 1)])
+    assert got == want and (12006377401, 9.152982, 1) in got
+
+
+def test_thinning_keeps_a_path_of_one_place_whole(spark):
+    pts = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    p = spark.createDataFrame([(pts,), (pts[:1],)], "pts array<struct<x double, y double>>")
+    sizes = p.select(F.size(pa.far_points(F.col("pts"), 4.0)), F.size(pa.drop_near_points(F.col("pts"), 4.0))).collect()
+    assert [tuple(r) for r in sizes] == [(1, 4), (1, 1)]
+
+
 @pytest.mark.parametrize("value", [129.9107695, 232.69352849999999, -0.0000005, 0.0, 2.5, -129.9107695, 1e-9])
 def test_half_up_like_sql(spark, value):
     got = spark.range(1).select(half_up(F.lit(value), 6)).first()[0]
