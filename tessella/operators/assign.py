@@ -286,11 +286,11 @@ def _slices(batches, col: int):
             at = to
 
 
-def _flat(lists: pa.Array):
-    """List number, a, b and score of every pair."""
+def _flat(lists: pa.Array, fields: Sequence[str] = ("a", "b", "s")):
+    """List number and the fields, a, b and score of a pair, of every row."""
     off = lists.offsets.to_numpy()
     v = lists.values.slice(off[0], off[-1] - off[0])
-    return np.repeat(np.arange(len(lists)), np.diff(off)), *(v.field(f).to_numpy(zero_copy_only=False) for f in ("a", "b", "s"))
+    return np.repeat(np.arange(len(lists)), np.diff(off)), *(v.field(f).to_numpy(zero_copy_only=False) for f in fields)
 
 
 def _found(rb: pa.RecordBatch, nkeys: int, g, va, vb, vs, k, names, more=()) -> pa.RecordBatch:

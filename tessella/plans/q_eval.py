@@ -12,6 +12,7 @@ from tessella.functions.rules import half_up
 from tessella.plans.q_windows import video_tracks
 from tessella.plans.registry import query
 from tessella.plans.relations import SQL, det, gt, rel, with_recursive, with_views
+from tessella.session import cut
 
 
 def _sets(spark, sf):
@@ -258,7 +259,7 @@ def a21(spark, sf):
 # --- HOTA -----------------------------------------------------------------------------
 def _tracking(spark, sf):
     """Ground truth and tracker rows of the same videos; the tracker boxes are shifted."""
-    f = rel(spark, sf, "video_frames").withColumnRenamed("frame", "t")
+    f = cut(rel(spark, sf, "video_frames").select("video_id", "track_id", F.col("frame").alias("t"), "x1", "y1", "x2", "y2"))
     g = f.where("track_id % 3 <> 2").withColumnRenamed("track_id", "gt_id")
     k = f.where("track_id % 3 <> 1").withColumn("x1", F.col("x1") + F.col("track_id") % 4).withColumn("x2", F.col("x2") + F.col("track_id") % 4).withColumnRenamed("track_id", "trk_id")
     pairs = ev.iou_pairs(g, k, ["video_id", "t"], "gt_id", "trk_id").withColumnRenamed("iou", "sim")
