@@ -8,7 +8,9 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tessella.operators.boxlists import flat_rows, large_pairs, list_slices, ordered, overlapping
 from tessella.operators.cluster import EDGE_LIMIT, components
 from tessella.session import cut
 
@@ -248,8 +250,13 @@ def assign(pairs: DataFrame, keys: Sequence[str], a: str, b: str, score: str, li
     Rows that share no positive pair cannot influence each other, so every connected component of the pair graph is solved by
     itself. Groups of up to ``limit`` pairs are split and solved inside one task; the components of larger ones are found in rounds
     over all tasks, and a component is solved in memory that grows with its pairs.
+
+    ``pairs`` may also be ``box_lists`` with the ids in their columns: overlapping boxes are then the pairs and ``score`` their IoU. Keys
+    that are no keys of the lists are columns of the left rows.
     """
     keys = list(keys)
+    if "_l" in pairs.columns:
+        return _assign_lists(pairs, keys, a, b, score, limit)
     live = pairs.where(F.col(score) > 0).select(*keys, a, b, score)
     large = F.count(F.lit(1)).over(W.partitionBy(*keys)) > limit
     # A pair of a large group is a list of its own and only passes through. What is written is the pairs found, and large groups.
@@ -273,6 +280,37 @@ def assign(pairs: DataFrame, keys: Sequence[str], a: str, b: str, score: str, li
     return found if rest.isEmpty() else found.unionByName(_assign_large(rest, keys, a, b, score))
 
 
+def _assign_lists(lists: DataFrame, keys: list[str], a: str, b: str, score: str, limit: int) -> DataFrame:
+    own = [k for k in keys if k in lists.columns]
+    sets, n = [k for k in keys if k not in own], len(own)
+    names = [*own, *sets, a, b, score, "_large"]
+
+    def solve(batches):
+        for rb, large in list_slices(batches, n):
+            if large:  # a row tells that there are such groups
+                yield pa.RecordBatch.from_arrays([*[rb.column(i).slice(0, 1) for i in range(n)], *[pa.nulls(1, t) for t in kinds], pa.array([True])], names)
+                continue
+            (g, left), (h, right) = flat_rows(rb.column(n + 2)), flat_rows(rb.column(n + 3))
+            g, left = ordered(g, left, *[left[c] for c in (*sets, a)])
+            h, right = ordered(h, right, right[b])
+            i, j, iou = overlapping(g, left, h, right)
+            k = chosen_pairs(_numbered(g, *[left[c] for c in sets])[i], left[a][i], right[b][j], iou)
+            at, i, j = pa.array(g[i[k]]), i[k], j[k]
+            cols = [*[left[c][i] for c in (*sets, a)], right[b][j], iou[k]]
+            yield pa.RecordBatch.from_arrays([*[rb.column(x).take(at) for x in range(n)], *[pa.array(c).cast(t) for c, t in zip(cols, kinds)], pa.array(np.zeros(len(k), bool))], names)
+
+    left, right = (lists.schema[c].dataType.elementType for c in ("_l", "_r"))
+    fields = [*[left[c] for c in (*sets, a)], right[b], T.StructField(score, T.DoubleType())]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    schema = T.StructType([*[lists.schema[c] for c in own], *[T.StructField(f.name, f.dataType) for f in fields], T.StructField("_large", T.BooleanType())])
+    done = cut(lists.mapInArrow(solve, schema))
+    found = done.where("NOT _large").select(*keys, a, b, score)
+    if done.where("_large").isEmpty():
+        return found
+    pairs = large_pairs(lists, own, [*sets, a], [b]).withColumnRenamed("iou", score)
+    return found.unionByName(assign(pairs, keys, a, b, score, limit))
+
+
 PAIRS = 1 << 18  # looked at together
 
 

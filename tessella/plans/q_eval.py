@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessella.operators import assign as asg, evalmetrics as ev, greedy
 from tessella.functions.boxes import box
 from tessella.functions.rules import half_up
+from tessella.operators.boxlists import box_lists
 from tessella.plans.q_windows import video_tracks
 from tessella.plans.registry import query
 from tessella.plans.relations import SQL, det, gt, rel, with_recursive, with_views
@@ -25,7 +26,7 @@ def _sets(spark, sf):
 def x08(spark, sf):
     """One-to-one pairs of ground truth and predictions with the largest total IoU per image."""
     _, g, d = _sets(spark, sf)
-    return asg.assign(ev.iou_pairs(g, d, ["image_id"]), ["image_id"], "gt_id", "det_id", "iou")
+    return asg.assign(box_lists(g, d, ["image_id"], ["gt_id"], ["det_id"]), ["image_id"], "gt_id", "det_id", "iou")
 
 
 def _rows_sql(truth: str) -> str:
@@ -49,12 +50,12 @@ def _rows(spark, sf, truth: str = "gt_apart", found: str = "apart"):
 
 
 def _rows_of_sets(spark, sf, truths: list[str], found: str = "apart"):
-    """``_rows`` against several sets of ground truth, numbered in ``gt_set``: all their pairs are listed and assigned at once."""
+    """``_rows`` against several sets of ground truth, numbered in ``gt_set``: all their boxes are listed and assigned at once."""
     every = rel(spark, sf, found)
     d = every.where("score >= 50000")
     sets = [rel(spark, sf, t).withColumn("gt_set", F.lit(k)) for k, t in enumerate(truths)]
     g = reduce(DataFrame.unionByName, [s.select("image_id", "gt_id", "x1", "y1", "x2", "y2", "gt_set") for s in sets])
-    matches = asg.assign(ev.iou_pairs(g, d, ["image_id"], carry=["gt_set"]), ["image_id", "gt_set"], "gt_id", "det_id", "iou")
+    matches = asg.assign(box_lists(g, d, ["image_id"], ["gt_id", "gt_set"], ["det_id"]), ["image_id", "gt_set"], "gt_id", "det_id", "iou")
     images = every.select("image_id").distinct()
     rows = [ev.image_scores(images, s, d, matches.where(F.col("gt_set") == k), ["image_id"]).withColumn("gt_set", F.lit(k)) for k, s in enumerate(sets)]
     return reduce(DataFrame.unionByName, rows)
