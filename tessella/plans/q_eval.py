@@ -160,22 +160,21 @@ h AS (SELECT image_id, det_id, score, threshold, CASE WHEN iou < threshold / 100
 """
 
 
-def _match_inputs(spark, sf, truth: str = "gt_apart", found: str = "apart"):
-    """Pairs, detections and ground truth of the greedy match."""
+def _packed_hits(spark, sf, truth: str = "gt_apart", found: str = "apart"):
+    """Hits of the greedy match at all thresholds, and the ground truth."""
     every, g = rel(spark, sf, found), rel(spark, sf, truth)
     if truth == "gt":
         g = g.withColumn("is_crowd", F.col("gt_id") % 17 == 0)
-    return ev.iou_pairs(g, every, ["image_id"], carry=["is_crowd"]), every, g
+    return ev.greedy_hits_of_boxes(g, every, ["image_id"], max_dets=100), g
 
 
 def _hits(spark, sf, *names: str):
-    pairs, every, _ = _match_inputs(spark, sf, *names)
-    return ev.greedy_matches(pairs, every, ["image_id"], max_dets=100)
+    return ev.per_threshold(_packed_hits(spark, sf, *names)[0], ["image_id"])
 
 
 def _precision(spark, sf, *names: str):
-    pairs, every, g = _match_inputs(spark, sf, *names)
-    a = ev.packed_precision(ev.greedy_hits(pairs, every, ["image_id"], max_dets=100), g.where("NOT is_crowd"))
+    hits, g = _packed_hits(spark, sf, *names)
+    a = ev.packed_precision(hits, g.where("NOT is_crowd"))
     return a.select("threshold", half_up("ap", 9).alias("ap"), half_up("ar", 9).alias("ar"))
 
 
