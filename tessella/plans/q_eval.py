@@ -174,7 +174,7 @@ def _hits(spark, sf, *names: str):
 
 def _precision(spark, sf, *names: str):
     hits, g = _packed_hits(spark, sf, *names)
-    a = ev.packed_precision(hits, g.where("NOT is_crowd"))
+    a = ev.packed_precision(hits, g.where("NOT is_crowd"), written=True)
     return a.select("threshold", half_up("ap", 9).alias("ap"), half_up("ar", 9).alias("ar"))
 
 

@@ -66,6 +66,12 @@ def test_greedy_match_of_listed_boxes(spark, monkeypatch, seed, max_dets):
     assert of_boxes(1000) == want
 
 
+def test_precision_of_written_hits(spark):
+    g, d = draw(spark, 3)
+    hits, truth = ev.greedy_hits_of_boxes(g, d, KEYS), g.where("NOT is_crowd")
+    assert rows(ev.packed_precision(hits, truth, written=True)) == rows(ev.packed_precision(hits, truth))
+
+
 def test_crowded_match_pairs_no_boxes_by_joins(spark, monkeypatch):
     """A11_greedy_matches_crowded, A11_average_precision_crowded: before, all pairs went through joins."""
     from tessella.plans import load, registry
