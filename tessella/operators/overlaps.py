@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.functions import boxes as bx
 from tessella.functions.boxes import box
@@ -139,9 +140,94 @@ def structure_suggestions(overlaps: DataFrame, keys: Sequence[str], id_col: str)
 
 
 # --- J11 near-duplicate polylines --------------------------------------------
-def duplicate_paths(df: DataFrame, keys: Sequence[str], id_col: str, near: float = 15.0, short: float = 30.0) -> DataFrame:
+PATHS, POINTS = 1024, 1 << 16  # of a group that is one list
+
+
+def duplicate_paths(df: DataFrame, keys: Sequence[str], id_col: str, near: float = 15.0, short: float = 30.0, limit: int = PATHS) -> DataFrame:
     """(keys, id) of paths that repeat another: same ends (either way), or a short path whose
-    end lies near the other. The shorter goes (the later on equal length), in id order."""
+    end lies near the other. The shorter goes (the later on equal length), in id order.
+
+    The paths of a group of up to ``limit`` paths and ``POINTS`` points are listed and compared inside one task; the pairs of larger groups are found
+    by joins."""
+    from tessella.functions import paths
+
+    keys = list(keys)
+    n = len(keys)
+    rows = df.where(F.size("pts") >= 2).where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(
+        *keys, F.col(id_col).alias("_id"), "pts", ((F.count(F.lit(1)).over(W.partitionBy(*keys)) > limit) | (F.sum(F.size("pts")).over(W.partitionBy(*keys)) > POINTS)).alias("_large")
+    )
+    # A path of a large group is not listed: only its keys pass.
+    path = F.when(~F.col("_large"), F.struct("_id", paths.length(F.col("pts")).alias("len"), F.transform("pts", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("pts")))
+    lists = rows.groupBy(*keys, "_large").agg(F.collect_list(path).alias("_p"))
+    id_type = to_arrow_type(df.schema[id_col].dataType)
+    names = [*keys, id_col, "_large"]
+
+    def fold(batches):
+        for rb in batches:
+            large = rb.filter(rb.column(n))
+            if large.num_rows:
+                yield pa.RecordBatch.from_arrays([*[large.column(k) for k in range(n)], pa.nulls(large.num_rows, id_type), large.column(n)], names)
+            size = np.diff(rb.column(n + 1).offsets.to_numpy()).astype(np.int64)
+            work, at = np.append(0, np.cumsum(size * size)), 0
+            while at < rb.num_rows:
+                to = max(at + 1, int(np.searchsorted(work, work[at] + PATH_PAIRS, "right")) - 1)
+                part, at = rb.slice(at, to - at), to
+                g, gone = _repeated_paths(part.column(n + 1), near, short)
+                g = pa.array(g)
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(g) for k in range(n)], pa.array(gone).cast(id_type), pa.array(np.zeros(len(g), bool))], names)
+
+    done = cut(lists.mapInArrow(fold, T.StructType([*[df.schema[k] for k in keys], df.schema[id_col], T.StructField("_large", T.BooleanType())])))
+    found, hot = done.where("NOT _large").drop("_large"), done.where("_large").select(*keys)
+    if hot.isEmpty():
+        return found
+    return found.unionByName(_duplicate_paths_by_pairs(df.join(hot, keys, "left_semi"), keys, id_col, near, short))
+
+
+PATH_PAIRS = 1 << 18  # looked at together
+
+
+def _repeated_paths(lists: pa.Array, near: float, short: float) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the group and id of the paths that go, by the rule of ``duplicate_paths``."""
+    off = lists.offsets.to_numpy()
+    v = lists.values.slice(off[0], off[-1] - off[0])
+    g, ids = np.repeat(np.arange(len(lists)), np.diff(off)), v.field("_id").to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, g))
+    g, ids, size = g[order], ids[order], v.field("len").to_numpy(zero_copy_only=False)[order]
+    points = v.field("pts")
+    start, end = points.offsets.to_numpy()[:-1][order], points.offsets.to_numpy()[1:][order]
+    x, y = (points.values.field(c).to_numpy(zero_copy_only=False) for c in "xy")
+    later = np.searchsorted(g, g, "right") - np.arange(len(g)) - 1
+    i = np.repeat(np.arange(len(g)), later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
+
+    def close(p, q):
+        dx, dy = x[p] - x[q], y[p] - y[q]
+        return np.sqrt(dx * dx + dy * dy) < near
+
+    hit = (close(start[i], start[j]) & close(end[i] - 1, end[j] - 1)) | (close(start[i], end[j] - 1) & close(end[i] - 1, start[j]))
+    for a, b in ((i, j), (j, i)):
+        # A short path with an end near any point of the other.
+        todo = np.flatnonzero(~hit & (size[a] < short))
+        points = np.cumsum(end[b[todo]] - start[b[todo]], dtype=np.int64)
+        for own in np.split(todo, np.flatnonzero(np.diff(points // (4 * PATH_PAIRS))) + 1):
+            count = end[b[own]] - start[b[own]]
+            pair = np.repeat(own, count)
+            q = np.repeat(start[b[own]] - np.cumsum(count) + count, count) + np.arange(len(pair))
+            hit[pair[close(start[a[pair]], q) | close(end[a[pair]] - 1, q)]] = True
+    i, j = i[hit], j[hit]
+    keep = size[i] >= size[j]
+    row = np.cumsum(np.append(False, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1]))) if len(g) else g
+    dead = [False] * len(g)
+    for w, l in zip(row[np.where(keep, i, j)].tolist(), row[np.where(keep, j, i)].tolist()):
+        if not dead[w] and not dead[l]:
+            dead[l] = True
+    gone = np.unique(row, return_index=True)[1][np.array(dead[: int(row[-1]) + 1 if len(row) else 0], bool)]
+    return g[gone], ids[gone]
+
+
+def _duplicate_paths_by_pairs(df: DataFrame, keys: Sequence[str], id_col: str, near: float, short: float) -> DataFrame:
+    """``duplicate_paths`` of groups of any size."""
     from tessella.functions import paths, polygons as pg
 
     hull = pg.hull(F.col("pts"))
